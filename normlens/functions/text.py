@@ -73,36 +73,50 @@ def community_label(name, community_id, n=None) -> Column:
     return F.concat(base, F.lit(" | n="), _c(n).cast("string"))
 
 
-def equal_width_bin(x, mn, mx, n_bins: int) -> Column:
-    """1-based equal-width bin of ``x`` over ``[mn, mx]``, right-closed.
+def equal_width_params(mn, mx, n_bins: int) -> Column:
+    """Struct ``(lo, hi, step, first_left)`` of an equal-width cut of [mn, mx].
 
-    Same edges as an equal-width cut into ``n_bins``: edges
-    ``mn + i*step``; the first edge is lowered by 0.1% of the range so the
-    minimum falls in bin 1; a zero range is widened by 0.1% each side.
-    NULL ``x`` gives NULL.  (``width_bucket`` is left-closed, so not used.)
+    Edges are ``lo + i*step``; the first edge is lowered by 0.1% of the
+    range so the minimum falls in bin 1; a zero range is widened by 0.1%
+    on each side.  Evaluate once (e.g. in a one-row aggregate used as a
+    scalar subquery) and pass to :func:`equal_width_bin`.
     """
-    x = _c(x).cast("double")
     mn = _c(mn).cast("double")
     mx = _c(mx).cast("double")
     same = mn == mx
     lo = F.when(same, mn - F.when(mn != 0, F.abs(mn) * 0.001).otherwise(0.001)).otherwise(mn)
     hi = F.when(same, mx + F.when(mx != 0, F.abs(mx) * 0.001).otherwise(0.001)).otherwise(mx)
     step = (hi - lo) / F.lit(float(n_bins))
-    inner_below = F.size(F.filter(F.sequence(F.lit(1), F.lit(n_bins - 1)),
-                                  lambda i: lo + i.cast("double") * step < x))
-    return F.when(x.isNotNull(), inner_below + 1)
+    first_left = F.when(same, lo).otherwise(lo - (mx - mn) * 0.001)
+    return F.struct(lo.alias("lo"), hi.alias("hi"), step.alias("step"),
+                    first_left.alias("first_left"))
+
+
+def equal_width_bin(x, params, n_bins: int) -> Column:
+    """1-based right-closed bin of ``x`` (NULL for NULL) given :func:`equal_width_params`.
+
+    (``width_bucket`` is left-closed, so it is not used.)  An estimate is
+    corrected by one against the exact edges, so a point equal to an edge
+    lands in the bin whose right edge it is.
+    """
+    x = _c(x).cast("double")
+    p = _c(params)
+    lo, step = p["lo"], p["step"]
+
+    def edge(j):
+        return lo + j.cast("double") * step
 
+    k0 = F.least(F.greatest(F.ceil((x - lo) / step).cast("int"), F.lit(1)), F.lit(n_bins))
+    k = (F.when((k0 >= 2) & (edge(k0 - 1) >= x), k0 - 1)
+         .when((k0 <= n_bins - 1) & (edge(k0) < x), k0 + 1)
+         .otherwise(k0))
+    return F.when(x.isNotNull(), k)
 
-def bin_edges(mn, mx, n_bins: int, i) -> tuple[Column, Column]:
+
+def bin_edges(params, n_bins: int, i) -> tuple[Column, Column]:
     """(left, right) edges of bin ``i`` (1-based), matching equal_width_bin."""
-    mn = _c(mn).cast("double")
-    mx = _c(mx).cast("double")
+    p = _c(params)
     i = _c(i)
-    same = mn == mx
-    lo = F.when(same, mn - F.when(mn != 0, F.abs(mn) * 0.001).otherwise(0.001)).otherwise(mn)
-    hi = F.when(same, mx + F.when(mx != 0, F.abs(mx) * 0.001).otherwise(0.001)).otherwise(mx)
-    step = (hi - lo) / F.lit(float(n_bins))
-    left = F.when(i == 1, F.when(same, lo).otherwise(lo - (mx - mn) * 0.001)) \
-        .otherwise(lo + (i - 1).cast("double") * step)
-    right = F.when(i == n_bins, hi).otherwise(lo + i.cast("double") * step)
+    left = F.when(i == 1, p["first_left"]).otherwise(p["lo"] + (i - 1).cast("double") * p["step"])
+    right = F.when(i == n_bins, p["hi"]).otherwise(p["lo"] + i.cast("double") * p["step"])
     return left, right
