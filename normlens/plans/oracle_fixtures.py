@@ -72,8 +72,10 @@ def with_fixtures(names: list[str], body: str) -> str:
 
     for n in names:
         add(n)
-    head = "WITH " + ",\n".join(f"{n} AS ({CTE[n]}\n)" for n in order)
     body = body.strip()
+    if not order:
+        return ("WITH " + body.lstrip(", \n") if body.startswith(",") else body) + "\n"
+    head = "WITH " + ",\n".join(f"{n} AS ({CTE[n]}\n)" for n in order)
     if body.startswith(","):
         return head + body + "\n"
     return head + "\n" + body + "\n"
