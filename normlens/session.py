@@ -57,3 +57,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write a (reduced) frame to the shared folder and read it back.
+
+    Used for small tables that a plan reuses many times (e.g. the per-
+    community score table feeding several scalar subqueries): it cuts the
+    lineage, survives executor loss, and stops each reuse from recomputing
+    the whole upstream chain.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
