@@ -32,11 +32,13 @@ def _c(c) -> Column:
 
 
 def stripped(content) -> Column:
-    return F.trim(_c(content))
+    """Text without leading/trailing (Unicode) whitespace."""
+    return F.regexp_replace(_c(content), r"(?U)^\s+|\s+$", "")
 
 
 def is_blank(content) -> Column:
-    return F.coalesce(F.trim(_c(content)) == "", F.lit(True))
+    """NULL, empty or whitespace-only text."""
+    return F.coalesce(_c(content).rlike(r"(?U)^\s*$"), F.lit(True))
 
 
 def json_candidate(content) -> Column:
