@@ -76,22 +76,45 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules file: padded headers and cells, a Python-literal rule list per row.
+def explode_rules(df: DataFrame, community_col: str = "subreddit_id",
+                  rules_col: str = "rules") -> DataFrame:
+    """Python-literal rule lists -> one row per rule.
 
-    Output ``subreddit_id, rule_no, short_name, violation_reason, rule_text``
+    Output ``community, rule_no, short_name, violation_reason, rule_text``
     with ``rule_text = '<short_name>: <violation_reason>'`` (missing -> '').
     """
-    raw = (spark.read.option("header", "true").option("multiLine", "true")
-           .option("escape", '"').option("ignoreLeadingWhiteSpace", "true")
-           .csv(path))
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    parsed = raw.select(F.trim(F.col("subreddit_id")).alias("subreddit_id"),
-                        parse_rule_literal(F.col("rules")).alias("_rules"))
-    ex = parsed.select("subreddit_id", F.posexplode("_rules").alias("rule_no", "_r"))
+    parsed = df.select(F.trim(F.col(community_col)).alias(community_col),
+                       parse_rule_literal(F.col(rules_col)).alias("_rules"))
+    ex = parsed.select(community_col, F.posexplode("_rules").alias("rule_no", "_r"))
     name = trim_or_empty(F.col("_r.short_name"))
     reason = trim_or_empty(F.col("_r.violation_reason"))
-    return ex.select("subreddit_id", F.col("rule_no").cast("bigint").alias("rule_no"),
+    return ex.select(community_col, F.col("rule_no").cast("bigint").alias("rule_no"),
                      F.col("_r.short_name").alias("short_name"),
                      F.col("_r.violation_reason").alias("violation_reason"),
                      F.concat(name, F.lit(": "), reason).alias("rule_text"))
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules CSV with padded headers and cells (``subreddit_id, rules``)."""
+    raw = (spark.read.option("header", "true").option("multiLine", "true")
+           .option("escape", '"').option("ignoreLeadingWhiteSpace", "true")
+           .csv(path))
+    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    return explode_rules(raw)
+
+
+def write_rules_csv(rules: DataFrame, path: str, community_col: str = "subreddit_id",
+                    rules_col: str = "rules") -> str:
+    """Rules as one CSV text file with a space after each delimiter.
+
+    The rules table has one row per community (a dimension), so it is
+    written as a single file like the source it stands in for.
+    """
+    quoted = F.concat(F.lit('"'), F.replace(F.col(rules_col), F.lit('"'), F.lit('""')), F.lit('"'))
+    body = rules.select(F.lit(1).alias("_o"), F.col(community_col).alias("_k"),
+                        F.concat(F.col(community_col), F.lit(", "), quoted).alias("value"))
+    head = rules.sparkSession.range(1).select(F.lit(0).alias("_o"), F.lit("").alias("_k"),
+                                              F.lit(f"{community_col}, {rules_col}").alias("value"))
+    (head.unionByName(body).repartition(1).sortWithinPartitions("_o", "_k")
+         .select("value").write.mode("overwrite").text(path))
+    return path
