@@ -43,4 +43,4 @@ def query(name: str, sql: str | None = None, raw: bool = False):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from normlens.plans import queries_anova, queries_core, queries_corr, queries_matrix, queries_parse, queries_prep, queries_requests, queries_runs, queries_stats  # noqa: F401
+    from normlens.plans import queries_anova, queries_core, queries_corr, queries_matrix, queries_parse, queries_prep, queries_requests, queries_runs, queries_stats, queries_stream  # noqa: F401
