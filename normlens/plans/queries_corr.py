@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from normlens.operators import corr as C
 from normlens.plans import fixtures as fx
 from normlens.plans.oracle_fixtures import with_fixtures
@@ -101,8 +103,10 @@ WHERE mean_correlation IS NOT NULL ORDER BY mean_correlation DESC, community LIM
 def q_central_communities(spark, d):
     """Ten most central communities."""
     c = C.community_centrality(merged(spark, d), "community", SIM_METRICS)
-    return C.top_pairs(c.dropna(subset=["mean_correlation"]), 10, value="mean_correlation",
-                       keys=["community"])
+    # NULLs sort last, so dropping them after the limit keeps the same rows
+    # (and keeps the filter from being pushed into the vector expressions)
+    top = C.top_pairs(c, 10, value="mean_correlation", keys=["community"])
+    return top.filter(F.col("mean_correlation").isNotNull())
 
 
 @query("outlier_communities", with_fixtures(_FX, _MERGED_SQL + """
@@ -111,10 +115,9 @@ SELECT *, row_number() OVER (ORDER BY mean_correlation DESC, community DESC) AS
 def q_outlier_communities(spark, d):
     """Ten least central communities (shown most central first)."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
     c = C.community_centrality(merged(spark, d), "community", SIM_METRICS)
-    low = (c.dropna(subset=["mean_correlation"])
-           .orderBy(F.col("mean_correlation").asc(), F.col("community").asc()).limit(10))
+    low = (c.orderBy(F.col("mean_correlation").asc_nulls_last(), F.col("community").asc()).limit(10)
+           .filter(F.col("mean_correlation").isNotNull()))
     return low.withColumn("rank", F.row_number().over(
         Window.orderBy(F.col("mean_correlation").desc(), F.col("community").desc())))
 
