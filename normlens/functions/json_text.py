@@ -49,19 +49,23 @@ def json_candidate(content) -> Column:
     return F.when(arr != "", arr).when(obj != "", obj)
 
 
-def strict_value_count(text) -> Column:
-    """1 when ``text`` is exactly one strict JSON value, else >1 or NULL.
-
-    Wrapping in ``[...]`` turns trailing values into extra elements and
-    trailing junk into a syntax error, so the count is 1 only for a single
-    well-formed value.
-    """
-    wrapped = F.concat(F.lit("["), _c(text), F.lit("]"))
-    return F.size(F.from_json(wrapped, T.ArrayType(T.StringType()), _STRICT))
+# Sentinel element appended inside the wrapper (written with JSON escapes).
+_SENTINEL_JSON = '"\\u0000end\\u0000"'
+_SENTINEL = "\x00end\x00"
 
 
 def is_strict_json(text) -> Column:
-    return F.coalesce(strict_value_count(text) == 1, F.lit(False))
+    """True when ``text`` is exactly one strict JSON value.
+
+    The parser stops after the first complete root value and ignores what
+    follows, so the text is wrapped as ``[<text>, <sentinel>]``: trailing
+    values become extra elements, trailing junk is a syntax error, and a
+    stray closing bracket that ends the wrapper early leaves the sentinel
+    out.  Single quotes and raw control characters are rejected.
+    """
+    wrapped = F.concat(F.lit("["), _c(text), F.lit("," + _SENTINEL_JSON + "]"))
+    arr = F.from_json(wrapped, T.ArrayType(T.StringType()), _STRICT)
+    return F.coalesce((F.size(arr) == 2) & (F.element_at(arr, 2) == F.lit(_SENTINEL)), F.lit(False))
 
 
 def parsed_count(cand) -> Column:
