@@ -28,7 +28,7 @@ def parsed(spark, d):
 
 
 _PARSE_SQL = """
-, r AS (SELECT *, 'run' || CAST(floor(batch_no / 10) AS BIGINT) AS run,
+, r AS (SELECT batch_no::BIGINT AS batch_no, content, 'run' || CAST(floor(batch_no / 10) AS BIGINT) AS run,
                coalesce(regexp_matches(content, '^\\s*$'), true) AS blank FROM raw_outputs),
   c AS (SELECT *, CASE WHEN NOT blank THEN
           CASE WHEN regexp_extract(content, '(?s)\\[.*\\]', 0) <> '' THEN regexp_extract(content, '(?s)\\[.*\\]', 0)
@@ -37,8 +37,8 @@ _PARSE_SQL = """
   s AS (SELECT *, CASE WHEN candidate IS NULL THEN false
                        WHEN json_valid('[' || candidate || ']') THEN json_array_length('[' || candidate || ']') = 1
                        ELSE false END AS strict FROM c),
-  n AS (SELECT *, CASE WHEN strict THEN CASE WHEN candidate LIKE '[%' THEN json_array_length(candidate) ELSE 1 END END
-                  AS n_parsed FROM s),
+  n AS (SELECT *, CASE WHEN strict THEN CASE WHEN candidate LIKE '[%' THEN json_array_length(candidate)::BIGINT
+                  ELSE 1::BIGINT END END AS n_parsed FROM s),
   o AS (SELECT *, CASE WHEN blank THEN 'empty' WHEN candidate IS NULL THEN 'no_json'
                        WHEN strict AND n_parsed = 10 THEN 'success' WHEN strict THEN 'wrong_size'
                        ELSE 'decode_error' END AS outcome FROM n),

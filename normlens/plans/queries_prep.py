@@ -102,7 +102,7 @@ def q_balanced_split(spark, d):
 
 
 @query("split_shortfall", with_fixtures(["comments"], _SPLIT_SQL + f"""
-SELECT subreddit_id, label, split, CASE WHEN split = 'test' THEN {N_TEST} ELSE {N_SHOTS} END AS requested,
+SELECT subreddit_id, label, split, (CASE WHEN split = 'test' THEN {N_TEST} ELSE {N_SHOTS} END)::BIGINT AS requested,
   count(*) AS taken, CASE WHEN split = 'test' THEN {N_TEST} ELSE {N_SHOTS} END - count(*) AS shortfall
 FROM split GROUP BY subreddit_id, label, split"""))
 def q_split_shortfall(spark, d):
