@@ -35,13 +35,14 @@ def merge_scores(accuracy: DataFrame, meta: DataFrame, scores: DataFrame,
                  communities: DataFrame, name_col: str = "name",
                  display_col: str = "display_name_prefixed",
                  acc_label_col: str = "subreddit", acc_col: str = "accuracy",
-                 score_key: str = "subreddit") -> DataFrame:
+                 score_key: str = "subreddit", strict: bool = False) -> DataFrame:
     """Accuracy x metadata x scores by cleaned community name.
 
     Accuracy labels ``'r/x (id)'`` are cleaned to ``'r/x'``.  Duplicates:
     for accuracy the greatest original label wins; metadata and score rows
     are taken first by their key order.  Output: ``community, subreddit,
     accuracy, <score columns>``; communities missing any part are dropped.
+    ``strict=True`` raises when nothing merges (names did not line up).
     """
     acc = (accuracy.withColumn("_clean", strip_paren_suffix(F.col(acc_label_col)))
            .groupBy("_clean").agg(F.max_by(F.col(acc_col), F.col(acc_label_col)).alias("accuracy")))
@@ -53,7 +54,10 @@ def merge_scores(accuracy: DataFrame, meta: DataFrame, scores: DataFrame,
     sc = sc.select(F.col(score_key).alias("subreddit"), *[F.col("_s")[c].alias(c) for c in score_cols])
     j = (comm.join(acc, comm["subreddit"] == acc["_clean"]).drop("_clean")
          .join(sc, "subreddit"))
-    return j.select(F.col(name_col).alias("community"), "subreddit", "accuracy", *score_cols)
+    out = j.select(F.col(name_col).alias("community"), "subreddit", "accuracy", *score_cols)
+    if strict and out.isEmpty():
+        raise ValueError("no rows after merging accuracy, metadata and scores")
+    return out
 
 
 def to_long(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:

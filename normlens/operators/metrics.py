@@ -11,16 +11,19 @@ from normlens.constants import BATCH_SIZE, NEGATIVE, NUM_TESTS, POSITIVE
 
 
 def join_truth(pred: DataFrame, truth: DataFrame, keys: Sequence[str],
-               truth_keys: Sequence[str] | None = None) -> DataFrame:
+               truth_keys: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
     """Inner equi-join of predictions to truth rows.
 
     ``keys`` are the prediction columns, ``truth_keys`` the matching truth
     columns (same names when omitted; renamed to ``keys`` in the output).
     Ids are only unique within a run or community, so the keys must
     include that scope.  Predictions without truth are returned by
-    :func:`unmatched_predictions` instead of aborting the run.
+    :func:`unmatched_predictions` instead of aborting the run;
+    ``strict=True`` raises when any exist (runs one check job).
     """
     truth_keys = list(truth_keys or keys)
+    if strict and not unmatched_predictions(pred, truth, keys, truth_keys).isEmpty():
+        raise ValueError("predictions reference ids without truth rows")
     t = truth
     for k, tk in zip(keys, truth_keys):
         if k != tk:

@@ -74,21 +74,27 @@ def balanced_split(df: DataFrame, id_col: str = "comment_id",
                    community_col: str = "subreddit_id", label_col: str = "label",
                    labels: tuple[str, str] = (POSITIVE, NEGATIVE),
                    n_test: int = NUM_TESTS // 2, n_shots: int = NUM_SHOTS,
-                   seed: int = SEED) -> DataFrame:
+                   seed: int = SEED, strict: bool = False) -> DataFrame:
     """Seeded balanced draw per (community, label).
 
     Rows are ordered by ``md5('<seed>:<id>')`` (id breaks ties); the first
     ``n_test`` per class are ``test`` and the next ``n_shots`` are ``shots``,
     so the two sets are disjoint.  A class with too few rows gives what it
-    has (see :func:`split_shortfall`).  Output adds ``split`` and ``draw_rank``.
+    has (see :func:`split_shortfall`); ``strict=True`` raises instead.
+    Output adds ``split`` and ``draw_rank``.
     """
     k = n_test + n_shots
     w = Window.partitionBy(community_col, label_col).orderBy(draw_key(id_col, seed), F.col(id_col))
     ranked = (df.filter(F.col(label_col).isin(*labels))
               .withColumn("draw_rank", F.row_number().over(w))
               .filter(F.col("draw_rank") <= k))
-    return ranked.withColumn("split", F.when(F.col("draw_rank") <= n_test, F.lit("test"))
-                             .otherwise(F.lit("shots")))
+    out = ranked.withColumn("split", F.when(F.col("draw_rank") <= n_test, F.lit("test"))
+                            .otherwise(F.lit("shots")))
+    if strict:
+        short = split_shortfall(out, community_col, label_col, n_test, n_shots)
+        if not short.filter(F.col("shortfall") > 0).isEmpty():
+            raise ValueError("a (community, label) class has fewer rows than requested")
+    return out
 
 
 def split_shortfall(split: DataFrame, community_col: str = "subreddit_id",

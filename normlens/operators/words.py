@@ -62,11 +62,11 @@ def unique_words(counts: DataFrame, positive: str = POSITIVE, negative: str = NE
     c = counts
     if stopwords:
         c = c.filter(~F.col("word").isin(sorted(stopwords)))
-    only_pos = c.filter((F.col(f"n_{negative}") == 0) & (F.col(f"n_{positive}") > 0)).select(
-        F.lit(positive).alias("label"), "word", F.col(f"n_{positive}").alias("n"))
-    only_neg = c.filter((F.col(f"n_{positive}") == 0) & (F.col(f"n_{negative}") > 0)).select(
-        F.lit(negative).alias("label"), "word", F.col(f"n_{negative}").alias("n"))
-    both = only_pos.unionByName(only_neg)
+    npos, nneg = F.col(f"n_{positive}"), F.col(f"n_{negative}")
+    side = (F.when((nneg == 0) & (npos > 0), F.lit(positive))
+            .when((npos == 0) & (nneg > 0), F.lit(negative)))
+    both = (c.select(side.alias("label"), "word", F.greatest(npos, nneg).alias("n"))
+            .filter(F.col("label").isNotNull()))
     w = Window.partitionBy("label").orderBy(F.col("n").desc(), F.col("word").asc())
     # filter on row_number: Spark inserts a partial per-label limit before the shuffle
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -163,3 +163,17 @@ def test_anova_matches_least_squares(spark):
     total = sum(r.sum_sq for r in t.values())
     assert t["a"].eta_sq == pytest.approx(t["a"].sum_sq / total)
     assert 0.0 <= t["a"].p_value <= 1.0 and t["Residual"].p_value is None
+
+
+def test_strict_modes_raise(spark):
+    pred = spark.createDataFrame([(999, V)], "comment_id long, pred_label string")
+    truth = spark.createDataFrame([(1, V)], "comment_id long, true_label string")
+    with pytest.raises(ValueError):
+        M.join_truth(pred, truth, ["comment_id"], strict=True)
+    with pytest.raises(ValueError):
+        P.balanced_split(_corpus(spark, 12), n_test=50, n_shots=1, strict=True)
+    acc = spark.createDataFrame([("r/x (x)", 0.5)], "subreddit string, accuracy double")
+    meta = spark.createDataFrame([("y", "r/y")], "name string, display_name_prefixed string")
+    scores = spark.createDataFrame([("r/y", 3)], "subreddit string, n_items long")
+    with pytest.raises(ValueError):
+        C.merge_scores(acc, meta, scores, meta, strict=True)
