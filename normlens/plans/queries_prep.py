@@ -136,8 +136,9 @@ SELECT subreddit_id, split, comment_id, source_id, norm, true_label, length(body
 FROM prepared"""))
 def q_write_splits(spark, d):
     """Write prepared examples partitioned by (community, split); read them back."""
-    path = S.write_splits(prepared(spark, d), scratch_path(spark, "splits"))
-    back = spark.read.parquet(path)
+    prep = prepared(spark, d)
+    path = S.write_splits(prep, scratch_path(spark, "splits"))
+    back = S.read_split(spark, path, schema=prep.schema)
     return back.select("subreddit_id", "split", "comment_id", "source_id", "norm", "true_label",
                        F.length("body").cast("bigint").alias("body_chars"))
 
@@ -146,6 +147,7 @@ def q_write_splits(spark, d):
 SELECT subreddit_id, comment_id, body, norm, true_label FROM prepared WHERE split = 'test'"""))
 def q_community_tests(spark, d):
     """Test rows of every community via partition-pruned reads of the split dataset."""
-    path = S.write_splits(prepared(spark, d), scratch_path(spark, "splits"))
-    t = S.read_split(spark, path, split="test")
+    prep = prepared(spark, d)
+    path = S.write_splits(prep, scratch_path(spark, "splits"))
+    t = S.read_split(spark, path, split="test", schema=prep.schema)
     return t.select("subreddit_id", "comment_id", "body", "norm", "true_label")

@@ -52,10 +52,10 @@ SELECT model, directory, num_tests, num_successes, batch_size, {", ".join(REF_ME
 def q_write_run_metrics(spark, d):
     """Write run metrics as JSON partitioned by file-safe model folder; read back."""
     t = run_table(spark, d).withColumn("model_folder", safe_name(F.col("model")))
-    path = RF.write_json(t.select("model", "directory", "num_tests", "num_successes", "batch_size",
-                                  *REF_METRICS, "confusion_matrix", "model_folder"),
-                         scratch_path(spark, "run-metrics"), ["model_folder"])
-    back = spark.read.json(path)
+    out = t.select("model", "directory", "num_tests", "num_successes", "batch_size",
+                   *REF_METRICS, "confusion_matrix", "model_folder")
+    path = RF.write_json(out, scratch_path(spark, "run-metrics"), ["model_folder"])
+    back = spark.read.schema(out.schema).json(path)
     return back.select("model", "directory", "num_tests", "num_successes", "batch_size",
                        *REF_METRICS, "model_folder")
 
@@ -81,7 +81,7 @@ def q_write_results(spark, d):
     """Write result rows as JSON per prompt community; read them back."""
     r = scored_results(spark, d).select(*RUN, "comment_id", "body", "pred_label", "true_label")
     path = RF.write_json(r, scratch_path(spark, "results"), ["prompt_community"])
-    back = spark.read.json(path)
+    back = spark.read.schema(r.schema).json(path)
     return back.select(*RUN, "comment_id", "pred_label", "true_label")
 
 

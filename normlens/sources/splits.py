@@ -19,9 +19,13 @@ def write_splits(df: DataFrame, path: str, community_col: str = "subreddit_id")
 
 def read_split(spark: SparkSession, path: str, split: str | None = None,
                communities: list[str] | None = None,
-               community_col: str = "subreddit_id") -> DataFrame:
-    """Read prepared examples; filters on the partition columns prune directories."""
-    df = spark.read.parquet(path)
+               community_col: str = "subreddit_id", schema=None) -> DataFrame:
+    """Read prepared examples; filters on the partition columns prune directories.
+
+    Pass the written schema to read an empty dataset (no partition dirs).
+    """
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    df = r.parquet(path)
     if split is not None:
         df = df.filter(F.col("split") == split)
     if communities:
