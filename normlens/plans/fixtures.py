@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from normlens.constants import NEGATIVE, POSITIVE
 from normlens.functions.index import global_row_index
+from normlens.operators.matrix import names_array
 from normlens.session import scratch_path
 from normlens.sources.tables import read_table
 
@@ -99,15 +100,8 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
 
 def community_names(comm: DataFrame, col: str = "name",
                     max_size: int = MAX_COMMUNITIES) -> Column:
-    """Sorted array of all community names as a scalar subquery.
-
-    Raises at run time if the axis is larger than ``max_size`` — the grid
-    built from it is quadratic in this size.
-    """
-    arr = F.array_sort(F.collect_set(col))
-    checked = F.when(F.size(arr) <= max_size, arr).otherwise(
-        F.raise_error(F.lit(f"community axis larger than {max_size}")))
-    return comm.select(checked.alias("names")).scalar()
+    """Sorted array of all community names as a (size-checked) scalar subquery."""
+    return names_array(comm, col, max_size)
 
 
 def _flip(label: Column) -> Column:

@@ -38,9 +38,11 @@ def q_stream_run_metrics(spark, d):
     (replies(spark, d).select("run", "batch_no", "content")
      .repartitionByRange(LANDING_FILES, "batch_no").write.mode("overwrite").json(landing))
     out = scratch_path(spark, "stream-metrics")
+    # availableNow takes everything that has landed; the multi-epoch path
+    # (one file per trigger) is exercised in tests/test_stream.py
     q = ST.start_run_metrics_stream(spark, landing, fx.reply_truth(spark, d), out,
                                     scratch_path(spark, "stream-ckpt"), run_cols=["run"],
-                                    batch_size=10, max_files_per_trigger=1)
+                                    batch_size=10)
     q.awaitTermination()
     m = spark.read.parquet(out)
     return m.select("run", "num_successes", "accuracy", "violation_precision", "non_violation_precision",
