@@ -20,6 +20,21 @@ def first_by_key(df: DataFrame, key: str, order_col: str,
     return picked.select(key, *[F.col("_r")[c].alias(c) for c in keep])
 
 
+def distinct_counts(df: DataFrame, key: str, cols: Sequence[str] | None = None,
+                    out: str = "count") -> DataFrame:
+    """Distinct rows per ``key`` without shuffling the rows themselves.
+
+    Each row is reduced to a SHA-256 digest of its canonical JSON form
+    (NULLs encoded explicitly), and digests are counted per key; only
+    (key, digest) pairs cross the shuffle, not long text columns.  Spark
+    plans the distinct count as a two-phase aggregation, so a hot key is
+    spread over (key, digest) before the final count.
+    """
+    cols = [c for c in (cols or df.columns)]
+    digest = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    return df.groupBy(key).agg(F.count_distinct(digest).alias(out))
+
+
 def counts_with_names(df: DataFrame, dim: DataFrame, key: str = "subreddit_id",
                       dim_key: str = "name", names: Sequence[str] = ("display_name_prefixed",)) -> DataFrame:
     """Rows per key, left-joined to a (deduplicated) dimension for names."""

@@ -198,7 +198,8 @@ FROM dc LEFT JOIN dim ON dim.name = dc.subreddit_id
 GROUP BY dc.subreddit_id, dim.display_name_prefixed ORDER BY count DESC, dc.subreddit_id LIMIT 32"""))
 def q_community_counts(spark, d):
     """Distinct comments per community with its display name, top 32."""
-    dim = q_community_dim(spark, d)
-    dc = fx.comments(spark, d).drop("comment_id").distinct()
-    out = D.counts_with_names(dc, dim)
+    dim = q_community_dim(spark, d).select(F.col("name").alias("subreddit_id"), "display_name_prefixed")
+    c = fx.comments(spark, d).drop("comment_id")
+    counts = D.distinct_counts(c, "subreddit_id")
+    out = counts.join(dim, "subreddit_id", "left")
     return out.orderBy(F.col("count").desc(), F.col("subreddit_id")).limit(32)
