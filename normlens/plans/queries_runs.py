@@ -117,3 +117,25 @@ def q_safe_model_name(spark, d):
     """File-safe folder name of every model that has runs."""
     t = run_table(spark, d).select("model").distinct()
     return t.select("model", safe_name(F.col("model")).alias("model_folder"))
+
+
+@query("grid_probe", with_fixtures(_FX + ["communities"], _RUNS_SQL + f"""
+SELECT p.name AS prompt_community, e.name AS eval_community, r.accuracy
+FROM communities p CROSS JOIN communities e
+LEFT JOIN runs r ON r.prompt_community = p.name AND r.eval_community = e.name AND r.model = '{MODEL_A}'"""))
+def q_grid_probe(spark, d):
+    """Grid of one model's accuracy read from run-metric files (absent file -> NULL).
+
+    One recursive scan of every metrics file, a model filter, run keys from
+    the directory path, then a left join onto the full community grid.
+    """
+    from normlens.operators import matrix as X
+    t = run_table(spark, d).withColumn("model_folder", safe_name(F.col("model")))
+    out = t.select("model", "directory", "num_tests", "num_successes", "batch_size",
+                   *REF_METRICS, "confusion_matrix", "model_folder")
+    path = RF.write_json(out, scratch_path(spark, "run-metrics"), ["model_folder"])
+    runs = RF.scan_run_metrics(spark, path).filter(F.col("model") == MODEL_A)
+    parts = F.split(F.col("directory"), "/")
+    cells = runs.select(F.element_at(parts, -2).alias("prompt_community"),
+                        F.element_at(parts, -1).alias("eval_community"), "accuracy")
+    return X.full_grid(cells, fx.communities(spark, d))
