@@ -127,7 +127,8 @@ def q_matrix_order(spark, d):
 
 
 @query("accuracy_matrix", with_fixtures(_GRID_FX, _GRID_SQL + """
-SELECT * FROM (PIVOT grid ON prompt_community USING max(accuracy) GROUP BY eval_community)"""))
+SELECT * FROM (PIVOT (SELECT prompt_community, eval_community, round(accuracy, 6) AS accuracy FROM grid)
+               ON prompt_community USING max(accuracy) GROUP BY eval_community)"""))
 def q_accuracy_matrix(spark, d):
     """Display matrix: rows = eval community, columns = prompt community."""
     comm = _comm(spark, d)
