@@ -30,9 +30,14 @@ def clean_text(c) -> Column:
     return F.lower(F.regexp_replace(html_unescape_basic(c), _NON_WORD, ""))
 
 
+def split_whitespace(c) -> Column:
+    """Whitespace split; may hold empty tokens at the ends."""
+    return F.split(_c(c), _WHITESPACE_RUN)
+
+
 def words(c) -> Column:
     """Whitespace split without empty tokens (array<string>)."""
-    return F.filter(F.split(_c(c), _WHITESPACE_RUN), lambda w: w != "")
+    return F.array_remove(split_whitespace(c), "")
 
 
 def ends_with_question(c) -> Column:

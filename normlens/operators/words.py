@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens.constants import ALL_STOPWORDS, NEGATIVE, POSITIVE
-from normlens.functions.text import clean_text, words
+from normlens.functions.text import clean_text, split_whitespace
 
 
 def word_counts(df: DataFrame, text_col: str = "body", label_col: str = "label",
@@ -21,9 +21,11 @@ def word_counts(df: DataFrame, text_col: str = "body", label_col: str = "label",
     map-side.  Words seen only in rows with other labels are left out.
     """
     lab = F.col(label_col)
+    # explode first, drop empty tokens after: cheaper than filtering arrays
     exploded = (df.filter(lab.isin(positive, negative))
-                .select(F.explode(words(clean_text(F.col(text_col)))).alias("word"),
-                        lab.alias("_lab")))
+                .select(F.explode(split_whitespace(clean_text(F.col(text_col)))).alias("word"),
+                        lab.alias("_lab"))
+                .filter(F.col("word") != ""))
     return exploded.groupBy("word").agg(
         F.count_if(F.col("_lab") == positive).alias(f"n_{positive}"),
         F.count_if(F.col("_lab") == negative).alias(f"n_{negative}"),
