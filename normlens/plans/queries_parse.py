@@ -146,3 +146,14 @@ def q_unmatched_predictions(spark, d):
     truth = eligible_comments(spark, d).select("comment_id")
     return M.unmatched_predictions(preds, truth, ["comment_id"]).select(
         "run", "batch_no", "item_no", "comment_id")
+
+
+@query("write_raw_outputs", with_fixtures(_FX, _PARSE_SQL + """
+SELECT run, batch_no, content FROM r"""))
+def q_write_raw_outputs(spark, d):
+    """Raw reply texts written per run as JSON (NULLs and whitespace kept); read back."""
+    from normlens.session import scratch_path as _sp
+    from normlens.sources import run_files as RF
+    r = replies(spark, d).select("run", F.col("batch_no").cast("bigint").alias("batch_no"), "content")
+    path = RF.write_json(r, _sp(spark, "raw-outputs"), ["run"])
+    return spark.read.schema(r.schema).json(path).select("run", "batch_no", "content")
