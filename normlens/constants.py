@@ -25,6 +25,18 @@ RESTRICTIVE_PATTERN = "no|not"
 # ---- fixed values: characters replaced in file-safe model names -----------
 UNSAFE_NAME_CHARS = '<>:"/\\|?*'
 
+# ---- fixed values: audit-log lines (one entry per logged batch) ----------
+# success:       "Attempt 0: SUCCESS" then "Repairs: ['raw input']"
+# wrong size:    "Attempt N: parsed but wrong size (<parsed> != <expected>) Attempted Repairs: <list>"
+#                for N = 0 (list ['raw input']) and N = 1 (list [])
+# decode error:  "Attempt N: JSON decode error: <message>" for N = 0 and 1
+AUDIT_SUCCESS = "Attempt 0: SUCCESS\nRepairs: ['raw input']\n"
+AUDIT_WRONG_SIZE = "Attempt {attempt}: parsed but wrong size ({parsed} != {expected}) Attempted Repairs: {repairs}\n"
+AUDIT_DECODE_ERROR = "Attempt {attempt}: JSON decode error: {message}\n"
+AUDIT_REPAIRS = ("['raw input']", "[]")
+AUDIT_LINE_PATTERN = (r"Attempt (\d+): (SUCCESS|parsed but wrong size \((\d+) != (\d+)\)"
+                      r"|JSON decode error|unexpected error)")
+
 # ---- fixed values: stopwords ----------------------------------------------
 STOPWORDS = frozenset({
     # English

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from normlens.constants import RESTRICTIVE_PATTERN
+from normlens.constants import RESTRICTIVE_PATTERN, UNSAFE_NAME_CHARS
 
 # Unicode-aware "not a word character and not whitespace".  Java's plain
 # [^\w\s] is ASCII-only and would delete accented letters.
@@ -62,8 +62,9 @@ def strip_paren_suffix(c) -> Column:
 
 
 def safe_name(c) -> Column:
-    """File-safe name: each of ``<>:"/\\|?*`` becomes ``_``."""
-    return F.regexp_replace(_c(c), r'[<>:"/\\|?*]', "_")
+    """File-safe name: each of ``UNSAFE_NAME_CHARS`` becomes ``_``."""
+    cls = "[" + "".join("\\" + ch if ch in "\\[]^-" else ch for ch in UNSAFE_NAME_CHARS) + "]"
+    return F.regexp_replace(_c(c), cls, "_")
 
 
 def trim_or_empty(c) -> Column:

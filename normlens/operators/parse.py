@@ -17,7 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.constants import BATCH_SIZE
+from normlens.constants import (AUDIT_DECODE_ERROR, AUDIT_LINE_PATTERN, AUDIT_REPAIRS, AUDIT_SUCCESS,
+                                AUDIT_WRONG_SIZE, BATCH_SIZE)
+from normlens.operators.requests import fill_template
 from normlens.functions.json_text import (ITEMS_SCHEMA, is_blank, is_strict_json, json_candidate,
                                           parse_items, parsed_count, salvage_items)
 
@@ -64,15 +66,14 @@ def audit(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
 def audit_text(parsed: DataFrame) -> F.Column:
     """The log lines one batch adds (empty for unlogged outcomes)."""
     n, b = F.col("n_parsed").cast("string"), F.col("n_expected").cast("string")
-    size = F.concat(F.lit("("), n, F.lit(" != "), b, F.lit(")"))
     o = F.col("outcome")
-    return (F.when(o == "success", F.lit("Attempt 0: SUCCESS\nRepairs: ['raw input']\n"))
-            .when(o == "wrong_size", F.concat(
-                F.lit("Attempt 0: parsed but wrong size "), size, F.lit(" Attempted Repairs: ['raw input']\n"),
-                F.lit("Attempt 1: parsed but wrong size "), size, F.lit(" Attempted Repairs: []\n")))
-            .when(o == "decode_error", F.lit(
-                "Attempt 0: JSON decode error: not a single JSON value\n"
-                "Attempt 1: JSON decode error: not a single JSON value\n"))
+    wrong = F.concat(*[fill_template(AUDIT_WRONG_SIZE, {"attempt": F.lit(str(i)), "parsed": n, "expected": b,
+                                                       "repairs": F.lit(AUDIT_REPAIRS[i])}) for i in (0, 1)])
+    decode = F.concat(*[fill_template(AUDIT_DECODE_ERROR, {"attempt": F.lit(str(i)),
+                                                        "message": F.lit("not a single JSON value")}) for i in (0, 1)])
+    return (F.when(o == "success", F.lit(AUDIT_SUCCESS))
+            .when(o == "wrong_size", wrong)
+            .when(o == "decode_error", decode)
             .otherwise(F.lit("")))
 
 
@@ -83,8 +84,7 @@ def audit_logs(parsed: DataFrame, run_cols: Sequence[str], order_col: str = "bat
     return g.select(*run_cols, F.array_join(F.transform("_l", lambda s: s["_t"]), "").alias("log"))
 
 
-_ENTRY = (r"Attempt (\d+): (SUCCESS|parsed but wrong size \((\d+) != (\d+)\)"
-          r"|JSON decode error|unexpected error)")
+_ENTRY = AUDIT_LINE_PATTERN
 
 
 def scan_audit_text(logs: DataFrame, text_col: str = "value",

@@ -16,7 +16,7 @@ from normlens.sources import run_files as RF
 REF_METRICS = ["accuracy", "violation_precision", "non_violation_precision",
                "violation_recall", "non_violation_recall"]
 MODEL_A, MODEL_B = "org/model-a:free", "org/model-b"
-EXPERIMENT = "compareCommunities"
+EXPERIMENT = "cross_community"
 
 
 def _model(prompt):

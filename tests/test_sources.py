@@ -10,8 +10,8 @@ from normlens.sources import run_files as RF
 
 def test_scan_nested_metrics_layout(spark):
     base = scratch_path(spark, "results")
-    runs = [("compareCommunities/t5_a/t5_b", "org_model-a_free", 0.75),
-            ("compareCommunities/t5_b/t5_a", "org_model-a_free", 0.5),
+    runs = [("cross_community/t5_a/t5_b", "org_model-a_free", 0.75),
+            ("cross_community/t5_b/t5_a", "org_model-a_free", 0.5),
             ("ZeroShot", "qwen3_14b", 0.9)]
     for directory, model, acc in runs:
         d = os.path.join(base, directory, model)
