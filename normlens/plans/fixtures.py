@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from normlens.constants import NEGATIVE, POSITIVE
 from normlens.functions.index import global_row_index
 from normlens.operators.matrix import names_array
-from normlens.session import scratch_path
+from normlens.session import application_id, scratch_path
 from normlens.sources.tables import read_table
 
 # ---- fixed values: stand-in norms by doc_id % 8 (NULL when doc_id % 11 == 0)
@@ -46,7 +46,7 @@ def stored(name: str):
         def wrapper(spark: SparkSession, d: str, *args, **kwargs) -> DataFrame:
             if args or kwargs:
                 return fn(spark, d, *args, **kwargs)
-            key = (spark.sparkContext.applicationId, d.rstrip("/"), name)
+            key = (application_id(spark), d.rstrip("/"), name)
             with _LOCK:
                 path = _STORE.get(key)
                 if path is None:

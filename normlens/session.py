@@ -33,7 +33,10 @@ def build_session(master: str | None = None, app: str = "normlens",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -49,10 +52,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf:
         conf = tempfile.mkdtemp(prefix="normlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
-    spark.sparkContext.setCheckpointDir(conf)
+    try:  # classic sessions: also used by DataFrame.checkpoint()
+        spark.sparkContext.setCheckpointDir(conf)
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no SparkContext
+        pass
     return conf
 
 
+def application_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return spark.conf.get("spark.app.id", "") or str(id(spark))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -177,3 +177,24 @@ def test_strict_modes_raise(spark):
     scores = spark.createDataFrame([("r/y", 3)], "subreddit string, n_items long")
     with pytest.raises(ValueError):
         C.merge_scores(acc, meta, scores, meta, strict=True)
+
+
+def test_payload_keeps_null_norm_and_non_ascii(spark):
+    import json as _json
+    from normlens.operators import requests as RQ
+    df = spark.createDataFrame([("c", 0, None, "héllo «x»"), ("c", 1, "be nice", "b")],
+                               "subreddit_id string, comment_id long, norm string, body string")
+    b = RQ.batches(df, ["subreddit_id"], batch_size=10)
+    text = b.select(RQ.payload("items").alias("p")).collect()[0].p
+    assert '"norm":null' in text and "héllo «x»" in text
+    assert _json.loads(text) == [{"comment_id": 0, "norm": None, "comment": "héllo «x»"},
+                                 {"comment_id": 1, "norm": "be nice", "comment": "b"}]
+
+
+def test_null_body_has_no_length_bin(spark):
+    rows = [("a" * 10, V), ("a" * 30, N), (None, V), ("a" * 20, V)]
+    df = spark.createDataFrame(rows, "body string, label string")
+    out = {r.bin: r for r in R.length_bin_rates(df, spark, n_bins=2).collect()}
+    # right-closed bins over [10, 30]: (9.98, 20] holds lengths 10 and 20, (20, 30] holds 30
+    assert (out[1].n_comments, out[2].n_comments) == (2, 1)
+    assert out[1].rate == 1.0 and out[2].rate == 0.0
