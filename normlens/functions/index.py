@@ -16,6 +16,9 @@ def global_row_index(df: DataFrame, order_cols: list[str], name: str = "rn",
     ``monotonically_increasing_id`` then encodes (partition, local position).
     Per-partition counts (one row per partition) are prefix-summed and
     joined back, so no step puts all rows in one task.
+
+    The order key must be unique and the input deterministic: a re-run task
+    then gets the same range bounds, local order and ids.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normlens.functions.text import strip_paren_suffix
+from normlens.operators.matrix import spread
 
 MAX_PAIR_AXIS = 100_000
 
@@ -119,8 +120,10 @@ def community_similarity(df: DataFrame, key: str, metrics: Sequence[str],
     names = F.array_sort(F.collect_set(key))
     names = u.select(F.when(F.size(names) <= max_axis, names).otherwise(
         F.raise_error(F.lit(f"more than {max_axis} communities"))) ).scalar()
-    left = u.select(F.col(key).alias(f"{key}_A"), F.col("u").alias("_ua"),
-                    F.explode(names).alias(f"{key}_B")).filter(F.col(f"{key}_A") < F.col(f"{key}_B"))
+    # pairs are generated by many tasks; the partner side (one row per
+    # community) is small and is broadcast by AQE when it fits
+    left = spread(u).select(F.col(key).alias(f"{key}_A"), F.col("u").alias("_ua"),
+                            F.explode(names).alias(f"{key}_B")).filter(F.col(f"{key}_A") < F.col(f"{key}_B"))
     right = u.select(F.col(key).alias(f"{key}_B"), F.col("u").alias("_ub"))
     pairs = left.join(right, f"{key}_B")
     return pairs.select(f"{key}_A", f"{key}_B", _dot(F.col("_ua"), F.col("_ub")).alias("correlation"))

@@ -26,20 +26,31 @@ def names_array(communities: DataFrame, name_col: str = "name",
     return communities.select(checked).scalar()
 
 
+def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Spread a small (community-sized) frame over tasks before a quadratic explode.
+
+    AQE would coalesce such a frame into one partition; an explicit
+    ``repartition(n)`` is kept as is, so the n x n expansion is generated by
+    many tasks instead of one.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
+
+
 def axis_size(communities: DataFrame, name_col: str = "name") -> Column:
     return communities.select(F.count_distinct(name_col)).scalar()
 
 
 def full_grid(cells: DataFrame, communities: DataFrame, name_col: str = "name") -> DataFrame:
     """Every (prompt, eval) pair of the community list with its accuracy or NULL."""
-    axis = communities.select(F.col(name_col).alias(E)).distinct()
+    axis = spread(communities.select(F.col(name_col).alias(E)).distinct())
     grid = axis.select(F.explode(names_array(communities, name_col)).alias(P), E)
     return grid.join(cells.select(P, E, A), [P, E], "left")
 
 
 def pending_cells(communities: DataFrame, finished: DataFrame, name_col: str = "name") -> DataFrame:
     """Grid cells without a finished run (anti join on prompt and eval)."""
-    axis = communities.select(F.col(name_col).alias(E)).distinct()
+    axis = spread(communities.select(F.col(name_col).alias(E)).distinct())
     grid = axis.select(F.explode(names_array(communities, name_col)).alias(P), E)
     return grid.join(finished.select(P, E), [P, E], "left_anti")
 
