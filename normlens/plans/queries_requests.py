@@ -11,7 +11,7 @@ from normlens.operators import requests as RQ
 from normlens.operators import scoring as SC
 from normlens.plans import fixtures as fx
 from normlens.plans.oracle_fixtures import with_fixtures
-from normlens.plans.queries_prep import MIN_COUNT, eligible_comments
+from normlens.plans.queries_prep import _NORMS_SQL, MIN_COUNT, eligible_comments
 from normlens.plans.registry import query
 from normlens.session import scratch_path
 from normlens.sources import readers as RD
@@ -78,24 +78,106 @@ def q_batches(spark, d):
                     F.element_at("items", -1)["comment_id"].alias("last_id"))
 
 
-@query("request_batches")
+_PAYLOAD_SQL = _NORMS_SQL.format(src="ec").replace(", pairs AS", ", pairs AS", 1)
+
+
+@query("request_batches", with_fixtures(["comments"], f"""
+, elig AS (SELECT subreddit_id FROM comments GROUP BY subreddit_id HAVING count(*) > {MIN_COUNT}),
+  ec AS (SELECT * FROM comments WHERE subreddit_id IN (SELECT subreddit_id FROM elig))
+{_PAYLOAD_SQL}
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY subreddit_id, label
+                 ORDER BY md5('21:' || CAST(comment_id AS VARCHAR)), comment_id) AS draw_rank
+             FROM assigned WHERE label IN ('violation', 'non_violation')),
+  split AS (SELECT *, CASE WHEN draw_rank <= {SCORE_N_TEST} THEN 'test' ELSE 'shots' END AS split
+            FROM ranked WHERE draw_rank <= {SCORE_N_TEST + SCORE_N_SHOTS}),
+  tests AS (SELECT subreddit_id, body, norm,
+              row_number() OVER (PARTITION BY subreddit_id, split
+                ORDER BY md5('21:order:' || CAST(comment_id AS VARCHAR)), comment_id) - 1 AS cid
+            FROM split WHERE split = 'test')
+SELECT subreddit_id, floor(cid / {SCORE_BATCH})::BIGINT AS batch_no, count(*) AS n_items,
+  to_json(list(struct_pack(comment_id := cid, norm := norm, comment := body) ORDER BY cid))::VARCHAR AS payload
+FROM tests WHERE cid < 100 GROUP BY subreddit_id, floor(cid / {SCORE_BATCH})"""))
 def q_request_batches(spark, d):
     """Each batch as JSON text (NULL norms kept as null, non-ASCII kept)."""
     b = scoring_batches(spark, d)
     return b.select("subreddit_id", "batch_no", "n_items", RQ.payload("items").alias("payload"))
 
 
-@query("request_context")
-def q_request_context(spark, d):
-    """Per community: name, description, rule lines and few-shot examples."""
-    return context(spark, d, scoring_split(spark, d))
+_CONTEXT_SQL = f"""
+, elig AS (SELECT subreddit_id FROM comments GROUP BY subreddit_id HAVING count(*) > {MIN_COUNT}),
+  ec AS (SELECT * FROM comments WHERE subreddit_id IN (SELECT subreddit_id FROM elig))
+{_PAYLOAD_SQL}
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY subreddit_id, label
+                 ORDER BY md5('21:' || CAST(comment_id AS VARCHAR)), comment_id) AS draw_rank
+             FROM assigned WHERE label IN ('violation', 'non_violation')),
+  split AS (SELECT *, CASE WHEN draw_rank <= {SCORE_N_TEST} THEN 'test' ELSE 'shots' END AS split
+            FROM ranked WHERE draw_rank <= {SCORE_N_TEST + SCORE_N_SHOTS}),
+  prepared AS (SELECT subreddit_id, split, body, norm, label AS true_label,
+                 row_number() OVER (PARTITION BY subreddit_id, split
+                   ORDER BY md5('21:order:' || CAST(comment_id AS VARCHAR)), comment_id) - 1 AS cid
+               FROM split),
+  shots AS (SELECT subreddit_id, to_json(list(struct_pack(comment_id := cid, body := body, norm := norm,
+                                                          true_label := true_label) ORDER BY cid))::VARCHAR AS shots_json
+            FROM prepared WHERE split = 'shots' GROUP BY subreddit_id),
+  rule_names AS (SELECT DISTINCT subreddit_id, target_reason AS short_name FROM comments WHERE target_reason IS NOT NULL),
+  rules AS (SELECT subreddit_id, string_agg(short_name || ': ' || CASE WHEN contains(short_name, 'no') THEN ''
+                                              ELSE 'don''t ' || short_name END, chr(10) ORDER BY short_name) AS rules_text
+            FROM rule_names GROUP BY subreddit_id)
+"""
 
 
-@query("request_messages")
+@query("request_context", with_fixtures(["comments", "communities"], _CONTEXT_SQL + """
+SELECT c.name AS subreddit_id, c.display_name_prefixed, c.public_description,
+  coalesce(r.rules_text, '') AS rules_text, s.shots_json
+FROM communities c LEFT JOIN rules r ON r.subreddit_id = c.name LEFT JOIN shots s ON s.subreddit_id = c.name"""))
+def q_request_context(spark, d):
+    """Per community: name, description, rule lines and few-shot examples (rendered as text)."""
+    ctx = context(spark, d, scoring_split(spark, d))
+    return ctx.select("subreddit_id", "display_name_prefixed", "public_description",
+                      F.array_join("rules", "\n").alias("rules_text"),
+                      RQ.payload("shots").alias("shots_json"))
+
+
+def _template_sql(template: str, values: dict[str, str]) -> str:
+    """SQL concatenation of a ``{name}`` template (literals quoted, newlines as chr(10))."""
+    import re as _re
+    parts, pos = [], 0
+
+    def lit(t):
+        chunks = t.replace("'", "''").split("\n")
+        return " || chr(10) || ".join(f"'{c}'" for c in chunks)
+
+    for m in _re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(lit(template[pos:m.start()]))
+        parts.append(f"coalesce({values[m.group(1)]}, '')")
+        pos = m.end()
+    if pos < len(template):
+        parts.append(lit(template[pos:]))
+    return " || ".join(parts)
+
+
+_SYSTEM_SQL = _template_sql(RQ.DEFAULT_SYSTEM_TEMPLATE, {
+    "display_name": "c.display_name_prefixed", "description": "c.public_description",
+    "rules": "coalesce(r.rules_text, '')", "shots": "s.shots_json"})
+_USER_SQL = _template_sql(RQ.DEFAULT_USER_TEMPLATE, {"payload": "b.payload"})
+
+
+@query("request_messages", with_fixtures(["comments", "communities"], _CONTEXT_SQL + f"""
+, tests AS (SELECT subreddit_id, body, norm, cid FROM prepared WHERE split = 'test'),
+  b AS (SELECT subreddit_id, floor(cid / {SCORE_BATCH})::BIGINT AS batch_no,
+          to_json(list(struct_pack(comment_id := cid, norm := norm, comment := body) ORDER BY cid))::VARCHAR AS payload
+        FROM tests WHERE cid < 100 GROUP BY subreddit_id, floor(cid / {SCORE_BATCH}))
+SELECT p.subreddit_id AS prompt_community, b.subreddit_id AS eval_community, b.batch_no,
+  {_SYSTEM_SQL} AS system_content, {_USER_SQL} AS user_content
+FROM b CROSS JOIN elig p JOIN communities c ON c.name = p.subreddit_id
+LEFT JOIN rules r ON r.subreddit_id = p.subreddit_id LEFT JOIN shots s ON s.subreddit_id = p.subreddit_id"""))
 def q_request_messages(spark, d):
-    """System + user messages for every (prompt community, eval batch) cell."""
+    """System + user message text for every (prompt community, eval batch) cell."""
     r = cell_requests(spark, d)
-    return r.select("prompt_community", "eval_community", "batch_no", "messages")
+    return r.select("prompt_community", "eval_community", "batch_no",
+                    F.col("messages")[0]["content"].alias("system_content"),
+                    F.col("messages")[1]["content"].alias("user_content"))
 
 
 @query("score_batches", with_fixtures(["comments"], _SPLIT_SQL + f"""
