@@ -31,7 +31,13 @@ MAX_COMMUNITIES = 100_000   # guard on the community axis of the grid
 
 
 _STORE: dict[tuple, str] = {}
-_LOCK = threading.RLock()
+_LOCK = threading.Lock()                  # guards the lock table only
+_KEY_LOCKS: dict[tuple, threading.RLock] = {}
+
+
+def _key_lock(key: tuple) -> threading.RLock:
+    with _LOCK:
+        return _KEY_LOCKS.setdefault(key, threading.RLock())
 
 
 def stored(name: str):
@@ -47,7 +53,9 @@ def stored(name: str):
             if args or kwargs:
                 return fn(spark, d, *args, **kwargs)
             key = (application_id(spark), d.rstrip("/"), name)
-            with _LOCK:
+            # one lock per input: independent inputs derive concurrently and an
+            # input that needs another (acyclic) waits only for that one
+            with _key_lock(key):
                 path = _STORE.get(key)
                 if path is None:
                     path = scratch_path(spark, f"input-{name}")
@@ -59,11 +67,17 @@ def stored(name: str):
     return deco
 
 
-def materialize_inputs(spark: SparkSession, d: str) -> None:
-    """Write every stored input for ``d`` (the bench times this separately)."""
-    for fn in (comments, communities, predictions, cells, accuracy, scores,
-               raw_outputs, reply_truth, rules_literal):
-        fn(spark, d)
+def materialize_inputs(spark: SparkSession, d: str, parallel: int = 4) -> None:
+    """Write every stored input for ``d`` (the bench times this separately).
+
+    Independent inputs are derived as concurrent Spark jobs.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    waves = [(comments, communities, scores, raw_outputs, reply_truth),
+             (predictions, rules_literal), (cells,), (accuracy,)]
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        for wave in waves:
+            list(pool.map(lambda fn: fn(spark, d), wave))
 
 
 def _reason(doc_id: Column) -> Column:
