@@ -106,3 +106,14 @@ def scan_audit_text(logs: DataFrame, text_col: str = "value",
     return lines.select(*keys, F.col("line_no").cast("bigint").alias("line_no"),
                         F.regexp_extract("_l", _ENTRY, 1).cast("bigint").alias("attempt"),
                         outcome.alias("outcome"), num(3).alias("n_parsed"), num(4).alias("n_expected"))
+
+
+def audit_summary(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: logged batches (attempt-0 lines), accepted, wrong size, decode errors, accept rate."""
+    first = lines.filter(F.col("attempt") == 0)
+    g = first.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_logged"),
+        F.count_if(F.col("outcome") == "success").alias("n_accepted"),
+        F.count_if(F.col("outcome") == "wrong_size").alias("n_wrong_size"),
+        F.count_if(F.col("outcome") == "decode_error").alias("n_decode_error"))
+    return g.withColumn("accept_rate", F.col("n_accepted") / F.col("n_logged"))

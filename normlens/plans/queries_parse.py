@@ -157,3 +157,18 @@ def q_write_raw_outputs(spark, d):
     r = replies(spark, d).select("run", F.col("batch_no").cast("bigint").alias("batch_no"), "content")
     path = RF.write_json(r, _sp(spark, "raw-outputs"), ["run"])
     return spark.read.schema(r.schema).json(path).select("run", "batch_no", "content")
+
+
+@query("audit_summary", with_fixtures(_FX, _PARSE_SQL + """
+SELECT run, count(*) AS n_logged, count(*) FILTER (WHERE outcome = 'success') AS n_accepted,
+  count(*) FILTER (WHERE outcome = 'wrong_size') AS n_wrong_size,
+  count(*) FILTER (WHERE outcome = 'decode_error') AS n_decode_error,
+  round(count(*) FILTER (WHERE outcome = 'success') / count(*), 6) AS accept_rate
+FROM o WHERE outcome IN ('success', 'wrong_size', 'decode_error') GROUP BY run"""))
+def q_audit_summary(spark, d):
+    """Accept rate of logged batches per run, read back from the written audit logs."""
+    logs = PR.audit_logs(parsed(spark, d), ["run"])
+    path = AL.write_audit_logs(logs, scratch_path(spark, "audit-logs"), ["run"])
+    lines = PR.scan_audit_text(AL.read_audit_logs(spark, path)).withColumn(
+        "run", F.regexp_extract("path", r"run=([^/]+)", 1))
+    return PR.audit_summary(lines, ["run"])
