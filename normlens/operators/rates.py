@@ -96,34 +96,54 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def length_bin_rates(df: DataFrame, spark: SparkSession, text_col: str = "body",
-                     label_col: str = "label", positive: str = POSITIVE,
-                     n_bins: int = 20) -> DataFrame:
-    """Positive rate per equal-width bin of text length; empty bins kept (rate NULL).
+def length_counts(df: DataFrame, text_col: str = "body", label_col: str = "label",
+                  positive: str = POSITIVE) -> DataFrame:
+    """One pass over the texts: rows and positive rows per exact text length.
 
-    The min and max lengths are scalar subqueries (computed once, no join);
-    the bin spine ``1..n_bins`` is left-joined to the per-bin counts.
-    NULL text has no length and no bin.
+    NULL text has no length and is left out.  The result has one row per
+    distinct length, so everything after it works on a small table.
     """
     ln = F.length(F.col(text_col))
-    with_len = df.select(ln.alias("_len"), F.col(label_col).alias("_lab"))
-    params = with_len.agg(equal_width_params(F.min("_len"), F.max("_len"), n_bins)
-                          .alias("p")).scalar()
-    binned = (with_len.filter(F.col("_len").isNotNull())
-              .withColumn("_p", params)
-              .select(equal_width_bin(F.col("_len"), F.col("_p"), n_bins).alias("bin"), "_lab"))
-    per_bin = binned.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n_comments"),
-        F.count_if(F.col("_lab") == positive).alias(f"n_{positive}"))
+    return (df.select(ln.alias("length"), F.col(label_col).alias("_lab"))
+            .filter(F.col("length").isNotNull())
+            .groupBy("length").agg(F.count(F.lit(1)).alias("n"),
+                                   F.count_if(F.col("_lab") == positive).alias("n_positive")))
+
+
+def bin_rates(counts: DataFrame, spark: SparkSession, n_bins: int = 20,
+              positive: str = POSITIVE) -> DataFrame:
+    """Positive rate per equal-width length bin from :func:`length_counts`.
+
+    Min and max come from a scalar subquery; the bin spine ``1..n_bins`` is
+    left-joined so empty bins stay (rate NULL).
+    """
+    params = counts.agg(equal_width_params(F.min("length"), F.max("length"), n_bins)
+                        .alias("p")).scalar()
+    binned = (counts.withColumn("_pp", params)
+              .select(equal_width_bin(F.col("length"), F.col("_pp"), n_bins).alias("bin"),
+                      "n", "n_positive"))
+    per_bin = binned.groupBy("bin").agg(F.sum("n").alias("n_comments"),
+                                        F.sum("n_positive").alias(f"n_{positive}"))
     spine = (spark.range(1, n_bins + 1).select(F.col("id").cast("int").alias("bin"))
              .withColumn("_p", params))
     left, right = bin_edges(F.col("_p"), n_bins, F.col("bin"))
-    out = spine.join(per_bin, "bin", "left").select(
+    return spine.join(per_bin, "bin", "left").select(
         "bin", left.alias("bin_left"), right.alias("bin_right"),
         F.coalesce(F.col("n_comments"), F.lit(0)).alias("n_comments"),
         F.try_divide(F.col(f"n_{positive}").cast("double"),
                      F.col("n_comments").cast("double")).alias("rate"))
-    return out
+
+
+def length_bin_rates(df: DataFrame, spark: SparkSession, text_col: str = "body",
+                     label_col: str = "label", positive: str = POSITIVE,
+                     n_bins: int = 20) -> DataFrame:
+    """Positive rate per equal-width bin of text length; empty bins kept (rate NULL).
+
+    Lazy composition of :func:`length_counts` and :func:`bin_rates`; for very
+    large inputs write the length counts once (``session.materialize``) and
+    bin that, so the texts are read a single time.
+    """
+    return bin_rates(length_counts(df, text_col, label_col, positive), spark, n_bins, positive)
 
 
 def question_flag(body: str = "body") -> Column:

@@ -25,9 +25,11 @@ def eligible_comments(spark, d):
 
 
 def prepared(spark, d):
+    """Draw first, then attach norms to the drawn rows only (the hash choice
+    depends on the id alone, so the order does not change the result)."""
     c = eligible_comments(spark, d)
-    c = P.assign_norms(c, P.community_norms(c))
-    return P.prepared_examples(P.balanced_split(c, n_test=N_TEST, n_shots=N_SHOTS))
+    drawn = P.balanced_split(c, n_test=N_TEST, n_shots=N_SHOTS)
+    return P.prepared_examples(P.assign_norms(drawn, P.community_norms(c)))
 
 
 _NORMS_SQL = """

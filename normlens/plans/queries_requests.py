@@ -25,8 +25,8 @@ KEYWORDS = ["no", "nicht"]
 
 def scoring_split(spark, d):
     c = eligible_comments(spark, d)
-    c = P.assign_norms(c, P.community_norms(c))
-    return P.prepared_examples(P.balanced_split(c, n_test=SCORE_N_TEST, n_shots=SCORE_N_SHOTS))
+    drawn = P.balanced_split(c, n_test=SCORE_N_TEST, n_shots=SCORE_N_SHOTS)
+    return P.prepared_examples(P.assign_norms(drawn, P.community_norms(c)))
 
 
 def scoring_batches(spark, d, split=None):

@@ -11,6 +11,7 @@ from normlens.operators import words as Wd
 from normlens.plans import fixtures as fx
 from normlens.plans.oracle_fixtures import with_fixtures
 from normlens.plans.registry import query
+from normlens.session import materialize
 
 _RESTRICT_SQL = "coalesce(regexp_matches(target_reason, '(?i)(?:no|not)'), false)"
 _STOP_SQL = ", ".join("'" + w + "'" for w in sorted(ALL_STOPWORDS))
@@ -135,7 +136,9 @@ SELECT sp.i::BIGINT AS bin,
 FROM range(1, 21) sp(i) CROSS JOIN e LEFT JOIN agg ON agg.bin = sp.i"""))
 def q_length_bin_rates(spark, d):
     """Violation rate per 20 equal-width comment-length bins (empty bins kept)."""
-    return R.length_bin_rates(fx.comments(spark, d), spark)
+    # the texts are read once; the per-length counts are small and reused
+    counts = materialize(R.length_counts(fx.comments(spark, d)), "length-counts")
+    return R.bin_rates(counts, spark)
 
 
 _WORDS_SQL = f"""

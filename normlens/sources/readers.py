@@ -85,7 +85,10 @@ def explode_rules(df: DataFrame, community_col: str = "subreddit_id",
     """
     parsed = df.select(F.trim(F.col(community_col)).alias(community_col),
                        parse_rule_literal(F.col(rules_col)).alias("_rules"))
-    ex = parsed.select(community_col, F.posexplode("_rules").alias("rule_no", "_r"))
+    # the outer form infers no not-null filter below the projection, so the
+    # Arrow UDF runs once per row instead of twice
+    ex = (parsed.select(community_col, F.posexplode_outer("_rules").alias("rule_no", "_r"))
+          .filter(F.col("_r").isNotNull()))
     name = trim_or_empty(F.col("_r.short_name"))
     reason = trim_or_empty(F.col("_r.violation_reason"))
     return ex.select(community_col, F.col("rule_no").cast("bigint").alias("rule_no"),
