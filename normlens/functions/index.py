@@ -5,33 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33
 
+def global_row_index(df: DataFrame, order_col: str, name: str = "rn",
+                     num_buckets: int | None = None) -> DataFrame:
+    """0-based position of each row in the order of the numeric, unique ``order_col``.
 
-def global_row_index(df: DataFrame, order_cols: list[str], name: str = "rn",
-                     num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in the order of ``order_cols``.
-
-    Range-partition on the (unique) order key and sort within partitions;
-    ``monotonically_increasing_id`` then encodes (partition, local position).
-    Per-partition counts (one row per partition) are prefix-summed and
-    joined back, so no step puts all rows in one task.
-
-    The order key must be unique and the input deterministic: a re-run task
-    then gets the same range bounds, local order and ids.
+    Rows are put into ``num_buckets`` equal-width key ranges (bounds from a
+    min/max scalar subquery), counted per bucket, and the counts are
+    prefix-summed (one row per bucket) into offsets that are broadcast back.
+    The position inside a bucket is a ``row_number`` partitioned by bucket.
+    Every step is a deterministic function of the data, so the two branches
+    (counts and rows) and any re-run task agree; no step puts all rows in
+    one task.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    mid = F.monotonically_increasing_id()
-    tagged = ranged.withColumn("_mid", mid) \
-        .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)) \
-        .withColumn("_loc", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per partition: an ordered window here is over a handful of rows
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
-    return (tagged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_loc"))
-            .drop("_mid", "_pid", "_loc", "_off"))
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(order_col)
+    bounds = df.agg(F.struct(F.min(key).cast("double").alias("lo"),
+                             F.max(key).cast("double").alias("hi")).alias("b")).scalar()
+    width = (bounds["hi"] - bounds["lo"] + 1.0) / float(n)
+    bucket = F.least(F.floor((key.cast("double") - bounds["lo"]) / width), F.lit(n - 1)).cast("int")
+    tagged = df.withColumn("_bkt", bucket)
+    counts = tagged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    # one row per bucket: an ordered window here runs over at most n rows
+    offsets = counts.select("_bkt", F.coalesce(F.sum("_cnt").over(
+        Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_bkt").orderBy(key)) - 1
+    return (tagged.join(F.broadcast(offsets), "_bkt")
+            .withColumn(name, (F.col("_off") + local).cast("bigint"))
+            .drop("_bkt", "_off"))

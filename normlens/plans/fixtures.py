@@ -186,7 +186,7 @@ def raw_outputs(spark: SparkSession, d: str, batch_size: int = 10) -> DataFrame:
     wrapped in prose, empty replies and bare objects with one bad fragment.
     """
     labels = read_table(spark, d, "labels").select("doc_id", "quality")
-    ranked = global_row_index(labels, ["doc_id"], "rn")
+    ranked = global_row_index(labels, "doc_id", "rn")
     item = F.concat(
         F.lit('{"comment_id":'), F.col("doc_id").cast("string"), F.lit(',"label":"'),
         F.when(F.col("quality") == 0, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE)),

@@ -198,3 +198,15 @@ def test_null_body_has_no_length_bin(spark):
     # right-closed bins over [10, 30]: (9.98, 20] holds lengths 10 and 20, (20, 30] holds 30
     assert (out[1].n_comments, out[2].n_comments) == (2, 1)
     assert out[1].rate == 1.0 and out[2].rate == 0.0
+
+
+def test_global_row_index_is_dense_and_ordered(spark):
+    from normlens.functions.index import global_row_index
+    rng = np.random.default_rng(2)
+    ids = rng.choice(10_000_000, size=5000, replace=False)
+    ids[:50] = np.arange(50) * 3 + 9_000_000          # a dense cluster of keys
+    df = spark.createDataFrame(pd.DataFrame({"k": ids, "v": ids % 7})).repartition(5)
+    # a narrower projection for one branch must not change the numbering
+    out = global_row_index(df, "k", "rn", num_buckets=7).select("k", "rn").toPandas()
+    expect = pd.Series(np.argsort(np.argsort(ids)), index=ids)
+    assert (out.set_index("k")["rn"].sort_index() == expect.sort_index()).all()
