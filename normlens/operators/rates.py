@@ -144,7 +144,3 @@ def length_bin_rates(df: DataFrame, spark: SparkSession, text_col: str = "body",
     bin that, so the texts are read a single time.
     """
     return bin_rates(length_counts(df, text_col, label_col, positive), spark, n_bins, positive)
-
-
-def question_flag(body: str = "body") -> Column:
-    return ends_with_question(body)
