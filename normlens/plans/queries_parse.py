@@ -12,6 +12,7 @@ from normlens.plans.queries_prep import eligible_comments
 from normlens.plans.registry import query
 from normlens.session import scratch_path
 from normlens.sources import audit_logs as AL
+from normlens.sources import run_files as RF
 
 BATCHES_PER_RUN = 10
 
@@ -152,10 +153,8 @@ def q_unmatched_predictions(spark, d):
 SELECT run, batch_no, content FROM r"""))
 def q_write_raw_outputs(spark, d):
     """Raw reply texts written per run as JSON (NULLs and whitespace kept); read back."""
-    from normlens.session import scratch_path as _sp
-    from normlens.sources import run_files as RF
     r = replies(spark, d).select("run", F.col("batch_no").cast("bigint").alias("batch_no"), "content")
-    path = RF.write_json(r, _sp(spark, "raw-outputs"), ["run"])
+    path = RF.write_json(r, scratch_path(spark, "raw-outputs"), ["run"])
     return spark.read.schema(r.schema).json(path).select("run", "batch_no", "content")
 
 
