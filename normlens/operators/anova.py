@@ -1,7 +1,7 @@
 """Two-way additive ANOVA (type II) with eta squared, on Spark aggregates.
 
 Spark computes the sufficient statistics in one pass: per (a, b) cell the
-count and the sum of the centred response, plus the total sum of squares.
+count, mean and within-cell sum of squares (stable moment aggregates).
 Only that cell table (at most levels_a x levels_b rows, checked) reaches
 the driver, where the normal equations of the two factors are solved:
 
@@ -36,17 +36,24 @@ ANOVA_SCHEMA = T.StructType([
 
 
 def cell_stats(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
-    """Per (a, b): count and sum of y centred on the overall mean, plus sum of squares.
+    """Per (a, b) cell: count, mean and within-cell sum of squares of y, in one pass.
 
-    Centring first (the mean is a scalar subquery) keeps the sums of squares
-    free of cancellation.
+    ``avg`` and ``var_pop`` merge central moments across partitions, so the
+    sums of squares stay free of cancellation without a separate pass for
+    the overall mean; centring happens on the small cell table.
     """
-    clean = df.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+    yv = F.col(y).cast("double")
+    clean = df.filter(F.col(y).isNotNull() & ~F.isnan(yv)
                       & F.col(a).isNotNull() & F.col(b).isNotNull())
-    mu = clean.agg(F.avg(F.col(y).cast("double"))).scalar()
-    yc = (F.col(y).cast("double") - mu)
-    return clean.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.sum(yc).alias("s"),
-                                   F.sum(yc * yc).alias("ss"))
+    return clean.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.avg(yv).alias("mean"),
+                                   (F.var_pop(yv) * F.count(F.lit(1))).alias("ssw"))
+
+
+def _centred(rows):
+    """(a, b, n, mean, ssw) rows -> (a, b, n, centred sum, centred sum of squares)."""
+    total = sum(r[2] for r in rows)
+    mu = sum(r[2] * r[3] for r in rows) / total
+    return [(ra, rb, n, n * (m - mu), ssw + n * (m - mu) ** 2) for ra, rb, n, m, ssw in rows]
 
 
 def _adjusted_ss(C, ya, yb, na, nb):
@@ -97,7 +104,7 @@ def anova_two_way(spark: SparkSession, df: DataFrame, y: str, a: str, b: str,
     cells = cell_stats(df, y, a, b).limit(max_cells + 1).collect()
     if len(cells) > max_cells:
         raise ValueError(f"more than {max_cells} (a, b) cells")
-    table = anova_from_cells([tuple(r) for r in cells], (a, b))
+    table = anova_from_cells(_centred([tuple(r) for r in cells]), (a, b))
     clean = [tuple(v if isinstance(v, str) else (None if np.isnan(float(v)) else float(v)) for v in row)
              for row in table]
     return spark.createDataFrame(clean, ANOVA_SCHEMA)
