@@ -103,15 +103,23 @@ def request_messages(requests: DataFrame, system_template: str = DEFAULT_SYSTEM_
     return requests.withColumn("messages", msgs)
 
 
-def cell_requests(batches_df: DataFrame, context: DataFrame, prompt_names: Column,
+def cell_requests(batches_df: DataFrame, context: DataFrame, eval_names: Column,
+                  prompt_communities: DataFrame | None = None,
                   eval_col: str = "eval_community", community_col: str = "subreddit_id") -> DataFrame:
     """Requests for every (prompt community, eval batch) cell.
 
-    ``prompt_names`` is the (checked) array of prompt communities as a scalar
-    subquery; exploding it per batch and equi-joining the prompt context
-    avoids any keyless join.
+    Each request needs one eval batch and one prompt context, so one side
+    is replicated across the other axis.  The context (a few shots and the
+    rules per community) is much smaller than a community's batches, so the
+    context is exploded over the (checked) eval axis and the batches are
+    joined on the eval community without being copied.  No keyless join.
+    ``prompt_communities`` (a frame with ``community_col``) limits the
+    prompt axis; by default every community with a context is used.
     """
+    ctx = context
+    if prompt_communities is not None:
+        ctx = ctx.join(prompt_communities.select(community_col).distinct(), community_col, "left_semi")
+    ctx = ctx.withColumnRenamed(community_col, "prompt_community")
+    ctx_x = ctx.select(F.explode(eval_names).alias(eval_col), *ctx.columns)
     b = batches_df.withColumnRenamed(community_col, eval_col)
-    cells = b.select(F.explode(prompt_names).alias("prompt_community"), *b.columns)
-    ctx = context.withColumnRenamed(community_col, "prompt_community")
-    return cells.join(ctx, "prompt_community")
+    return b.join(ctx_x, eval_col)

@@ -47,8 +47,9 @@ def context(spark, d, split):
 def cell_requests(spark, d):
     split = scoring_split(spark, d)
     b = scoring_batches(spark, d, split)
-    names = fx.community_names(eligible_comments(spark, d).select(F.col("subreddit_id").alias("name")))
-    return RQ.request_messages(RQ.cell_requests(b, context(spark, d, split), names))
+    elig = eligible_comments(spark, d).select("subreddit_id").distinct()
+    names = fx.community_names(elig.select(F.col("subreddit_id").alias("name")))
+    return RQ.request_messages(RQ.cell_requests(b, context(spark, d, split), names, elig))
 
 
 _SPLIT_SQL = f"""
