@@ -25,9 +25,21 @@ def eligible_communities(df: DataFrame, community_col: str = "subreddit_id",
 
 
 def exclude_communities(df: DataFrame, ids: list[str],
-                        community_col: str = "subreddit_id") -> DataFrame:
-    """Drop the listed community ids (ids that are absent are a no-op)."""
-    return df.filter(~F.col(community_col).isin(list(ids))) if ids else df
+                        community_col: str = "subreddit_id", strict: bool = False) -> DataFrame:
+    """Drop the listed community ids.
+
+    Ids that are absent are a no-op; ``strict=True`` raises for them instead
+    (one small check job over the distinct listed ids).
+    """
+    if not ids:
+        return df
+    if strict:
+        present = {r[0] for r in df.filter(F.col(community_col).isin(list(ids)))
+                   .select(community_col).distinct().collect()}
+        missing = sorted(set(ids) - present)
+        if missing:
+            raise ValueError(f"community ids not present: {missing}")
+    return df.filter(~F.col(community_col).isin(list(ids)))
 
 
 def community_norms(df: DataFrame, community_col: str = "subreddit_id",

@@ -210,3 +210,11 @@ def test_global_row_index_is_dense_and_ordered(spark):
     out = global_row_index(df, "k", "rn", num_buckets=7).select("k", "rn").toPandas()
     expect = pd.Series(np.argsort(np.argsort(ids)), index=ids)
     assert (out.set_index("k")["rn"].sort_index() == expect.sort_index()).all()
+
+
+def test_exclude_communities_strict(spark):
+    df = _corpus(spark, 12)
+    assert P.exclude_communities(df, ["c0", "nope"]).filter(F.col("subreddit_id") == "c0").count() == 0
+    with pytest.raises(ValueError):
+        P.exclude_communities(df, ["c0", "nope"], strict=True)
+    assert P.exclude_communities(df, ["c0"], strict=True).count() == 8
