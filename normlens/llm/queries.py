@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm import byte_bpe, html_extract, warc
+from normlens.llm import byte_bpe, html_extract, suffix_dedup, warc
 from normlens.llm.common import materialize, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), "doc_id", "text",
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents covered by repeated 200-byte strings, removed."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), "doc_id", "text").drop("kept")
