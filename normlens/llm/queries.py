@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm import byte_bpe, html_extract, suffix_dedup, warc
+from normlens.llm import byte_bpe, chunk_dedup, html_extract, minhash_dedup, suffix_dedup, warc
 from normlens.llm.common import materialize, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of documents covered by repeated 200-byte strings, removed."""
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), "doc_id", "text").drop("kept")
+
+
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: 4-word shingles, Jaccard of 0.8 or more."""
+    docs = read_table(spark, sf_dir, "documents")
+    return minhash_dedup.near_duplicates(docs, "doc_id", "text", words=4).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of documents, found by content-defined chunks; later occurrences removed."""
+    return chunk_dedup.remove_repeated_chunks(read_table(spark, sf_dir, "documents"), "doc_id", "text").drop("kept")
