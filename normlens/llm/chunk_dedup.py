@@ -123,7 +123,7 @@ def _cut_task(min_run: int):
     return run
 
 
-def remove_repeated_chunks(df: DataFrame, id_col: str, text_col: str, bits: int = 4, least: int = 12,
+def remove_repeated_chunks(df: DataFrame, id_col: str, text_col: str, bits: int = 4, least: int = 8,
                            most: int = 256, min_run: int = 100) -> DataFrame:
     """One row per text: bytes in repeated passages, bytes removed (later occurrences), what is kept.
 

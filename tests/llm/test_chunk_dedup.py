@@ -17,7 +17,7 @@ def run(spark, rows, **kw):
     return {r.doc_id: r for r in C.remove_repeated_chunks(df, "doc_id", "text", **kw).collect()}
 
 
-def brute(rows, bits=4, least=12, most=256, min_run=100):
+def brute(rows, bits=4, least=8, most=256, min_run=100):
     """The rules again, text by text, with a dictionary of whole chunks."""
     cut = {}
     for i, t in rows:
