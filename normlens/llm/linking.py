@@ -1,13 +1,17 @@
 """From hash buckets to verified links, without all pairs of a bucket.
 
-Every member of a bucket is verified against the bucket's smallest member
+Every member of a bucket is verified against the bucket's most central member
 (one candidate a member).  The verified links already join almost all of a
 group of copies.  Only buckets whose members then lie in several components
-need more: there, members outside the bucket's largest component are held
-against members of other components, except pairs that the exact distances to
-the smallest member rule out (Jaccard distance is a metric, so
-|d(x, c) - d(y, c)| is a lower bound of d(x, y)).  After that, two members of
-a bucket are either connected by verified links or known to be unlike.
+need more.  There, elements that only one set holds give an exact bound: if
+s(x) elements of x occur in any other set, then x and y share at most
+I = min(s(x), s(y)), and their similarity is at most I / (|x| + |y| - I).
+Members outside the bucket's largest component meet some of its members in
+rounds, then all members of other components that the bounds allow.  The second
+bound comes from parity sketches: bit j says whether the set has an odd number
+of elements of hash j, so the bits in which two sketches differ are at most the
+elements in which the sets differ.  In the end two members of a bucket are
+connected by verified links or known to be unlike: nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from normlens.llm.common import local_forest, materialize, star_components
 
+PARITY_BITS = 4096
 SIZED = "a long, b long, inter long, total long"
 
 
@@ -42,6 +47,21 @@ def verify_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["a", "b", "inter", "total"])
 
 
+def parity_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PARITY_BITS bits of every set, packed into 64-bit words."""
+    words = PARITY_BITS // 64
+    for batch in batches:
+        items = batch.column("items")
+        values, off = np.asarray(items.values), np.asarray(items.offsets)
+        out = np.zeros((batch.num_rows, words), np.int64)
+        for k in range(batch.num_rows):
+            odd = np.bincount(values[off[k]:off[k + 1]] & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+            out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words)
+        yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))],
+                              names=["id", "par"])
+
+
 def set_verifier(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Verifier over stored sets (id, items array<long>, sorted and distinct)."""
     def run(pairs: DataFrame) -> DataFrame:
@@ -51,47 +71,93 @@ def set_verifier(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, name: str
-         ) -> tuple[DataFrame, DataFrame]:
-    """Verified links and components of bucket members.
+def _rank(*cols: str):
+    """A fixed pseudo-random order of rows."""
+    return F.xxhash64(*cols)
 
-    ``members`` is a stored frame (key, id, n, low, n_low): ``n`` the set size,
-    ``low`` the smallest id of the bucket and ``n_low`` its set size.  ``verify`` returns (a, b, inter,
-    total) of given pairs (a < b); a link needs den * inter >= num * total.
-    Returns (links (u, v), components (node, component_id)).
+
+def anchored(banded: DataFrame, name: str) -> DataFrame:
+    """Members (key, id, n, low, n_low) of every bucket of two or more rows of ``banded`` (key, id, n).
+
+    ``low`` is the bucket's most central member: the one that shares the most
+    bucket places with others (ties: the smallest id).  Originals score higher
+    than their variants, so variants meet the original first.
     """
-    ok = F.col("inter") * den >= F.col("total") * num
-    star = (members.where("id > low")
-            .where(F.least("n", "n_low") * den >= F.greatest("n", "n_low") * num)
-            .select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    tested = materialize(verify(star), f"{name}-tested")
-    links = tested.where(ok).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comps = star_components(local_forest(links), f"{name}-c1")
+    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{name}-sizes")
+    shared = materialize(banded.join(sizes, "key"), f"{name}-shared")
+    score = shared.groupBy("id").agg(F.sum("m").alias("score"))
+    scored = materialize(shared.join(score, "id").select("key", "id", "n", "score"), f"{name}-scored")
+    # stored, so that the join can split the rows of a large bucket
+    top = materialize(scored.groupBy("key").agg(F.max(F.struct("score", -F.col("id"), "n")).alias("t"))
+                      .select("key", (-F.col("t.col2")).alias("low"), F.col("t.n").alias("n_low")), f"{name}-top")
+    return materialize(scored.select("key", "id", "n").join(top, "key"), f"{name}-members")
+
 
+def _placed(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """Members that may have links left, in buckets of several components: (key, id, n, s, low, comp, top)."""
     placed = members.join(comps.select(F.col("node").alias("id"), "component_id"), "id", "left").select(
         "key", "id", "n", "low", F.coalesce("component_id", "id").alias("comp"))
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    # stored, so that the join below can split a large bucket
     split = materialize(by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "comp")).alias("top"))
                         .where("k > 1").select("key", F.col("top.comp").alias("top")), f"{name}-split")
-    dist = tested.select(F.col("a").alias("low"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    open_ = placed.join(split, "key").join(dist, ["low", "id"], "left")
-    # untested members failed the size test; the size ratio bounds their similarity from above
-    open_ = materialize(open_.select("key", "id", "n", "comp", "top", "low", "d"), f"{name}-open")
-    x = open_.where("comp <> top OR id = low").alias("x")
-    y = open_.alias("y")
-    far = 1.0 - num / den
-    d_x = F.when(F.col("x.id") == F.col("x.low"), F.lit(0.0)).otherwise(F.col("x.d"))
-    d_y = F.when(F.col("y.id") == F.col("y.low"), F.lit(0.0)).otherwise(F.col("y.d"))
-    near = F.coalesce(F.abs(d_x - d_y) <= far + 1e-9, F.lit(True))
+    open_ = materialize(placed.join(split, "key"), f"{name}-open")
+    items = (sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.explode("items").alias("item")))
+    alone = (items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+             .groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
+    bound = open_.join(alone, "id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return materialize(bound.where(F.col("s") * den >= F.col("n") * num), f"{name}-bound")
+
+
+def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, rounds: int = 2
+         ) -> tuple[DataFrame, DataFrame]:
+    """Verified links and components of bucket members.
+
+    ``members`` is a stored frame (key, id, n, low, n_low): ``n`` the set size,
+    ``low`` the bucket's anchor and ``n_low`` its set size; ``sets`` the stored
+    sets (id, items).  A link needs den * inter >= num * total.  Returns
+    (links (u, v), components (node, component_id)).
+    """
+    verify = set_verifier(sets)
+    ok = F.col("inter") * den >= F.col("total") * num
+    sized = lambda p, q: F.least(p, q) * den >= F.greatest(p, q) * num
+    pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    star = members.where("id <> low").where(sized("n", "n_low")).select(*pair("low", "id")).distinct()
+    tested = materialize(verify(star), f"{name}-tested")
+    links = tested.where(ok).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comps = star_components(local_forest(links), f"{name}-c0")
+    open_ = _placed(members, comps, sets, num, den, f"{name}-p0")
+    for r in range(1, rounds + 1):
+        if open_.isEmpty():
+            return links, comps
+        # each member outside the largest component meets one other member of that component
+        hub = materialize(open_.where("comp = top").groupBy("key").agg(F.min(F.struct(_rank("id", F.lit(r)), "id", "n")).alias("h"))
+                          .select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("n_hub")), f"{name}-hub")
+        tries = (open_.where("comp <> top").join(hub, "key").where(sized("n", "n_hub"))
+                 .select(*pair("id", "hub")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        more = materialize(verify(tries), f"{name}-more")
+        tested = tested.unionByName(more)
+        found = more.where(ok).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if found.isEmpty():
+            continue
+        links = links.unionByName(found)
+        comps = star_components(local_forest(links), f"{name}-c{r}")
+        open_ = _placed(open_.select("key", "id", "n", "low"), comps, sets, num, den, f"{name}-p{r}")
+    if open_.isEmpty():
+        return links, comps
+    sketch = materialize(sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", "items")
+                         .mapInArrow(parity_sketches, "id long, par array<long>"), f"{name}-parity")
+    open_ = materialize(open_.join(sketch, "id"), f"{name}-sketched")
+    x, y = open_.where("comp <> top").alias("x"), open_.alias("y")
+    differ = F.aggregate(F.zip_with("x.par", "y.par", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                         F.lit(0), lambda t, c: t + c)
+    both = F.col("x.n") + F.col("y.n")
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-                   & (F.col("x.comp") != F.col("x.top"))
                    & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
-                   & (F.col("x.id") != F.col("x.low")) & (F.col("y.id") != F.col("y.low"))
-                   & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & near)
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    more = materialize(verify(rest).where(ok).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-more")
-    links = links.unionByName(more)
+                   & sized("x.n", "y.n") & (F.least("x.s", "y.s") * (num + den) >= both * num)
+                   & (differ * (num + den) <= both * (den - num))).select(*pair("x.id", "y.id")).distinct()
+            .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    more = materialize(verify(rest).where(ok).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-rest")
     if more.isEmpty():
         return links, comps
-    return links, star_components(local_forest(links), f"{name}-c2")
+    links = links.unionByName(more)
+    return links, star_components(local_forest(links), f"{name}-end")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normlens.llm.common import byte_blocks, checked_broadcast, component_ids, materialize, mix64
-from normlens.llm.linking import link, set_verifier
+from normlens.llm.linking import anchored, link
 from normlens.llm.suffix_dedup import PrefixHash
 
 SPACE = np.zeros(256, dtype=bool)
@@ -135,15 +135,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, n
                .agg(F.min(F.struct("id", "n", "keys")).alias("r"), F.count(F.lit(1)).alias("copies")))
     classes = materialize(classes.select("d1", "d2", "copies", "r.*"), "mh-classes")
     banded = classes.select("id", "n", F.explode("keys").alias("key"))
-    # stored, so that the join can split the rows of a large bucket
-    full = materialize(banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.count(F.lit(1)).alias("m"))
-                       .where("m > 1").select("key", F.col("low.id").alias("low"), F.col("low.n").alias("n_low")), "mh-full")
-    members = materialize(banded.join(full, "key"), "mh-members")
+    members = anchored(banded, "mh")
     wanted = members.select("id").distinct()
     wanted = checked_broadcast(wanted, wanted.count(), 2_000_000)
     sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_task(words), "id long, items array<long>"),
                        "mh-sets")
-    _, comps = link(members, set_verifier(sets), num, den, "mh")
+    _, comps = link(members, sets, num, den, "mh")
     # a class is known by its smallest id; copies follow their representative
     of_class = component_ids(classes.where("copies > 1").select("d1", "d2", F.col("id").alias("rep")), "rep", comps)
     copies = (signed.select("id", "d1", "d2", "n").where("n > 0")
