@@ -242,7 +242,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(_decoder(path), "id long, data binary")
 
 
-def _digester(path: str, pattern: str, block_chars: int):
+def _digester(path: str, pattern: str, block_chars: int, with_ids: bool):
     """Encode, digest the ids, decode them again and digest the bytes, block by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merge_table(path)
@@ -253,17 +253,20 @@ def _digester(path: str, pattern: str, block_chars: int):
             data = memoryview(decode_ids(flat, table))
             size = np.concatenate(([0], np.cumsum(table.token_len[flat])))[off]
             le = memoryview(flat.astype("<u4").tobytes())
-            yield pa.record_batch(
+            out = pa.record_batch(
                 [b.column("id"), pa.array(np.diff(off)),
                  pa.array([hashlib.sha256(le[4 * x:4 * y]).hexdigest() for x, y in zip(off[:-1], off[1:])], pa.string()),
                  pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(size[:-1], size[1:])], pa.string())],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                out = out.append_column("ids", lists)
+            yield out
     return run
 
 
 def round_trip_digests(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str,
-                       block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass."""
+                       block_chars: int = BLOCK_CHARS, with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): encode, then decode the ids, in one pass."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_digester(path, pattern, block_chars),
-                           "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(_digester(path, pattern, block_chars, with_ids), schema)

@@ -77,14 +77,17 @@ def _rank(*cols: str):
 
 
 def anchored(banded: DataFrame, name: str) -> DataFrame:
-    """Members (key, id, n, low, n_low) of every bucket of two or more rows of ``banded`` (key, id, n).
+    """Members (key, id, n, low, n_low) of every bucket of two or more ids of ``banded`` (key, id, n).
+
+    Rows of ``banded`` may repeat.
 
     ``low`` is the bucket's most central member: the one that shares the most
     bucket places with others (ties: the smallest id).  Originals score higher
     than their variants, so variants meet the original first.
     """
-    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{name}-sizes")
-    shared = materialize(banded.join(sizes, "key"), f"{name}-shared")
+    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("a"), F.max("id").alias("z"))
+                        .where("a < z").select("key", "m"), f"{name}-sizes")
+    shared = materialize(banded.join(sizes, "key").select("key", "id", "n", "m").distinct(), f"{name}-shared")
     score = shared.groupBy("id").agg(F.sum("m").alias("score"))
     scored = materialize(shared.join(score, "id").select("key", "id", "n", "score"), f"{name}-scored")
     # stored, so that the join can split the rows of a large bucket

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm import byte_bpe, chunk_dedup, html_extract, minhash_dedup, suffix_dedup, warc
+from normlens.llm import (byte_bpe, chunk_dedup, decontaminate, embedding_dedup, html_extract, line_dedup,
+                           minhash_dedup, quality, suffix_dedup, warc)
 from normlens.llm.common import materialize, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,39 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of documents, found by content-defined chunks; later occurrences removed."""
     return chunk_dedup.remove_repeated_chunks(read_table(spark, sf_dir, "documents"), "doc_id", "text").drop("kept")
+
+
+@query("op2_embedding_near_dedup")
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of cosine 0.9 or more to each other: link counts and components."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    return embedding_dedup.near_vectors(rows, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines (exact or fuzzy): counts and digest of what is kept."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.cleaned(docs, "doc_id", "text")
+    kept = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("__removed").alias("n_removed"), F.length(kept).cast("long").alias("n_chars"),
+                      F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: its own evidence with its source's and language's."""
+    return quality.quality_scores(
+        read_table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang",
+        read_table(spark, sf_dir, "labels"), "doc_id", "quality").withColumnRenamed("id", "doc_id")
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items it covers by 0.6 or more."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = read_table(spark, sf_dir, "benchmark")
+    hits = decontaminate.contaminated(decontaminate.matches(docs, "doc_id", "text", bench, "item_id", "text"))
+    return docs.select("doc_id").join(hits, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "items",
+        F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"), F.col("n_items").isNotNull().alias("contaminated"))
