@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from normlens.llm.common import ragged_index
 
 NO_RANK = np.int64(1 << 40)
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 3_000_000
 
 
 class MergeTable:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import byte_blocks, checked_broadcast, materialize
+from normlens.llm.common import byte_blocks, checked_broadcast, materialize, ragged_index
 from normlens.llm.linking import anchored, link
 from normlens.llm.minhash_dedup import LOWER, SPACE, band_keys
 from normlens.llm.suffix_dedup import PrefixHash
@@ -73,19 +73,25 @@ def normal_block(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.concatenate((kept[starts], [len(out)]))[:len(starts) + 1], text, number
 
 
-def shingle_sets(norm: np.ndarray, bounds: list[tuple[int, int]], chars: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of the lines norm[s:e]; shingles are of characters, not bytes."""
-    ph = PrefixHash(norm)
+def shingle_hashes(norm: np.ndarray, s: np.ndarray, e: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of the lines norm[s:e], with repeats, and how many each line has.
+
+    Shingles are of characters, not bytes.
+    """
     lead = np.flatnonzero((norm & 0xC0) != 0x80)  # first byte of every character
-    out = []
-    for s, e in bounds:
-        at = lead[np.searchsorted(lead, s):np.searchsorted(lead, e)]
-        if len(at) <= chars:
-            out.append(ph.of(np.array([s]), np.array([e])))
-        else:
-            stop = np.concatenate((at[chars:], [e]))
-            out.append(np.unique(ph.of(at[:len(stop)], stop)))
-    return out
+    first, last = np.searchsorted(lead, s), np.searchsorted(lead, e)
+    count = np.maximum(1, last - first - chars + 1)
+    at = ragged_index(first, count)
+    ends = np.concatenate((lead, [len(norm)]))
+    stop = np.minimum(ends[np.minimum(at + chars, len(lead))], np.repeat(e, count))
+    return PrefixHash(norm).of(np.repeat(s, count) if not len(lead) else lead[at], stop), count
+
+
+def shingle_sets(norm: np.ndarray, s: np.ndarray, e: np.ndarray, chars: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of the lines norm[s:e]."""
+    flat, count = shingle_hashes(norm, s, e, chars)
+    end = np.cumsum(count).tolist()
+    return [np.unique(flat[x:y]) for x, y in zip([0, *end[:-1]], end)]
 
 
 def _lines_of(batch: pa.RecordBatch, min_chars: int):
@@ -139,10 +145,10 @@ def _band_task(min_chars: int, chars: int, bands: int, rows: int, seed: int):
                 for x, y in zip(s.tolist(), e.tolist()):
                     seen.setdefault(raw[x:y], (x, y))
                 bounds = list(seen.values())
-                sets = shingle_sets(norm, bounds, chars)
-                n = pa.array(np.array([len(x) for x in sets], np.int64))
-                yield _list_batch(["id", "n", "keys"], _class_ids(raw, bounds), [n],
-                                  list(band_keys(sets, bands, rows, seed)))
+                at = np.array(bounds, np.int64)
+                flat, count = shingle_hashes(norm, at[:, 0], at[:, 1], chars)
+                keys = band_keys(flat, np.cumsum(count) - count, bands, rows, seed)
+                yield _list_batch(["id", "keys"], _class_ids(raw, bounds), [], list(keys))
     return run
 
 
@@ -158,7 +164,7 @@ def _set_task(chars: int):
                 if len(at):
                     bounds = list(zip(s[at].tolist(), e[at].tolist()))
                     yield _list_batch(["id", "items"], _class_ids(norm.tobytes(), bounds), [],
-                                      shingle_sets(norm, bounds, chars))
+                                      shingle_sets(norm, s[at], e[at], chars))
     return run
 
 
@@ -174,8 +180,8 @@ def duplicate_lines(df: DataFrame, id_col: str, text_col: str, chars: int = 8, n
     classes = materialize(lines.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")),
                           "ln-classes")
     banded = materialize(texts.mapInArrow(_band_task(min_chars, chars, bands, rows, seed),
-                                          "id long, n long, keys array<long>"), "ln-bands")
-    members = anchored(banded.select("id", "n", F.explode("keys").alias("key")), "ln")
+                                          "id long, keys array<long>"), "ln-bands")
+    members = anchored(banded.select("id", F.explode("keys").alias("key")), "ln")
     wanted = classes.join(members.select(F.col("id").alias("d1")).distinct(), "d1", "left_semi")
     by_text = materialize(wanted.groupBy(F.shiftright("rep", LINE_BITS).alias("id"))
                           .agg(F.collect_list("rep").alias("want")), "ln-wanted")

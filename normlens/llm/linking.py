@@ -3,13 +3,10 @@
 Every member of a bucket is verified against the bucket's most central member
 (one candidate a member).  The verified links already join almost all of a
 group of copies.  Only buckets whose members then lie in several components
-need more.  There, elements that only one set holds give an exact bound: if
-s(x) elements of x occur in any other set, then x and y share at most
-I = min(s(x), s(y)), and their similarity is at most I / (|x| + |y| - I).
-Members outside the bucket's largest component meet some of its members in
-rounds, then all members of other components that the bounds allow.  The second
-bound comes from parity sketches: bit j says whether the set has an odd number
-of elements of hash j, so the bits in which two sketches differ are at most the
+need more.  There, members outside the bucket's largest component meet some of
+its members in rounds, then all members of other components that an exact bound
+allows.  The bound comes from parity sketches: bit j says whether the set has an
+odd number of elements of hash j, so the bits in which two sketches differ are at most the
 elements in which the sets differ.  In the end two members of a bucket are
 connected by verified links or known to be unlike: nothing is capped or sampled.
 """
@@ -23,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import local_forest, materialize, star_components
+from normlens.llm.common import checked_broadcast, local_forest, materialize, star_components
 
 PARITY_BITS = 4096
 SIZED = "a long, b long, inter long, total long"
@@ -77,58 +74,56 @@ def _rank(*cols: str):
 
 
 def anchored(banded: DataFrame, name: str) -> DataFrame:
-    """Members (key, id, n, low, n_low) of every bucket of two or more ids of ``banded`` (key, id, n).
-
-    Rows of ``banded`` may repeat.
+    """Members (key, id, low) of every bucket of two or more ids of ``banded`` (key, id), whose rows may repeat.
 
     ``low`` is the bucket's most central member: the one that shares the most
     bucket places with others (ties: the smallest id).  Originals score higher
     than their variants, so variants meet the original first.
     """
-    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("a"), F.max("id").alias("z"))
-                        .where("a < z").select("key", "m"), f"{name}-sizes")
-    shared = materialize(banded.join(sizes, "key").select("key", "id", "n", "m").distinct(), f"{name}-shared")
-    score = shared.groupBy("id").agg(F.sum("m").alias("score"))
-    scored = materialize(shared.join(score, "id").select("key", "id", "n", "score"), f"{name}-scored")
+    full = materialize(banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+                       .where("a < z").select("key"), f"{name}-full")
+    shared = materialize(banded.join(checked_broadcast(full, full.count(), 2_000_000), "key", "left_semi")
+                         .select("key", "id").distinct(), f"{name}-shared")
+    sizes = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")), f"{name}-sizes")
+    score = shared.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("score"))
     # stored, so that the join can split the rows of a large bucket
-    top = materialize(scored.groupBy("key").agg(F.max(F.struct("score", -F.col("id"), "n")).alias("t"))
-                      .select("key", (-F.col("t.col2")).alias("low"), F.col("t.n").alias("n_low")), f"{name}-top")
-    return materialize(scored.select("key", "id", "n").join(top, "key"), f"{name}-members")
+    top = materialize(shared.join(score, "id").groupBy("key")
+                      .agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("t"))
+                      .select("key", (-F.col("t.neg")).alias("low")), f"{name}-top")
+    return materialize(shared.join(top, "key"), f"{name}-members")
 
 
-def _placed(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """Members that may have links left, in buckets of several components: (key, id, n, s, low, comp, top)."""
+def _placed(members: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+    """Members of buckets that still hold several components: (key, id, n, low, comp, top)."""
     placed = members.join(comps.select(F.col("node").alias("id"), "component_id"), "id", "left").select(
         "key", "id", "n", "low", F.coalesce("component_id", "id").alias("comp"))
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     split = materialize(by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "comp")).alias("top"))
                         .where("k > 1").select("key", F.col("top.comp").alias("top")), f"{name}-split")
-    open_ = materialize(placed.join(split, "key"), f"{name}-open")
-    items = (sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.explode("items").alias("item")))
-    alone = (items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
-             .groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
-    bound = open_.join(alone, "id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    return materialize(bound.where(F.col("s") * den >= F.col("n") * num), f"{name}-bound")
+    return materialize(placed.join(split, "key"), f"{name}-open")
 
 
-def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, rounds: int = 2
+def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, rounds: int = 1
          ) -> tuple[DataFrame, DataFrame]:
     """Verified links and components of bucket members.
 
-    ``members`` is a stored frame (key, id, n, low, n_low): ``n`` the set size,
-    ``low`` the bucket's anchor and ``n_low`` its set size; ``sets`` the stored
-    sets (id, items).  A link needs den * inter >= num * total.  Returns
+    ``members`` is a stored frame (key, id, low), ``low`` being the bucket's
+    anchor; ``sets`` the stored sets (id, items).  A link needs den * inter >= num * total.  Returns
     (links (u, v), components (node, component_id)).
     """
     verify = set_verifier(sets)
     ok = F.col("inter") * den >= F.col("total") * num
     sized = lambda p, q: F.least(p, q) * den >= F.greatest(p, q) * num
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
-    star = members.where("id <> low").where(sized("n", "n_low")).select(*pair("low", "id")).distinct()
+    size = materialize(sets.select("id", F.size("items").alias("n")), f"{name}-n")
+    members = materialize(members.join(size, "id"), f"{name}-sized")
+    star = (members.where("id <> low").select("id", "n", "low").distinct()
+            .join(size.select(F.col("id").alias("low"), F.col("n").alias("n_low")), "low")
+            .where(sized("n", "n_low")).select(*pair("low", "id")).distinct())
     tested = materialize(verify(star), f"{name}-tested")
     links = tested.where(ok).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = star_components(local_forest(links), f"{name}-c0")
-    open_ = _placed(members, comps, sets, num, den, f"{name}-p0")
+    open_ = _placed(members, comps, f"{name}-p0")
     for r in range(1, rounds + 1):
         if open_.isEmpty():
             return links, comps
@@ -144,7 +139,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, rou
             continue
         links = links.unionByName(found)
         comps = star_components(local_forest(links), f"{name}-c{r}")
-        open_ = _placed(open_.select("key", "id", "n", "low"), comps, sets, num, den, f"{name}-p{r}")
+        open_ = _placed(open_.select("key", "id", "n", "low"), comps, f"{name}-p{r}")
     if open_.isEmpty():
         return links, comps
     sketch = materialize(sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", "items")
@@ -156,7 +151,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, rou
     both = F.col("x.n") + F.col("y.n")
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
                    & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
-                   & sized("x.n", "y.n") & (F.least("x.s", "y.s") * (num + den) >= both * num)
+                   & sized("x.n", "y.n")
                    & (differ * (num + den) <= both * (den - num))).select(*pair("x.id", "y.id")).distinct()
             .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     more = materialize(verify(rest).where(ok).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-rest")

@@ -82,12 +82,10 @@ def universal(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             r.integers(0, 1 << 63, count, dtype=np.uint64))
 
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int, seed: int) -> np.ndarray:
-    """Keys of the bands of every set (all sets non-empty): shape (sets, bands)."""
+def band_keys(flat: np.ndarray, start: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
+    """Keys of the bands of every set; sets stand one after another in ``flat``, none empty: shape (sets, bands)."""
     mul, add = universal(bands * rows, seed)
-    flat = np.concatenate(sets)
-    start = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    keys = np.zeros((len(sets), bands), dtype=np.uint64)
+    keys = np.zeros((len(start), bands), dtype=np.uint64)
     for k in range(bands * rows):
         low = np.minimum.reduceat(flat * mul[k] + add[k], start)
         keys[:, k // rows] = mix64(keys[:, k // rows] * CHAIN + low + np.uint64(k // rows))
@@ -104,7 +102,8 @@ def _sign_task(words: int, bands: int, rows: int, seed: int):
                 digest = np.zeros((len(sets), 2), dtype=np.int64)
                 for k in full.tolist():
                     digest[k] = np.frombuffer(hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), np.int64)
-                keys = band_keys([sets[k] for k in full.tolist()], bands, rows, seed) if len(full) else np.zeros((0, bands))
+                start = (np.cumsum(n) - n)[full]
+                keys = band_keys(np.concatenate(sets), start, bands, rows, seed) if len(full) else np.zeros((0, bands))
                 offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
                 yield pa.record_batch(
                     [b.column("id").slice(i, j - i), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
@@ -134,7 +133,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, n
     classes = (signed.where("n > 0").groupBy("d1", "d2")
                .agg(F.min(F.struct("id", "n", "keys")).alias("r"), F.count(F.lit(1)).alias("copies")))
     classes = materialize(classes.select("d1", "d2", "copies", "r.*"), "mh-classes")
-    banded = classes.select("id", "n", F.explode("keys").alias("key"))
+    banded = classes.select("id", F.explode("keys").alias("key"))
     members = anchored(banded, "mh")
     wanted = members.select("id").distinct()
     wanted = checked_broadcast(wanted, wanted.count(), 2_000_000)

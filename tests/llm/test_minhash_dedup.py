@@ -101,5 +101,6 @@ def test_components_of_paths_and_hubs(spark):
 def test_minima_estimate_similarity():
     r = np.random.default_rng(1)
     base = np.unique(r.integers(0, 1 << 62, 1000).astype(np.uint64))
-    keys = M.band_keys([base, base[:800], np.unique(r.integers(0, 1 << 62, 900).astype(np.uint64))], 200, 1, 3)
+    flat = np.concatenate([base, base[:800], np.unique(r.integers(0, 1 << 62, 900).astype(np.uint64))])
+    keys = M.band_keys(flat, np.array([0, 1000, 1800]), 200, 1, 3)
     assert 0.7 < (keys[0] == keys[1]).mean() < 0.9 and (keys[0] == keys[2]).mean() < 0.02
