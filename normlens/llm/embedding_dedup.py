@@ -6,8 +6,8 @@ comes from its hash, and in every layer it is joined to near vectors chosen so
 that they spread out.  Every vector queries every shard: a walk down the layers,
 a beam over the bottom one, and from the beam a flood through all vectors of
 cosine ``cosine - slack`` or more.  An audit holds sampled vectors against the
-whole shard; while it misses any link, the beam doubles and the slack grows (at
-the shard's size the search is exhaustive).  Links are verified in double
+whole shard; while it misses any link, the beam doubles and the slack grows (past
+WIDEST the bounded shard is scanned whole).  Links are verified in double
 precision.  Each task returns link counts and a spanning forest of its links,
 so a group of copies never turns into all its pairs; components join the forests.
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from normlens.llm.common import component_ids, local_forest, materialize, mix64, star_components
 
+WIDEST = 256
 LAYER = 16  # one vector in LAYER of a layer is also in the next one up
 HITS = "id long, n_links long, u long, v long"
 
@@ -139,6 +140,8 @@ def search(q: np.ndarray, x: np.ndarray, layers: list, cosine: float, ef: int, s
            ) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs of similarity about ``cosine`` or more that the graph search reaches."""
     nq, n = len(q), len(x)
+    if ef >= n:
+        return tuple(np.nonzero(q @ x.T >= cosine - 1e-4))
     floor = cosine - slack
     top = layers[-1][0]
     wide = max(8, min(ef, n) // 2)
@@ -180,7 +183,7 @@ def tuned(x: np.ndarray, layers: list, cosine: float, ef: int, audit: int) -> tu
     pick = np.unique(np.linspace(0, len(x) - 1, min(audit, len(x))).astype(np.int64))
     truth = np.argwhere(x[pick] @ x.T >= cosine)
     want = {(int(a), int(b)) for a, b in truth}
-    while ef < len(x):
+    while ef < min(len(x), WIDEST + 1):
         r, v = search(x[pick], x, layers, cosine, ef, slack)
         if want <= set(zip(r.tolist(), v.tolist())):
             return ef, slack

@@ -153,7 +153,7 @@ def _band_task(min_chars: int, chars: int, bands: int, rows: int, seed: int):
 
 
 def _set_task(chars: int):
-    """Shingle sets of the lines named in ``want`` (packed ids), under their class ids."""
+    """Normal forms of the lines named in ``want`` (packed ids) and their set sizes, under their class ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -163,11 +163,24 @@ def _set_task(chars: int):
                 at = np.flatnonzero(np.isin(packed, want, kind="sort"))
                 if len(at):
                     bounds = list(zip(s[at].tolist(), e[at].tolist()))
-                    yield _list_batch(["id", "items"], _class_ids(norm.tobytes(), bounds), [],
-                                      shingle_sets(norm, s[at], e[at], chars))
+                    raw = norm.tobytes()
+                    n = np.array([len(x) for x in shingle_sets(norm, s[at], e[at], chars)], np.int64)
+                    yield pa.record_batch([pa.array(_class_ids(raw, bounds)), pa.array(n),
+                                           pa.array([raw[x:y] for x, y in bounds], pa.binary())],
+                                          names=["id", "n", "items"])
     return run
 
 
+def _line_sets(chars: int):
+    """Sets of lines kept as text, an eighth of the size of their shingles."""
+    def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lines = column.to_pylist()
+        end = np.cumsum([len(x) for x in lines])
+        sets = shingle_sets(np.frombuffer(b"".join(lines), np.uint8), np.concatenate(([0], end[:-1])), end, chars)
+        return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    return decode
+
+
 def duplicate_lines(df: DataFrame, id_col: str, text_col: str, chars: int = 8, num: int = 80, den: int = 100,
                     bands: int = 12, rows: int = 3, min_chars: int = 20, seed: int = 11) -> DataFrame:
     """(id, line, first_id, first_line, kept) for every line of ``min_chars`` or more.
@@ -188,8 +201,8 @@ def duplicate_lines(df: DataFrame, id_col: str, text_col: str, chars: int = 8, n
     docs = by_text.select("id")
     near = texts.join(checked_broadcast(docs, docs.count(), 2_000_000), "id", "left_semi")
     sets = materialize(near.join(by_text, "id").select("id", "text", "want")
-                       .mapInArrow(_set_task(chars), "id long, items array<long>"), "ln-sets")
-    _, comps = link(members, sets, num, den, "ln")
+                       .mapInArrow(_set_task(chars), "id long, n long, items binary"), "ln-sets")
+    _, comps = link(members, sets, num, den, "ln", _line_sets(chars))
     linked = classes.join(comps.select(F.col("node").alias("d1"), "component_id"), "d1")
     first = linked.groupBy("component_id").agg(F.min("rep").alias("first"))
     linked = materialize(linked.join(first, "component_id").select("d1", "d2", "first"), "ln-first")

@@ -26,53 +26,57 @@ PARITY_BITS = 4096
 SIZED = "a long, b long, inter long, total long"
 
 
-def verify_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stored_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets kept as sorted lists of hashes: (flat values, offsets)."""
+    return np.asarray(column.values), np.asarray(column.offsets)
+
+
+def _verify_task(decode):
     """Sizes of intersection and union of two sorted sets of 64-bit hashes."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sa, sb = batch.column("sa"), batch.column("sb")
-        va, vb = np.asarray(sa.values), np.asarray(sb.values)
-        oa, ob = np.asarray(sa.offsets), np.asarray(sb.offsets)
-        inter = np.empty(batch.num_rows, np.int64)
-        for k in range(batch.num_rows):
-            x = np.concatenate((va[oa[k]:oa[k + 1]], vb[ob[k]:ob[k + 1]]))
-            x.sort(kind="stable")
-            inter[k] = np.count_nonzero(x[1:] == x[:-1])
-        total = np.diff(oa) + np.diff(ob) - inter
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(inter), pa.array(total.astype(np.int64))],
-                              names=["a", "b", "inter", "total"])
-
-
-def parity_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (va, oa), (vb, ob) = decode(batch.column("sa")), decode(batch.column("sb"))
+            inter = np.empty(batch.num_rows, np.int64)
+            for k in range(batch.num_rows):
+                x = np.concatenate((va[oa[k]:oa[k + 1]], vb[ob[k]:ob[k + 1]]))
+                x.sort(kind="stable")
+                inter[k] = np.count_nonzero(x[1:] == x[:-1])
+            total = np.diff(oa) + np.diff(ob) - inter
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(inter), pa.array(total.astype(np.int64))],
+                                  names=["a", "b", "inter", "total"])
+    return run
+
+
+def _parity_task(decode):
     """PARITY_BITS bits of every set, packed into 64-bit words."""
-    words = PARITY_BITS // 64
-    for batch in batches:
-        items = batch.column("items")
-        values, off = np.asarray(items.values), np.asarray(items.offsets)
-        out = np.zeros((batch.num_rows, words), np.int64)
-        for k in range(batch.num_rows):
-            odd = np.bincount(values[off[k]:off[k + 1]] & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
-            out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-        bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words)
-        yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))],
-                              names=["id", "par"])
-
-
-def set_verifier(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Verifier over stored sets (id, items array<long>, sorted and distinct)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = PARITY_BITS // 64
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, off = decode(batch.column("items"))
+            low = (values.view(np.int64) & (PARITY_BITS - 1))
+            out = np.zeros((batch.num_rows, words), np.int64)
+            for k in range(batch.num_rows):
+                odd = np.bincount(low[off[k]:off[k + 1]], minlength=PARITY_BITS) & 1
+                out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words)
+            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))],
+                                  names=["id", "par"])
+    return run
+
+
+def set_verifier(sets: DataFrame, decode) -> Callable[[DataFrame], DataFrame]:
+    """Verifier over stored sets (id, items)."""
     def run(pairs: DataFrame) -> DataFrame:
         half = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
         full = half.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a")
-        return full.select("a", "b", "sa", "sb").mapInArrow(verify_sets, SIZED)
+        return full.select("a", "b", "sa", "sb").mapInArrow(_verify_task(decode), SIZED)
     return run
 
 
-def _rank(*cols: str):
-    """A fixed pseudo-random order of rows."""
-    return F.xxhash64(*cols)
-
-
 def anchored(banded: DataFrame, name: str) -> DataFrame:
     """Members (key, id, low) of every bucket of two or more ids of ``banded`` (key, id), whose rows may repeat.
 
@@ -103,19 +107,20 @@ def _placed(members: DataFrame, comps: DataFrame, name: str) -> DataFrame:
     return materialize(placed.join(split, "key"), f"{name}-open")
 
 
-def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, rounds: int = 1
-         ) -> tuple[DataFrame, DataFrame]:
+def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, decode=stored_sets,
+         rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """Verified links and components of bucket members.
 
     ``members`` is a stored frame (key, id, low), ``low`` being the bucket's
-    anchor; ``sets`` the stored sets (id, items).  A link needs den * inter >= num * total.  Returns
+    anchor; ``sets`` the stored sets (id, n, items), ``n`` the size and ``decode``
+    what turns a column of items into (flat sorted hashes, offsets).  A link needs den * inter >= num * total.  Returns
     (links (u, v), components (node, component_id)).
     """
-    verify = set_verifier(sets)
+    verify = set_verifier(sets, decode)
     ok = F.col("inter") * den >= F.col("total") * num
     sized = lambda p, q: F.least(p, q) * den >= F.greatest(p, q) * num
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
-    size = materialize(sets.select("id", F.size("items").alias("n")), f"{name}-n")
+    size = sets.select("id", "n")
     members = materialize(members.join(size, "id"), f"{name}-sized")
     star = (members.where("id <> low").select("id", "n", "low").distinct()
             .join(size.select(F.col("id").alias("low"), F.col("n").alias("n_low")), "low")
@@ -143,7 +148,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, rou
     if open_.isEmpty():
         return links, comps
     sketch = materialize(sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", "items")
-                         .mapInArrow(parity_sketches, "id long, par array<long>"), f"{name}-parity")
+                         .mapInArrow(_parity_task(decode), "id long, par array<long>"), f"{name}-parity")
     open_ = materialize(open_.join(sketch, "id"), f"{name}-sketched")
     x, y = open_.where("comp <> top").alias("x"), open_.alias("y")
     differ = F.aggregate(F.zip_with("x.par", "y.par", lambda p, q: F.bit_count(p.bitwiseXOR(q))),

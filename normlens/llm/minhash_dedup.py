@@ -137,8 +137,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, n
     members = anchored(banded, "mh")
     wanted = members.select("id").distinct()
     wanted = checked_broadcast(wanted, wanted.count(), 2_000_000)
-    sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_task(words), "id long, items array<long>"),
-                       "mh-sets")
+    sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_task(words), "id long, items array<long>")
+                       .select("id", F.size("items").alias("n"), "items"), "mh-sets")
     _, comps = link(members, sets, num, den, "mh")
     # a class is known by its smallest id; copies follow their representative
     of_class = component_ids(classes.where("copies > 1").select("d1", "d2", F.col("id").alias("rep")), "rep", comps)
