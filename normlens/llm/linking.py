@@ -133,7 +133,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, dec
         if open_.isEmpty():
             return links, comps
         # each member outside the largest component meets one other member of that component
-        hub = materialize(open_.where("comp = top").groupBy("key").agg(F.min(F.struct(_rank("id", F.lit(r)), "id", "n")).alias("h"))
+        hub = materialize(open_.where("comp = top").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "n")).alias("h"))
                           .select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("n_hub")), f"{name}-hub")
         tries = (open_.where("comp <> top").join(hub, "key").where(sized("n", "n_hub"))
                  .select(*pair("id", "hub")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
