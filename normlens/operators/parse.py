@@ -52,7 +52,8 @@ def fragment_count(cand_col: str = "candidate"):
 
 def predictions(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per recovered item: ``keys..., item_no, comment_id, label, evidence``."""
-    ex = parsed.select(*keys, F.posexplode("items").alias("item_no", "_it"))
+    # the outer form keeps Spark from pushing size(items) > 0 below the parser and running it twice
+    ex = parsed.select(*keys, F.posexplode_outer("items").alias("item_no", "_it")).where("item_no IS NOT NULL")
     return ex.select(*keys, "item_no", F.col("_it.comment_id").alias("comment_id"),
                      F.col("_it.label").alias("pred_label"), F.col("_it.evidence").alias("evidence"))
 

@@ -130,9 +130,9 @@ FROM long l JOIN merged m ON m.community = l.community
 WHERE l.metric NOT IN ('accuracy', 'n_items') AND l.value IS NOT NULL AND m.accuracy IS NOT NULL
 GROUP BY l.metric"""))
 def q_score_correlations(spark, d):
-    """Pearson r of each numeric score column (n_items excluded, at most 6) with accuracy."""
+    """Pearson r of each numeric score column (n_items excluded) with accuracy."""
     m = merged(spark, d)
-    cols = C.numeric_columns(m, exclude=["accuracy", "n_items"])[:6]
+    cols = C.numeric_columns(m, exclude=["accuracy", "n_items"])
     return C.score_correlations(m, "accuracy", cols)
 
 
