@@ -5,8 +5,7 @@
   a constant column gives NULL instead of a division error.
 * ``community_similarity``: r between the z-scored metric vectors of two
   communities.  Each vector is centred and scaled to unit length once, so
-  r is a dot product.  Partners are attached by exploding the (checked)
-  community list and equi-joining on the partner name — no keyless join.
+  r is a dot product.  Pairs come from an equi-join on block numbers.
 * ``community_centrality``: the mean r of a community with all others is
   ``(u_i . S - 1) / (n - 1)`` where ``S`` is the sum of all unit vectors,
   so it needs no pairs at all (linear in the number of communities).
@@ -21,9 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normlens.functions.text import strip_paren_suffix
-from normlens.operators.matrix import spread
-
-MAX_PAIR_AXIS = 100_000
+from normlens.operators.matrix import paired
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -36,22 +33,26 @@ def merge_scores(accuracy: DataFrame, meta: DataFrame, scores: DataFrame,
                  communities: DataFrame, name_col: str = "name",
                  display_col: str = "display_name_prefixed",
                  acc_label_col: str = "subreddit", acc_col: str = "accuracy",
-                 score_key: str = "subreddit", strict: bool = False) -> DataFrame:
+                 score_key: str = "subreddit", strict: bool = False,
+                 acc_order: str | None = None, meta_order: str | None = None,
+                 score_order: str | None = None) -> DataFrame:
     """Accuracy x metadata x scores by cleaned community name.
 
     Accuracy labels ``'r/x (id)'`` are cleaned to ``'r/x'``.  Duplicates:
-    for accuracy the greatest original label wins; metadata and score rows
-    are taken first by their key order.  Output: ``community, subreddit,
+    the last accuracy row wins, and the first metadata and score rows, by the
+    load-order columns ``acc_order``, ``meta_order`` and ``score_order``;
+    without one the greatest label, the least name and the least row win.  Output: ``community, subreddit,
     accuracy, <score columns>``; communities missing any part are dropped.
     ``strict=True`` raises when nothing merges (names did not line up).
     """
     acc = (accuracy.withColumn("_clean", strip_paren_suffix(F.col(acc_label_col)))
-           .groupBy("_clean").agg(F.max_by(F.col(acc_col), F.col(acc_label_col)).alias("accuracy")))
-    m = (meta.groupBy(name_col).agg(F.min(display_col).alias("subreddit")))
+           .groupBy("_clean").agg(F.max_by(F.col(acc_col), F.col(acc_order or acc_label_col)).alias("accuracy")))
+    m = meta.groupBy(name_col).agg(F.min_by(display_col, meta_order or display_col).alias("subreddit"))
     comm = communities.select(name_col).distinct().join(m, name_col)
-    score_cols = [c for c in scores.columns if c != score_key]
+    score_cols = [c for c in scores.columns if c not in (score_key, score_order)]
+    row = F.struct(*score_cols)
     sc = scores.groupBy(score_key).agg(
-        F.min_by(F.struct(*score_cols), F.col(score_key)).alias("_s"))
+        (F.min_by(row, score_order) if score_order else F.min(row)).alias("_s"))
     sc = sc.select(F.col(score_key).alias("subreddit"), *[F.col("_s")[c].alias(c) for c in score_cols])
     j = (comm.join(acc, comm["subreddit"] == acc["_clean"]).drop("_clean")
          .join(sc, "subreddit"))
@@ -110,22 +111,12 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def community_similarity(df: DataFrame, key: str, metrics: Sequence[str],
-                         max_axis: int = MAX_PAIR_AXIS) -> DataFrame:
-    """Pearson r for every unordered pair ``key_A < key_B``.
-
-    The output has n(n-1)/2 rows by definition; ``max_axis`` bounds n.
-    """
+def community_similarity(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
+    """Pearson r for every unordered pair ``key_A < key_B`` (n(n-1)/2 rows by definition)."""
     u = unit_vectors(df, key, metrics)
-    names = F.array_sort(F.collect_set(key))
-    names = u.select(F.when(F.size(names) <= max_axis, names).otherwise(
-        F.raise_error(F.lit(f"more than {max_axis} communities"))) ).scalar()
-    # pairs are generated by many tasks; the partner side (one row per
-    # community) is small and is broadcast by AQE when it fits
-    left = spread(u).select(F.col(key).alias(f"{key}_A"), F.col("u").alias("_ua"),
-                            F.explode(names).alias(f"{key}_B")).filter(F.col(f"{key}_A") < F.col(f"{key}_B"))
+    left = u.select(F.col(key).alias(f"{key}_A"), F.col("u").alias("_ua"))
     right = u.select(F.col(key).alias(f"{key}_B"), F.col("u").alias("_ub"))
-    pairs = left.join(right, f"{key}_B")
+    pairs = paired(left, right, f"{key}_B").filter(F.col(f"{key}_A") < F.col(f"{key}_B"))
     return pairs.select(f"{key}_A", f"{key}_B", _dot(F.col("_ua"), F.col("_ub")).alias("correlation"))
 
 

@@ -1,8 +1,8 @@
 """Cross-community accuracy grid in long form ``(prompt, eval, accuracy)``.
 
 The grid is never a dense matrix and never built with a keyless join: the
-full (prompt x eval) axis comes from exploding the size-checked community
-list (a scalar subquery evaluated once), then equi-joined to the cells.
+full (prompt x eval) axis is an equi-join on block numbers (:func:`paired`),
+then joined to the cells.
 ``pivot`` is only used for the display matrix.
 """
 
@@ -14,27 +14,25 @@ from pyspark.sql import functions as F
 from normlens.functions.text import community_label
 
 P, E, A = "prompt_community", "eval_community", "accuracy"
-MAX_AXIS = 100_000       # community axis guard (the grid is quadratic in it)
-MAX_PIVOT_COLUMNS = 1_000
 
 
-def names_array(communities: DataFrame, name_col: str = "name",
-                max_size: int = MAX_AXIS) -> Column:
-    arr = F.array_sort(F.collect_set(name_col))
-    checked = F.when(F.size(arr) <= max_size, arr).otherwise(
-        F.raise_error(F.lit(f"community axis larger than {max_size}")))
-    return communities.select(checked).scalar()
+def paired(left: DataFrame, right: DataFrame, by: str, blocks: int | None = None) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right``, as an equi-join.
 
+    Rows of ``right`` are dealt over blocks by the hash of ``by``; ``left``, the
+    smaller side, is copied once per block.  No list of names is collected and
+    no axis size is bounded; the pairs are made by as many tasks as blocks.
+    """
+    n = blocks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+    copied = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return copied.join(dealt, "_block").drop("_block")
 
-def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Spread a small (community-sized) frame over tasks before a quadratic explode.
 
-    AQE would coalesce such a frame into one partition; an explicit
-    ``repartition(n)`` is kept as is, so the n x n expansion is generated by
-    many tasks instead of one.
-    """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+def _axes(communities: DataFrame, name_col: str) -> DataFrame:
+    names = communities.select(name_col).distinct()
+    return paired(names.where(F.col(name_col).isNotNull()).withColumnRenamed(name_col, P),
+                  names.withColumnRenamed(name_col, E), E)
 
 
 def axis_size(communities: DataFrame, name_col: str = "name") -> Column:
@@ -43,16 +41,12 @@ def axis_size(communities: DataFrame, name_col: str = "name") -> Column:
 
 def full_grid(cells: DataFrame, communities: DataFrame, name_col: str = "name") -> DataFrame:
     """Every (prompt, eval) pair of the community list with its accuracy or NULL."""
-    axis = spread(communities.select(F.col(name_col).alias(E)).distinct())
-    grid = axis.select(F.explode(names_array(communities, name_col)).alias(P), E)
-    return grid.join(cells.select(P, E, A), [P, E], "left")
+    return _axes(communities, name_col).join(cells.select(P, E, A), [P, E], "left")
 
 
 def pending_cells(communities: DataFrame, finished: DataFrame, name_col: str = "name") -> DataFrame:
     """Grid cells without a finished run (anti join on prompt and eval)."""
-    axis = spread(communities.select(F.col(name_col).alias(E)).distinct())
-    grid = axis.select(F.explode(names_array(communities, name_col)).alias(P), E)
-    return grid.join(finished.select(P, E), [P, E], "left_anti")
+    return _axes(communities, name_col).join(finished.select(P, E), [P, E], "left_anti")
 
 
 def normalize_by_diagonal(cells: DataFrame) -> DataFrame:
@@ -90,16 +84,13 @@ def prompt_means(cells: DataFrame, communities: DataFrame, value: str = A,
 
 
 def accuracy_matrix(grid: DataFrame, communities: DataFrame, value: str = A,
-                    name_col: str = "name", max_columns: int = MAX_PIVOT_COLUMNS) -> DataFrame:
+                    name_col: str = "name") -> DataFrame:
     """Display matrix: one row per eval community, one column per prompt community.
 
-    The column list is the community axis, fetched up front (bounded by
-    ``max_columns``) so Spark does not run a separate distinct job for it.
+    A column list is schema, so the names come to the driver; the long grid
+    needs none of that.
     """
-    names = [r[0] for r in communities.select(name_col).distinct().orderBy(name_col)
-             .limit(max_columns + 1).collect()]
-    if len(names) > max_columns:
-        raise ValueError(f"more than {max_columns} prompt communities; use the long grid")
+    names = [r[0] for r in communities.select(name_col).distinct().orderBy(name_col).collect()]
     return grid.groupBy(E).pivot(P, names).agg(F.first(value))
 
 

@@ -19,11 +19,14 @@ def join_truth(pred: DataFrame, truth: DataFrame, keys: Sequence[str],
     Ids are only unique within a run or community, so the keys must
     include that scope.  Predictions without truth are returned by
     :func:`unmatched_predictions` instead of aborting the run;
-    ``strict=True`` raises when any exist (runs one check job).
+    ``strict=True`` raises when any exist, or when a truth key repeats and
+    would multiply predictions (two check jobs).
     """
     truth_keys = list(truth_keys or keys)
     if strict and not unmatched_predictions(pred, truth, keys, truth_keys).isEmpty():
         raise ValueError("predictions reference ids without truth rows")
+    if strict and not truth.groupBy(*truth_keys).count().where("count > 1").isEmpty():
+        raise ValueError("truth rows repeat a key")
     t = truth
     for k, tk in zip(keys, truth_keys):
         if k != tk:

@@ -6,7 +6,8 @@ inside whole-stage code generation; no Python UDF.  Outcomes:
 * ``empty``        blank reply: no items, nothing logged
 * ``no_json``      no ``[...]`` or ``{...}`` block: no items, nothing logged
 * ``success``      strict JSON with exactly ``batch_size`` elements
-* ``wrong_size``   strict JSON with another element count -> salvage
+* ``wrong_size``   strict JSON with another element count, or with elements
+                   that are no items -> salvage
 * ``decode_error`` not strict JSON -> salvage
 """
 
@@ -34,7 +35,8 @@ def parse_outputs(df: DataFrame, content_col: str = "content",
     out = out.withColumn("n_parsed", F.when(cand.isNotNull(), parsed_count(cand)))
     outcome = (F.when(blank, F.lit("empty"))
                .when(cand.isNull(), F.lit("no_json"))
-               .when(strict & (F.col("n_parsed") == batch_size), F.lit("success"))
+               .when(strict & (F.col("n_parsed") == batch_size)
+                     & F.coalesce(F.size(parse_items(cand)) == batch_size, F.lit(False)), F.lit("success"))
                .when(strict, F.lit("wrong_size"))
                .otherwise(F.lit("decode_error")))
     out = out.withColumn("outcome", outcome).withColumn("n_expected", F.lit(batch_size))

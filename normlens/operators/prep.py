@@ -103,7 +103,7 @@ def balanced_split(df: DataFrame, id_col: str = "comment_id",
     out = ranked.withColumn("split", F.when(F.col("draw_rank") <= n_test, F.lit("test"))
                             .otherwise(F.lit("shots")))
     if strict:
-        short = split_shortfall(out, community_col, label_col, n_test, n_shots)
+        short = split_shortfall(out, community_col, label_col, n_test, n_shots, df, labels)
         if not short.filter(F.col("shortfall") > 0).isEmpty():
             raise ValueError("a (community, label) class has fewer rows than requested")
     return out
@@ -111,12 +111,22 @@ def balanced_split(df: DataFrame, id_col: str = "comment_id",
 
 def split_shortfall(split: DataFrame, community_col: str = "subreddit_id",
                     label_col: str = "label", n_test: int = NUM_TESTS // 2,
-                    n_shots: int = NUM_SHOTS) -> DataFrame:
-    """Per (community, label, split): rows requested, taken and missing."""
+                    n_shots: int = NUM_SHOTS, communities: DataFrame | None = None,
+                    labels: tuple[str, str] = (POSITIVE, NEGATIVE)) -> DataFrame:
+    """Per (community, label, split): rows requested, taken and missing.
+
+    Every community of ``communities`` (of ``split`` when omitted) has a row for
+    each label and split, with ``taken`` 0 where nothing was drawn.
+    """
+    wanted = F.array(*[F.struct(F.lit(v).alias(label_col), F.lit(s).alias("split"))
+                       for v in labels for s in ("test", "shots")])
+    spine = ((split if communities is None else communities).select(community_col).where(F.col(community_col).isNotNull())
+             .distinct().select(community_col, F.inline(wanted)))
     g = split.groupBy(community_col, label_col, "split").agg(F.count(F.lit(1)).alias("taken"))
     req = F.when(F.col("split") == "test", F.lit(n_test)).otherwise(F.lit(n_shots))
-    return g.select(community_col, label_col, "split", req.alias("requested"), "taken",
-                    (req - F.col("taken")).alias("shortfall"))
+    taken = F.coalesce("taken", F.lit(0))
+    return spine.join(g, [community_col, label_col, "split"], "left").select(
+        community_col, label_col, "split", req.alias("requested"), taken.alias("taken"), (req - taken).alias("shortfall"))
 
 
 def sequence_ids(split: DataFrame, id_col: str = "comment_id",

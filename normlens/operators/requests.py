@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normlens.constants import BATCH_SIZE, NUM_TESTS
+from normlens.constants import BATCH_SIZE
+from normlens.operators.matrix import paired
 
 # Default message templates.  Placeholders in braces are filled per row.
 DEFAULT_SYSTEM_TEMPLATE = (
@@ -27,14 +28,14 @@ _JSON_OPTS = {"ignoreNullFields": "false"}
 
 def batches(tests: DataFrame, run_cols: Sequence[str], id_col: str = "comment_id",
             body_col: str = "body", norm_col: str = "norm",
-            batch_size: int = BATCH_SIZE, num_tests: int = NUM_TESTS) -> DataFrame:
+            batch_size: int = BATCH_SIZE, num_tests: int | None = None) -> DataFrame:
     """Split each run's tests (ids 0..n-1) into batches of ``batch_size``.
 
-    Only ids below ``num_tests`` are sent.  Output ``run_cols, batch_no,
-    items array<struct<comment_id, norm, comment>>`` ordered by id; a group
-    holds at most ``batch_size`` rows.
+    All rows are sent, or only ids below ``num_tests`` where the caller sets it.
+    Output ``run_cols, batch_no, items array<struct<comment_id, norm, comment>>``
+    ordered by id; a group holds at most ``batch_size`` rows.
     """
-    t = tests.filter(F.col(id_col) < num_tests)
+    t = tests if num_tests is None else tests.filter(F.col(id_col) < num_tests)
     t = t.withColumn("batch_no", F.floor(F.col(id_col) / batch_size).cast("int"))
     item = F.struct(F.col(id_col).cast("bigint").alias("comment_id"),
                     F.col(norm_col).alias("norm"), F.col(body_col).alias("comment"))
@@ -103,23 +104,21 @@ def request_messages(requests: DataFrame, system_template: str = DEFAULT_SYSTEM_
     return requests.withColumn("messages", msgs)
 
 
-def cell_requests(batches_df: DataFrame, context: DataFrame, eval_names: Column,
+def cell_requests(batches_df: DataFrame, context: DataFrame,
                   prompt_communities: DataFrame | None = None,
                   eval_col: str = "eval_community", community_col: str = "subreddit_id") -> DataFrame:
     """Requests for every (prompt community, eval batch) cell.
 
-    Each request needs one eval batch and one prompt context, so one side
-    is replicated across the other axis.  The context (a few shots and the
-    rules per community) is much smaller than a community's batches, so the
-    context is exploded over the (checked) eval axis and the batches are
-    joined on the eval community without being copied.  No keyless join.
-    ``prompt_communities`` (a frame with ``community_col``) limits the
-    prompt axis; by default every community with a context is used.
+    Each request needs one eval batch and one prompt context.  The context (a
+    few shots and the rules per community) is the smaller side and is copied
+    once per block; batches are dealt over blocks by number and community, so a
+    hot community spreads over all tasks.  ``prompt_communities`` (a frame with
+    ``community_col``) limits the prompt axis.
     """
     ctx = context
     if prompt_communities is not None:
         ctx = ctx.join(prompt_communities.select(community_col).distinct(), community_col, "left_semi")
     ctx = ctx.withColumnRenamed(community_col, "prompt_community")
-    ctx_x = ctx.select(F.explode(eval_names).alias(eval_col), *ctx.columns)
     b = batches_df.withColumnRenamed(community_col, eval_col)
-    return b.join(ctx_x, eval_col)
+    b = b.withColumn("_cell", F.struct(eval_col, "batch_no"))
+    return paired(ctx, b, "_cell").drop("_cell")

@@ -5,9 +5,8 @@ communities or model replies, so these views derive them (documents are
 comments, ``source`` is the community, ``labels.toxic`` the truth).  The
 same derivations are written as SQL in ``oracle_sql`` for DuckDB.
 
-Nothing here pairs rows without a key: the prompt-community axis is added
-by exploding the (size-checked) list of community names, which Spark
-evaluates once as a scalar subquery.
+Nothing here pairs rows without a key: the prompt-community axis is added by
+an equi-join on block numbers (``operators.matrix.paired``).
 """
 
 from __future__ import annotations
@@ -20,14 +19,13 @@ from pyspark.sql import functions as F
 
 from normlens.constants import NEGATIVE, POSITIVE
 from normlens.functions.index import global_row_index
-from normlens.operators.matrix import names_array
+from normlens.operators.matrix import paired
 from normlens.session import application_id, scratch_path
 from normlens.sources.tables import read_table
 
 # ---- fixed values: stand-in norms by doc_id % 8 (NULL when doc_id % 11 == 0)
 FIXTURE_NORMS = ["no spam", "be nice", "do not troll", "stay on topic",
                  "NO self promotion", "know the rules", "be civil", "respect others"]
-MAX_COMMUNITIES = 100_000   # guard on the community axis of the grid
 
 
 _STORE: dict[tuple, str] = {}
@@ -112,12 +110,6 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def community_names(comm: DataFrame, col: str = "name",
-                    max_size: int = MAX_COMMUNITIES) -> Column:
-    """Sorted array of all community names as a (size-checked) scalar subquery."""
-    return names_array(comm, col, max_size)
-
-
 def _flip(label: Column) -> Column:
     return F.when(label == POSITIVE, F.lit(NEGATIVE)).otherwise(F.lit(POSITIVE))
 
@@ -126,10 +118,9 @@ def _flip(label: Column) -> Column:
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """One simulated reply per (prompt community, comment)."""
     c = comments(spark, d)
-    names = community_names(communities(spark, d))
-    p = c.select(F.explode(names).alias("prompt_community"),
-                 F.col("subreddit_id").alias("eval_community"),
-                 "comment_id", F.col("label").alias("true_label"))
+    names = communities(spark, d).select(F.col("name").alias("prompt_community")).where("prompt_community IS NOT NULL")
+    p = paired(names, c.select(F.col("subreddit_id").alias("eval_community"), "comment_id",
+                               F.col("label").alias("true_label")), "comment_id")
     key = F.md5(F.concat(F.col("prompt_community"), F.lit(":"), F.col("comment_id").cast("string")))
     flip = F.substring(key, 1, 1) < F.substring(F.md5(F.col("prompt_community")), 1, 1)
     return p.withColumn("pred_label", F.when(flip, _flip(F.col("true_label")))

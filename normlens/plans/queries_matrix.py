@@ -126,9 +126,12 @@ def q_matrix_order(spark, d):
                     "prompt_rank", "norm_eval_rank", "norm_prompt_rank", "count_rank")
 
 
-@query("accuracy_matrix", with_fixtures(_GRID_FX, _GRID_SQL + """
+_COLUMNS = ", ".join(f"'src{k}'" for k in range(20))
+
+
+@query("accuracy_matrix", with_fixtures(_GRID_FX, _GRID_SQL + f"""
 SELECT * FROM (PIVOT (SELECT prompt_community, eval_community, round(accuracy, 6) AS accuracy FROM grid)
-               ON prompt_community USING max(accuracy) GROUP BY eval_community)"""))
+               ON prompt_community IN ({_COLUMNS}) USING max(accuracy) GROUP BY eval_community)"""))
 def q_accuracy_matrix(spark, d):
     """Display matrix: rows = eval community, columns = prompt community."""
     comm = _comm(spark, d)
@@ -154,7 +157,7 @@ FROM grid WHERE accuracy IS NOT NULL ORDER BY accuracy DESC, prompt_community, e
 def q_top_accuracy_pairs(spark, d):
     """20 best (prompt, eval) cells with display labels for both roles."""
     comm = _comm(spark, d)
-    top = X.top_pairs(X.full_grid(fx.cells(spark, d), comm), 20)
+    top = X.top_pairs(fx.cells(spark, d), 20)
     return X.label_grid(top, comm).select("rank", "prompt_community", "eval_community",
                                           "prompt_label", "eval_label", "accuracy")
 

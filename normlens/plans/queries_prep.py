@@ -104,14 +104,17 @@ def q_balanced_split(spark, d):
 
 
 @query("split_shortfall", with_fixtures(["comments"], _SPLIT_SQL + f"""
-SELECT subreddit_id, label, split, (CASE WHEN split = 'test' THEN {N_TEST} ELSE {N_SHOTS} END)::BIGINT AS requested,
-  count(*) AS taken, CASE WHEN split = 'test' THEN {N_TEST} ELSE {N_SHOTS} END - count(*) AS shortfall
-FROM split GROUP BY subreddit_id, label, split"""))
+SELECT c.subreddit_id, l.label, s.split, (CASE WHEN s.split = 'test' THEN {N_TEST} ELSE {N_SHOTS} END)::BIGINT AS requested,
+  count(t.comment_id) AS taken, CASE WHEN s.split = 'test' THEN {N_TEST} ELSE {N_SHOTS} END - count(t.comment_id) AS shortfall
+FROM (SELECT DISTINCT subreddit_id FROM ec) c CROSS JOIN (VALUES ('violation'), ('non_violation')) l(label)
+CROSS JOIN (VALUES ('test'), ('shots')) s(split)
+LEFT JOIN split t ON t.subreddit_id = c.subreddit_id AND t.label = l.label AND t.split = s.split
+GROUP BY c.subreddit_id, l.label, s.split"""))
 def q_split_shortfall(spark, d):
     """Rows requested vs taken per community, label and split."""
     c = eligible_comments(spark, d)
     return P.split_shortfall(P.balanced_split(c, n_test=N_TEST, n_shots=N_SHOTS),
-                             n_test=N_TEST, n_shots=N_SHOTS)
+                             n_test=N_TEST, n_shots=N_SHOTS, communities=c)
 
 
 @query("sequence_ids", with_fixtures(["comments"], _SPLIT_SQL + """

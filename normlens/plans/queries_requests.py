@@ -48,8 +48,7 @@ def cell_requests(spark, d):
     split = scoring_split(spark, d)
     b = scoring_batches(spark, d, split)
     elig = eligible_comments(spark, d).select("subreddit_id").distinct()
-    names = fx.community_names(elig.select(F.col("subreddit_id").alias("name")))
-    return RQ.request_messages(RQ.cell_requests(b, context(spark, d, split), names, elig))
+    return RQ.request_messages(RQ.cell_requests(b, context(spark, d, split), elig))
 
 
 _SPLIT_SQL = f"""

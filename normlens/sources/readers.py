@@ -40,12 +40,27 @@ _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
-    """CSV with an explicit schema; NaN in double columns becomes NULL."""
-    opts = dict(_CSV, **{k: str(v) for k, v in options.items()})
-    df = spark.read.options(**opts).schema(schema).csv(path)
+    """CSV with an explicit schema, bound by header name; NaN in double columns becomes NULL.
+
+    Columns may stand in any order and others are left out; an absent column
+    raises, and so does a file whose header differs from the first one's.
+    """
+    opts = dict(_CSV, enforceSchema="false", **{k: str(v) for k, v in options.items()})
+    header = csv_header(spark, path)
+    absent = [f.name for f in schema.fields if f.name not in header]
+    if absent:
+        raise ValueError(f"columns not in the CSV header: {absent}")
+    types = {f.name: f.dataType for f in schema.fields}
+    whole = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    df = spark.read.options(**opts).schema(whole).csv(path).select(*schema.fieldNames())
     return nan_to_null(df)
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the first file's header line."""
+    return spark.read.options(**_CSV).csv(path).columns
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN -> NULL in every floating column (NaN compares greater than any number)."""
     cols = []
@@ -58,7 +73,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, COMMENTS_SCHEMA)
+    """Labelled comments; a file without ``comment_id`` gets ids by file and row position."""
+    if "comment_id" in csv_header(spark, path):
+        return read_csv(spark, path, COMMENTS_SCHEMA)
+    rest = T.StructType([f for f in COMMENTS_SCHEMA.fields if f.name != "comment_id"])
+    return read_csv(spark, path, rest).select(F.monotonically_increasing_id().alias("comment_id"), *rest.fieldNames())
 
 
 def read_communities(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,7 @@ RUN_METRICS_SCHEMA = T.StructType([
 
 def write_json(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> str:
     """JSON lines, NULL fields kept, one directory per partition value."""
-    w = df.repartition(*partition_cols) if partition_cols else df
-    w = w.write.mode("overwrite").option("ignoreNullFields", "false")
+    w = df.write.mode("overwrite").option("ignoreNullFields", "false")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
     w.json(path)
@@ -48,9 +48,11 @@ def scan_run_metrics(spark: SparkSession, base: str, layout: str = "partitioned"
         r = r.option("multiLine", "true").option("pathGlobFilter", "metrics.json")
     else:
         r = r.option("pathGlobFilter", "*.json")
-    df = r.json(base).withColumn("path", F.try_url_decode(F.col("_metadata.file_path")))
+    df = r.json(base).withColumn("path", F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     if layout == "nested":
-        rel = F.regexp_extract("path", r".*?" + base.rstrip("/").split("/")[-1] + r"/(.*)/metrics\.json$", 1)
+        root = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", base)
+        lead = r"^[A-Za-z][\w+.-]*:(?://[^/]*)?/*" if root.startswith("/") else r"^.*?/"
+        rel = F.regexp_extract("path", lead + r"\Q" + root.strip("/") + r"\E/(.*)/metrics\.json$", 1)
         parts = F.split(rel, "/")
         return (df.withColumn("model_folder", F.element_at(parts, -1))
                 .withColumn("directory_path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from normlens.constants import BATCH_SIZE
-from normlens.operators.metrics import join_truth, run_metrics
+from normlens.operators.metrics import join_truth, run_metrics, unmatched_predictions
 from normlens.operators.parse import parse_outputs, predictions
 
 
@@ -32,24 +32,30 @@ def reply_schema(run_cols: Sequence[str]) -> T.StructType:
 
 def stream_results(spark: SparkSession, landing: str, truth: DataFrame,
                    run_cols: Sequence[str] = ("run",), batch_size: int = BATCH_SIZE,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming frame of result rows (prediction joined to truth)."""
+                   max_files_per_trigger: int | None = None, keys: Sequence[str] = ("comment_id",),
+                   rejects: bool = False) -> DataFrame:
+    """Streaming frame of result rows (prediction joined to truth).
+
+    ``keys`` are columns of both sides; where ids restart in every run or
+    community they must hold that scope (one of ``run_cols``).  ``rejects``
+    gives the predictions without truth instead.
+    """
     reader = spark.readStream.schema(reply_schema(run_cols))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     replies = reader.json(landing)
     parsed = parse_outputs(replies, "content", batch_size)
     preds = predictions(parsed, [*run_cols, "batch_no"])
-    return join_truth(preds, truth, ["comment_id"])
+    return (unmatched_predictions if rejects else join_truth)(preds, truth, list(keys))
 
 
 def start_run_metrics_stream(spark: SparkSession, landing: str, truth: DataFrame,
                              metrics_path: str, checkpoint: str,
                              run_cols: Sequence[str] = ("run",), batch_size: int = BATCH_SIZE,
                              max_files_per_trigger: int | None = None,
-                             available_now: bool = True) -> StreamingQuery:
+                             available_now: bool = True, keys: Sequence[str] = ("comment_id",)) -> StreamingQuery:
     """Start the metrics stream; ``available_now`` processes what has landed, then stops."""
-    res = stream_results(spark, landing, truth, run_cols, batch_size, max_files_per_trigger)
+    res = stream_results(spark, landing, truth, run_cols, batch_size, max_files_per_trigger, keys)
     metrics = run_metrics(res, list(run_cols), batch_size=batch_size)
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
@@ -64,9 +70,9 @@ def start_run_metrics_stream(spark: SparkSession, landing: str, truth: DataFrame
 def start_results_stream(spark: SparkSession, landing: str, truth: DataFrame,
                          results_path: str, checkpoint: str,
                          run_cols: Sequence[str] = ("run",), batch_size: int = BATCH_SIZE,
-                         available_now: bool = True) -> StreamingQuery:
+                         available_now: bool = True, keys: Sequence[str] = ("comment_id",)) -> StreamingQuery:
     """Append result rows to a Parquet sink partitioned by run (exactly once via checkpoint)."""
-    res = stream_results(spark, landing, truth, run_cols, batch_size)
+    res = stream_results(spark, landing, truth, run_cols, batch_size, keys=keys)
     w = (res.writeStream.outputMode("append").format("parquet").partitionBy(*run_cols)
          .option("path", results_path).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -218,3 +218,43 @@ def test_exclude_communities_strict(spark):
     with pytest.raises(ValueError):
         P.exclude_communities(df, ["c0", "nope"], strict=True)
     assert P.exclude_communities(df, ["c0"], strict=True).count() == 8
+
+
+def test_repeated_truth_raises_when_strict(spark):
+    pred = spark.createDataFrame([(1, V)], "comment_id long, pred_label string")
+    truth = spark.createDataFrame([(1, V), (1, N)], "comment_id long, true_label string")
+    with pytest.raises(ValueError):
+        M.join_truth(pred, truth, ["comment_id"], strict=True)
+
+
+def test_shortfall_lists_classes_without_rows(spark):
+    df = spark.createDataFrame([(i, "c", N) for i in range(9)], "comment_id long, subreddit_id string, label string")
+    s = P.balanced_split(df, n_test=2, n_shots=1)
+    out = {(r.label, r.split): (r.taken, r.shortfall) for r in P.split_shortfall(s, n_test=2, n_shots=1, communities=df).collect()}
+    assert out == {(N, "test"): (2, 0), (N, "shots"): (1, 0), (V, "test"): (0, 2), (V, "shots"): (0, 1)}
+    with pytest.raises(ValueError):
+        P.balanced_split(df, n_test=2, n_shots=1, strict=True)
+
+
+def test_all_tests_are_batched_by_default(spark):
+    from normlens.operators import requests as RQ
+    df = spark.range(150).select(F.lit("c").alias("g"), F.col("id").alias("comment_id"), F.lit(None).cast("string").alias("norm"),
+                                 F.lit("x").alias("body"))
+    assert RQ.batches(df, ["g"], batch_size=10).agg(F.sum("n_items")).first()[0] == 150
+    assert RQ.batches(df, ["g"], batch_size=10, num_tests=100).agg(F.sum("n_items")).first()[0] == 100
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_merge_duplicate_rule(spark, parts):
+    acc = spark.createDataFrame([("r/x (b)", 0.1, 0), ("r/x (a)", 0.9, 1)], "subreddit string, accuracy double, o int").repartition(parts)
+    meta = spark.createDataFrame([("x", "r/x", 0), ("x", "r/a", 1)], "name string, display_name_prefixed string, o int")
+    sc = spark.createDataFrame([("r/x", 10.0 - k, k) for k in range(5)], "subreddit string, s double, o int").repartition(parts)
+    r = C.merge_scores(acc, meta, sc, meta, acc_order="o", meta_order="o", score_order="o").collect()
+    assert [(x.community, x.subreddit, x.accuracy, x.s) for x in r] == [("x", "r/x", 0.9, 10.0)]
+
+
+def test_every_score_column_gets_its_correlation(spark):
+    df = spark.createDataFrame([(0.1, *map(float, range(8))), (0.5, *map(float, range(1, 9)))],
+                               "acc double, " + ", ".join(f"m{k} double" for k in range(8)))
+    cols = C.numeric_columns(df, exclude=["acc"])
+    assert {r.metric for r in C.score_correlations(df, "acc", cols).collect()} == {f"m{k}" for k in range(8)}

@@ -59,3 +59,58 @@ def test_nan_scores_become_null(spark):
     r = RD.read_scores(spark, path).collect()[0]
     assert r.in_cluster_sim_std is None and r.in_cluster_sim_mean == 0.1
     assert RD.read_scores(spark, path).filter(F.isnan("in_cluster_sim_std")).count() == 0
+
+
+def _csv(spark, text):
+    path = scratch_path(spark, "csv")
+    os.makedirs(path)
+    with open(os.path.join(path, "c.csv"), "w") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_binds_by_header_name(spark):
+    import pytest
+    path = _csv(spark, "public_description,name,display_name_prefixed,more\nabout a,a,r/a,1\n")
+    assert [tuple(r) for r in RD.read_communities(spark, path).collect()] == [("a", "r/a", "about a")]
+    with pytest.raises(ValueError):
+        RD.read_communities(spark, _csv(spark, "name,public_description\na,b\n"))
+
+
+def test_five_column_comments_get_ids(spark):
+    path = _csv(spark, "body,subreddit_id,label,target_reason,assigned_rule_cluster\nhi,c1,violation,n,x\nho,c2,violation,,y\n")
+    rows = RD.read_comments(spark, path).collect()
+    assert len({r.comment_id for r in rows}) == 2
+    assert [(r.subreddit_id, r.body, r.target_reason) for r in rows] == [("c1", "hi", "n"), ("c2", "ho", None)]
+
+
+def test_nested_keys_when_a_parent_repeats_the_base_name(spark):
+    base = os.path.join(scratch_path(spark, "r"), "results", "x+(1)", "results")
+    os.makedirs(os.path.join(base, "e", "m"))
+    with open(os.path.join(base, "e", "m", "metrics.json"), "w") as f:
+        json.dump({"model": "m", "accuracy": 0.5}, f)
+    r = RF.scan_run_metrics(spark, base, layout="nested").collect()
+    assert [(x.directory_path, x.model_folder) for x in r] == [("e", "m")]
+
+
+def test_a_batch_with_a_bare_number_keeps_its_items(spark):
+    from normlens.operators import parse as PR
+    items = ",".join('{"comment_id":%d,"label":"violation","evidence":""}' % k for k in range(9))
+    df = spark.createDataFrame([(0, f"[{items},5]"), (1, f"[{items}]")], "b int, content string")
+    out = PR.parse_outputs(df).collect()
+    assert [r.outcome for r in sorted(out)] == ["wrong_size", "wrong_size"]
+    assert PR.predictions(PR.parse_outputs(df), ["b"]).count() == 18
+
+
+def test_stream_rejects_and_scoped_keys(spark):
+    from normlens.streaming import run_metrics_stream as ST
+    landing, out = scratch_path(spark, "l"), scratch_path(spark, "o")
+    reply = '[{"comment_id":0,"label":"violation","evidence":""},{"comment_id":7,"label":"violation","evidence":""}]'
+    spark.createDataFrame([("a", 0, reply)], "run string, batch_no int, content string").write.json(landing)
+    truth = spark.createDataFrame([("a", 0, "violation"), ("b", 0, "non_violation")], "run string, comment_id long, true_label string")
+    for rejects, want in ((False, [0]), (True, [7])):
+        df = ST.stream_results(spark, landing, truth, batch_size=2, keys=["run", "comment_id"], rejects=rejects)
+        q = (df.writeStream.format("parquet").option("path", f"{out}-{rejects}").option("checkpointLocation", f"{out}-c{rejects}")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert [r.comment_id for r in spark.read.parquet(f"{out}-{rejects}").collect()] == want
