@@ -13,7 +13,7 @@ from normlens.session import materialize, scratch_path
 from normlens.sources.tables import read_table
 
 __all__ = ["materialize", "scratch_path", "read_table", "byte_blocks", "star_components",
-           "local_forest", "component_ids", "checked_broadcast", "mix64", "ragged_index"]
+           "local_forest", "merged_components", "component_ids", "checked_broadcast", "mix64", "ragged_index"]
 
 BLOCK_BYTES = 4 << 20
 
@@ -123,8 +123,9 @@ def star_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) ->
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m"))
                           .select("u", F.least("u", "m").alias("m")), f"{name}-m")
+        # one row per edge at most, so it may hold repeats until the last step drops them
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+                 .where("u <> v"))
         large = materialize(large, f"{name}-l")
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-m")
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -137,6 +138,21 @@ def star_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) ->
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
 
 
+def merged_components(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Components (node, component_id) after more ``links`` (u, v) join those of ``comps``.
+
+    Only links between components go through the stars, each end replaced by
+    its component.
+    """
+    at = lambda c: comps.select(F.col("node").alias(c), F.col("component_id").alias(f"c{c}"))
+    between = (links.join(at("u"), "u", "left").join(at("v"), "v", "left")
+               .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v"))
+    up = star_components(local_forest(between), name)
+    moved = (comps.join(up.select(F.col("node").alias("component_id"), F.col("component_id").alias("top")),
+                        "component_id", "left").select("node", F.coalesce("top", "component_id").alias("component_id")))
+    return materialize(moved.unionByName(up.join(comps.select("node"), "node", "left_anti")), f"{name}-all")
+
+
 def component_ids(rows: DataFrame, id_col: str, comps: DataFrame) -> DataFrame:
     """Left-join component ids; a row without links is its own component."""
     c = comps.select(F.col("node").alias(id_col), "component_id")

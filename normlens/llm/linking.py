@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import checked_broadcast, local_forest, materialize, star_components
+from normlens.llm.common import checked_broadcast, local_forest, materialize, merged_components, star_components
 
 PARITY_BITS = 4096
 SIZED = "a long, b long, inter long, total long"
@@ -143,7 +143,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, dec
         if found.isEmpty():
             continue
         links = links.unionByName(found)
-        comps = star_components(local_forest(links), f"{name}-c{r}")
+        comps = merged_components(comps, found, f"{name}-c{r}")
         open_ = _placed(open_.select("key", "id", "n", "low"), comps, f"{name}-p{r}")
     if open_.isEmpty():
         return links, comps
@@ -163,4 +163,4 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, dec
     if more.isEmpty():
         return links, comps
     links = links.unionByName(more)
-    return links, star_components(local_forest(links), f"{name}-end")
+    return links, merged_components(comps, more, f"{name}-end")
