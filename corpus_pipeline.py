@@ -61,7 +61,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage),
           ("decontamination", benchmark_stage), ("tokens", token_stage)]
 
-#: SQL cannot express the classifier, the tiling or the merges; tests/llm/test_pipeline.py holds brute-force versions.
+#: SQL cannot express the classifier, the tiling or the merges; tests/llm/ holds brute-force versions of the operators.
 ORACLE_SQL = None
 
 
