@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ __all__ = ["materialize", "scratch_path", "read_table", "byte_blocks", "star_com
            "local_forest", "merged_components", "component_ids", "checked_broadcast", "mix64", "ragged_index"]
 
 BLOCK_BYTES = 4 << 20
+FOREST_EDGES = 1_000_000
 
 
 def binary_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +99,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def local_forest(edges: DataFrame) -> DataFrame:
-    """Union-find inside every task: its edges become a spanning forest (node, root)."""
-    return edges.select("u", "v").mapInArrow(_forest, "u long, v long")
+def local_forest(edges: DataFrame, block: int = FOREST_EDGES) -> DataFrame:
+    """Union-find inside every task: its edges become a spanning forest (node, root).
+
+    ``edges`` is a stored frame; its partitions are put together to about
+    ``block`` edges a task, so that a forest spans as much as a task can hold.
+    """
+    tasks = max(1, math.ceil(edges.count() / block))
+    return edges.select("u", "v").coalesce(tasks).mapInArrow(_forest, "u long, v long")
 
 
 def star_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -111,15 +118,17 @@ def star_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) ->
     half is a grouped minimum (combined before the shuffle) joined back to
     stored edges, so a hub of any degree is split by the skew join, never
     gathered.  Edge sets are written to the shared folder after each round.
+    Rounds end when all edges are stars: no node points at two others, and none
+    that is pointed at points on.
     """
     cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                       .where("u <> v").distinct(), f"{name}-e")
-    seen = None
     for _ in range(max_rounds):
-        mark = cur.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark["n"] == 0 or (mark["n"], mark["s"]) == seen:
+        ends = (cur.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+                .unionByName(cur.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.agg(F.bool_or(F.expr("up > 1 OR up = 1 AND down = 1"))).first()[0]:
             break
-        seen = (mark["n"], mark["s"])
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m"))
                           .select("u", F.least("u", "m").alias("m")), f"{name}-m")
@@ -147,7 +156,7 @@ def merged_components(comps: DataFrame, links: DataFrame, name: str) -> DataFram
     at = lambda c: comps.select(F.col("node").alias(c), F.col("component_id").alias(f"c{c}"))
     between = (links.join(at("u"), "u", "left").join(at("v"), "v", "left")
                .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v"))
-    up = star_components(local_forest(between), name)
+    up = star_components(local_forest(materialize(between, f"{name}-b")), name)
     moved = (comps.join(up.select(F.col("node").alias("component_id"), F.col("component_id").alias("top")),
                         "component_id", "left").select("node", F.coalesce("top", "component_id").alias("component_id")))
     return materialize(moved.unionByName(up.join(comps.select("node"), "node", "left_anti")), f"{name}-all")
