@@ -44,12 +44,16 @@ def build_session(master: str | None = None, app: str = "normlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the launcher and is only read here.  When it
-    is unset (local tests) a fresh folder under the system temp dir is made
-    and registered, so checkpoints and scratch tables have a home.
+    On a cluster this is set by the launcher and is only read here; without it
+    this raises, as executors cannot share a folder of the driver's.  In local
+    mode a fresh folder under the system temp dir is made and registered, so
+    checkpoints and scratch tables have a home.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="normlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     try:  # classic sessions: also used by DataFrame.checkpoint()
