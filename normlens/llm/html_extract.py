@@ -7,17 +7,19 @@
 2. Pages of a host are put in URL-path order and each is paired with the
    neighbour whose path is nearest (longest common prefix).  Their lines are
    aligned by longest common subsequence.
-3. Shared lines are deleted.  A shared line that an article container vouches
-   for stays, since two pages may carry the same article; where a page has
-   such a container, lines outside it are not article text.  Pages without
-   one are cleaned by the differencing alone.
+3. Shared lines are deleted, inside a container as outside.  Only where the
+   shared lines make up ``COPY_SHARE`` or more of the container's characters
+   do they stay there: the near page then carries the same article.  Boiler
+   lines go whether shared or not: menus and footers also differ from page to
+   page.  A page without a neighbour has nothing to be held against; there the
+   container alone decides about lines outside it.
 
-A host may hold a third of all pages, so it is cut into slots of about
-``slot_pages`` pages by the hash of the path: pairing needs a near page, not
-the whole host in one task.  Slots depend on the data alone.
+A host may hold a third of all pages, so pages are cut into ranges of (host,
+path, id), one a task, and the pages next to a cut go to both sides: every page
+meets its true neighbours, wherever the cuts fall.
 
 Defined cases: null html gives no text; a null URL belongs to the host "";
-pages with equal URLs are ordered by id; a page alone in its slot has nothing
+pages with equal URLs are ordered by id; a page alone on its host has nothing
 shared; an empty table gives no rows; only the named columns are read.
 """
 
@@ -34,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAIN, OPEN, BOILER = 0, 1, 2
+#: Shared part of a container from which on two pages carry the same article.
+COPY_SHARE = 0.5
 
 #: Elements whose text never belongs to the article.
 BOILER_TAGS = frozenset(
@@ -153,20 +157,26 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
 
 def main_text(lines: list[tuple[str, int]], near: list[tuple[str, int]] | None) -> str:
     """Text left of a page after deleting what it shares with its nearest page."""
-    drop = shared_lines([x for x, _ in lines], [x for x, _ in near]) if near else set()
-    has_main = any(z == MAIN for _, z in lines)
+    shared = shared_lines([x for x, _ in lines], [x for x, _ in near]) if near else set()
+    inside = sum(len(x) for x, z in lines if z == MAIN)
+    copy = sum(len(lines[i][0]) for i in shared if lines[i][1] == MAIN) >= COPY_SHARE * inside
     keep = [x for i, (x, z) in enumerate(lines)
-            if z == MAIN or z == OPEN and not has_main and i not in drop]
+            if z == MAIN and (copy or i not in shared) or z == OPEN and (near or not inside) and i not in shared]
     return " ".join(keep)
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (host, slot, path, id); each page waits for its right neighbour."""
-    left = cur = None  # (group, path, lines) and, for cur, (page_id, url) too
+    """Rows come sorted by (slot, host, path, id); each page waits for its right neighbour.
+
+    Pages of the next ranges (``own`` false) are neighbours only.
+    """
+    left = cur = None  # (group, path, lines) and, for cur, (page_id, url, own) too
     out: list[tuple] = []
 
     def emit(right) -> None:
-        group, path, lines, pid, url = cur
+        group, path, lines, pid, url, own = cur
+        if not own:
+            return
         score = lambda o: len(commonprefix((path, o[1]))) if o and o[0] == group else -1
         a, b = score(left), score(right)
         near = None if max(a, b) < 0 else (left if a >= b else right)
@@ -176,9 +186,9 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     pack = lambda: pa.record_batch([pa.array(list(c), f.type) for c, f in zip(list(zip(*out)) or [[]] * 4, schema)], schema=schema)
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("host", "slot", "path", "page_id", "url", "html")]
-        for host, slot, path, pid, url, source in zip(*cols):
-            page = ((host, slot), path, page_lines(source or ""), pid, url)
+        cols = [b.column(c).to_pylist() for c in ("slot", "host", "path", "page_id", "url", "html", "own")]
+        for slot, host, path, pid, url, source, own in zip(*cols):
+            page = ((slot, host), path, page_lines(source or ""), pid, url, own)
             if cur is not None:
                 emit(page)
                 left = cur
@@ -191,7 +201,24 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pack()
 
 
-def extract(df: DataFrame, id_col: str, url_col: str, html_col: str, slot_pages: int = 500) -> DataFrame:
+KEY = "struct<host:string,path:string,page_id:bigint>"
+
+
+def _ranges(rows: DataFrame, n: int) -> DataFrame:
+    """(slot, first, last, lo, hi) of at most ``n`` ranges: keys of its own pages, and of its guests too.
+
+    One row a range reaches the driver.
+    """
+    spark = rows.sparkSession
+    dealt = (rows.select("host", "path", "page_id").repartitionByRange(n, "host", "path", "page_id")
+             .select(F.spark_partition_id().alias("part"), F.struct("host", "path", "page_id").alias("key")))
+    ends = sorted(dealt.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect())
+    cuts = [(k, e.first, e.last, ends[k - 1].last if k else e.first, ends[k + 1].first if k + 1 < len(ends) else e.last)
+            for k, e in enumerate(ends)]
+    return spark.createDataFrame(cuts, f"slot int, first {KEY}, last {KEY}, lo {KEY}, hi {KEY}")
+
+
+def extract(df: DataFrame, id_col: str, url_col: str, html_col: str, ranges: int | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every page of ``df``."""
     spark = df.sparkSession
     parts = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^#]*)", 0)
@@ -199,13 +226,10 @@ def extract(df: DataFrame, id_col: str, url_col: str, html_col: str, slot_pages:
     rest = F.regexp_replace(parts, r"^[^/]*//[^/?#]*", "")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                      F.col(html_col).alias("html"), host.alias("host"), rest.alias("path"))
-    per_host = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(slot_pages)).alias("slots"))
-    # only the hosts that need more than one slot: far fewer than pages / slot_pages rows
-    big = per_host.where("slots > 1")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_big = big.count()
-    slotted = rows.join(F.broadcast(big) if n_big <= 1_000_000 else big, "host", "left").withColumn(
-        "slot", F.coalesce(F.pmod(F.xxhash64("path"), F.col("slots")), F.lit(0)))
-    dealt = (slotted.select("host", "slot", "path", "page_id", "url", "html")
-             .repartition(n, "host", "slot").sortWithinPartitions("host", "slot", "path", "page_id", "html"))
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct("host", "path", "page_id")
+    slotted = rows.join(F.broadcast(_ranges(rows, n)), (key >= F.col("lo")) & (key <= F.col("hi")))
+    dealt = (slotted.select("slot", "host", "path", "page_id", "url", "html",
+                            ((key >= F.col("first")) & (key <= F.col("last"))).alias("own"))
+             .repartitionById(n, "slot").sortWithinPartitions("slot", "host", "path", "page_id", "html"))
     return dealt.mapInArrow(_differ, "page_id long, url string, text string, n_chars long")

@@ -33,6 +33,38 @@ def test_differencing_cleans_pages_without_a_container():
     assert H.main_text(a, b) == "own 1" and H.main_text([], b) == ""
 
 
+def test_differencing_decides_inside_a_container():
+    page = lambda *own: H.page_lines("<nav>n%d</nav><article>%s<p>Share this</p></article><div>by %d</div><div>Legal</div>" % (
+        len(own[0]), "".join(f"<p>{x}</p>" for x in own), len(own[0])))
+    a, b = page("first own line"), page("another line of the page")
+    assert H.main_text(a, b) == "first own line by 14" and H.main_text(b, a) == "another line of the page by 24"
+    near_copy = page("first own line", "one more")
+    assert H.main_text(a, near_copy) == "first own line Share this"
+    assert H.main_text(a, None) == "first own line Share this"
+
+
+def test_ranges_do_not_part_neighbours(spark):
+    """One host in many ranges gives the texts of a plain pass in path order."""
+    r = random.Random(5)
+    pages = []
+    for k in range(300):
+        host, section = ("hot.example", r.randrange(40)) if k % 3 else (f"h{k % 7}.example", r.randrange(3))
+        pages.append((k, f"https://{host}/s{section}/{r.randrange(10**6)}",
+                      f"<body><div>Section {section} of {host}</div><p>own {k}</p></body>"))
+    pages += [(300, None, "<p>x</p>"), (301, "https://hot.example/s1/1", None), (302, pages[1][1], "<p>own 302</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    run = lambda n: {p.page_id: p.text for p in H.extract(df, "page_id", "url", "html", ranges=n).collect()}
+    parts = lambda u: tuple((u or "https:///").split("://")[1].split("/", 1))
+    ordered = sorted((parts(u), i, H.page_lines(h or "")) for i, u, h in pages)
+    want = {}
+    for k, ((host, path), i, lines) in enumerate(ordered):
+        near = [(len(H.commonprefix((path, ordered[j][0][1]))), k - j, ordered[j][2])
+                for j in (k - 1, k + 1) if 0 <= j < len(ordered) and ordered[j][0][0] == host]
+        want[i] = H.main_text(lines, max(near, key=lambda x: x[:2])[2] if near else None)
+    assert run(1) == run(4) == run(37) == want
+    assert df.count() == len(want)
+
+
 def test_common_subsequence_is_longest():
     assert H.shared_lines(list("abcxd"), list("axbcd")) in ({0, 1, 2, 4}, {0, 3, 4})
     assert len(H.shared_lines(list("abcxd"), list("axbcd"))) == 4
