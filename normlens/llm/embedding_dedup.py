@@ -8,8 +8,10 @@ a beam over the bottom one, and from the beam a flood through all vectors of
 cosine ``cosine - slack`` or more.  An audit holds sampled vectors against the
 whole shard; while it misses any link, the beam doubles and the slack grows (past
 WIDEST the bounded shard is scanned whole).  Links are verified in double
-precision.  Each task returns link counts and a spanning forest of its links,
-so a group of copies never turns into all its pairs; components join the forests.
+precision.  A task holds one shard and streams its queries past it,
+``query_rows`` at a time: the links of a few hundred queries are counted and
+merged into one forest over the shard before the next ones are sought, so a
+tight group never turns into all its pairs.  Components join the forests.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths are never compared;
@@ -20,6 +22,7 @@ named columns are read.  Ids must be unique.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,51 +184,103 @@ def tuned(x: np.ndarray, layers: list, cosine: float, ef: int, audit: int) -> tu
     """Beam and slack for which audited vectors find all their links in the shard."""
     slack = 0.05
     pick = np.unique(np.linspace(0, len(x) - 1, min(audit, len(x))).astype(np.int64))
-    truth = np.argwhere(x[pick] @ x.T >= cosine)
-    want = {(int(a), int(b)) for a, b in truth}
+    want = np.flatnonzero(x[pick] @ x.T >= cosine)
     while ef < min(len(x), WIDEST + 1):
         r, v = search(x[pick], x, layers, cosine, ef, slack)
-        if want <= set(zip(r.tolist(), v.tolist())):
+        if np.isin(want, r * len(x) + v).all():
             return ef, slack
         ef, slack = ef * 2, min(0.3, slack * 1.5)
     return len(x), 2.0
 
 
 def _unit(b) -> np.ndarray:
-    x = np.asarray(b.values, dtype=np.float64).reshape(len(b), -1)
+    x = np.asarray(b.flatten(), dtype=np.float64).reshape(len(b), -1)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _group_task(cosine: float, degree: int, ef: int, audit: int, block: int = 512):
-    def run(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64()),
-                          "u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        if not queries.num_rows or not shard.num_rows:
-            return empty
-        shard = shard.sort_by("id")
-        sid = shard.column("id").to_numpy()
-        copies = shard.column("copies").to_numpy()
-        exact = _unit(shard.column("vec").combine_chunks())
-        x = exact.astype(np.float32)
-        layers = build_graph(x, sid, degree)
-        width, slack = tuned(x, layers, cosine, ef, audit)
+def _merge(root: np.ndarray, r: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Roots of the shard's vectors after those (``v``) that share a query (``r``) are joined."""
+    if not len(r):
+        return root
+    n, at = len(root), root[v]
+    low = np.full(int(r.max()) + 1, n)
+    np.minimum.at(low, r, at)
+    u, w = _forest(*np.divmod(np.unique(at[at != low[r]] * n + low[r][at != low[r]]), n))
+    move = np.arange(n)
+    move[u] = w
+    return move[root]
+
+
+def _hits(qid, counts, u, v) -> pa.RecordBatch:
+    nul = lambda n: pa.nulls(n, pa.int64())
+    return pa.record_batch({"id": pa.concat_arrays([pa.array(qid), nul(len(u))]),
+                            "n_links": pa.concat_arrays([pa.array(counts), nul(len(u))]),
+                            "u": pa.concat_arrays([nul(len(qid)), pa.array(u)]),
+                            "v": pa.concat_arrays([nul(len(qid)), pa.array(v)])})
+
+
+class _Shard:
+    """One shard: its graph, and a forest of the links found so far."""
+
+    def __init__(self, members: pa.Table, cosine: float, degree: int, ef: int, audit: int):
+        self.sid = members.column("id").to_numpy()
+        self.copies = members.column("copies").to_numpy()
+        self.exact = _unit(members.column("vec").combine_chunks())
+        self.x = self.exact.astype(np.float32)
+        self.cosine = cosine
+        self.layers = build_graph(self.x, self.sid, degree)
+        self.width, self.slack = tuned(self.x, self.layers, cosine, ef, audit)
+        self.root = np.arange(len(self.sid))
+
+    def links(self, queries: pa.RecordBatch, block: int = 512) -> pa.RecordBatch:
+        """Link counts of the queries, and for each that has links one of them."""
         qid = queries.column("id").to_numpy()
-        qv = _unit(queries.column("vec").combine_chunks())
+        qv = _unit(queries.column("vec"))
         counts = np.zeros(len(qid), np.int64)
-        us, vs = [], []
+        one = np.full(len(qid), -1, np.int64)
+        step = max(1, (8 << 20) // qv.shape[1])
         for i in range(0, len(qid), block):
-            r, v = search(qv[i:i + block].astype(np.float32), x, layers, cosine, width, slack)
-            ok = (np.einsum("nd,nd->n", qv[i + r], exact[v]) >= cosine) & (qid[i + r] != sid[v])
+            r, v = search(qv[i:i + block].astype(np.float32), self.x, self.layers, self.cosine, self.width, self.slack)
+            ok = qid[i + r] != self.sid[v]
             r, v = r[ok], v[ok]
-            counts += np.bincount(i + r, weights=copies[v], minlength=len(qid)).astype(np.int64)
-            us.append(qid[i + r])
-            vs.append(sid[v])
-        u, v = _forest(np.concatenate(us), np.concatenate(vs))
-        nul = lambda n: pa.nulls(n, pa.int64())
-        return pa.table({"id": pa.concat_arrays([pa.array(qid), nul(len(u))]),
-                         "n_links": pa.concat_arrays([pa.array(counts), nul(len(u))]),
-                         "u": pa.concat_arrays([nul(len(qid)), pa.array(u)]),
-                         "v": pa.concat_arrays([nul(len(qid)), pa.array(v)])})
+            ok = np.concatenate([np.einsum("nd,nd->n", qv[i + r[k:k + step]], self.exact[v[k:k + step]]) >= self.cosine
+                                 for k in range(0, max(1, len(r)), step)])
+            r, v = r[ok], v[ok]
+            counts += np.bincount(i + r, weights=self.copies[v], minlength=len(qid)).astype(np.int64)
+            one[i + r] = v
+            self.root = _merge(self.root, r, v)
+        has = one >= 0
+        return _hits(qid, counts, qid[has], self.sid[one[has]])
+
+    def forest(self) -> pa.RecordBatch:
+        far = self.root != np.arange(len(self.root))
+        return _hits(self.sid[:0], self.sid[:0], self.sid[far], self.sid[self.root[far]])
+
+
+def _link_task(cosine: float, degree: int, ef: int, audit: int, query_rows: int):
+    """Rows come sorted by (dim, shard, block), the shard's members before the queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, shard = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("dim", "shard", "block", "query")])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if tuple(key[:3, i]) != group:
+                    if shard is not None:
+                        yield shard.forest()
+                    group, members, shard = tuple(key[:3, i]), [], None
+                if not key[3, i]:
+                    members.append(b.slice(i, j - i))
+                    continue
+                if shard is None and members:
+                    shard, members = _Shard(pa.Table.from_batches(members), cosine, degree, ef, audit), []
+                if shard is not None:
+                    for k in range(i, j, query_rows):
+                        yield shard.links(b.slice(k, min(query_rows, j - k)))
+        if shard is not None:
+            yield shard.forest()
     return run
 
 
@@ -249,9 +304,12 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_vectors(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9, shards: int = 8,
-                 shard_rows: int = 50_000, query_rows: int = 4_000, degree: int = 16, ef: int = 32, audit: int = 1000
-                 ) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row of ``df``."""
+                 shard_rows: int = 50_000, query_rows: int = 4_000, degree: int = 16, ef: int = 32, audit: int = 1000,
+                 task_rows: int = 100_000) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row of ``df``.
+
+    A task builds the graph of its shard for about ``task_rows`` queries at most.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = (F.col("vec").isNotNull() & (F.size("vec") > 0)
             & F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -262,15 +320,15 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9,
                           .select("id", "copies", "vec", F.size("vec").alias("dim")), "em-classes")
     n = classes.count()
     shards = max(1, shards, math.ceil(n / shard_rows))
-    blocks = max(1, math.ceil(n / shards / query_rows) * 2) if n else 1
+    blocks = max(1, math.ceil(n / shards / query_rows) * 2, math.ceil(n / task_rows)) if n else 1
     seq = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     members = classes.select("id", "copies", "vec", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    queries = classes.select("id", "vec", "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
-                             seq(shards).alias("shard"))
-    held = members.select("*", seq(blocks).alias("block"))
-    keys = ["dim", "shard", "block"]
-    hits = materialize(queries.groupBy(*keys).cogroup(held.groupBy(*keys))
-                       .applyInArrow(_group_task(cosine, degree, ef, audit), HITS), "em-hits")
+    queries = classes.select("id", "copies", "vec", "dim", seq(shards).alias("shard"),
+                             F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("query"))
+    held = members.select("*", seq(blocks).alias("block"), F.lit(0).alias("query"))
+    dealt = (held.unionByName(queries).repartitionById(shards * blocks, F.col("shard") * blocks + F.col("block"))
+             .sortWithinPartitions("dim", "shard", "block", "query", "id"))
+    hits = materialize(dealt.mapInArrow(_link_task(cosine, degree, ef, audit, query_rows), HITS), "em-hits")
     comps = star_components(local_forest(hits.where("u IS NOT NULL").select("u", "v")), "em")
     linked = hits.where("id IS NOT NULL").groupBy("id").agg(F.sum("n_links").alias("n_links"))
     per_class = component_ids(classes.join(linked, "id"), "id", comps).select(

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from normlens.llm import embedding_dedup as D
@@ -54,6 +55,28 @@ def test_empty_table(spark):
     assert D.near_vectors(spark.createDataFrame([], SCHEMA), "vec_id", "embedding").count() == 0
 
 
+def test_links_are_merged_query_block_by_query_block(monkeypatch):
+    """A tight group of 1,500 vectors queried by 3,000: no more links at hand than one block of queries has."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=32) + .05 * r.normal(size=(3000, 32))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x[:1500])] + [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    table = pa.table({"id": [k for k, _, _ in rows], "copies": [1] * len(rows), "vec": [v for _, v, _ in rows],
+                      "dim": [32] * len(rows), "shard": [0] * len(rows), "block": [0] * len(rows), "query": [q for _, _, q in rows]})
+    at_once, asked = [], []
+    forest, search = D._forest, D.search
+    monkeypatch.setattr(D, "_forest", lambda u, v: (at_once.append(len(u)), forest(u, v))[1])
+    monkeypatch.setattr(D, "search", lambda q, *a: (asked.append(len(q)), search(q, *a))[1])
+    out = list(D._link_task(0.9, 16, 32, 200, 700)(iter(table.to_batches(max_chunksize=1100))))
+    assert max(at_once) <= 3000 and max(asked) <= 512  # 4.5 million links in all
+    assert max(sum(i is not None for i in b.column("id").to_pylist()) for b in out) <= 700
+    got = [row for b in out for row in b.to_pylist()]
+    assert {g["id"]: g["n_links"] for g in got if g["id"] is not None} == {k: 1500 - (k < 1500) for k in range(3000)}
+    edges = [(g["u"], g["v"]) for g in got if g["u"] is not None]
+    assert len(edges) < 4500
+    u, _ = forest(*np.array(edges).T)
+    assert len(u) == 2999
+
+
 def test_graph_search_recall():
     r = np.random.default_rng(4)
     c = r.normal(size=(40, 32))
