@@ -5,9 +5,11 @@ text where its top ``bits`` bits are zero, at least ``least`` bytes after the
 last cut and at most ``most``.  Cuts depend on the last 32 bytes only, so they
 fall back in step after an insertion.  Chunks are compared by a 96-bit digest
 (BLAKE2b; 64 bits select, all 96 decide) over all texts; a chunk seen before, in order of (id, position), is a
-repeat.  A run of neighbouring chunks that all occur elsewhere is a repeated
-passage when it is at least ``min_run`` bytes long; shorter runs are chance
-phrases and stay.  Of a passage the first occurrence of each chunk stays.
+repeat.  A run of chunks that all occur elsewhere, each next to the one before it
+in some other place too, is a repeated passage when it is at least ``min_run``
+bytes long; shorter runs, and stock phrases that stand in a row only once, are
+chance and stay.  Neighbours are compared by 64 bits of both digests.  Of a
+passage the first occurrence of each chunk stays.
 
 Defined cases: a null text is empty; an empty table gives no rows; repeated
 rows lose all but the first; short texts are one chunk; ids must be unique;
@@ -90,6 +92,25 @@ def _chunk_task(bits: int, least: int, most: int):
     return run
 
 
+def _pair_task(min_run: int):
+    """Neighbouring repeated chunks; ``long`` where their whole run has ``min_run`` bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(ids)), b.column("chunks").value_lengths().to_numpy(zero_copy_only=False))
+            rep = b.column("chunks").flatten()
+            pos, size, d1 = (rep.field(x).to_numpy(zero_copy_only=False) for x in ("pos", "len", "d1"))
+            order = np.lexsort((pos, row))
+            row, pos, size, d1 = row[order], pos[order], size[order], d1[order]
+            meets = (row[1:] == row[:-1]) & (pos[1:] == pos[:-1] + size[:-1])
+            run_id = np.concatenate(([0], np.cumsum(~meets)))[:len(row)]
+            total = np.bincount(run_id, weights=size)
+            k = np.flatnonzero(meets) + 1
+            yield pa.record_batch([pa.array(ids[row[k]]), pa.array(pos[k]), pa.array(d1[k - 1]), pa.array(d1[k]),
+                                   pa.array(total[run_id[k]] >= min_run)], names=["doc_id", "pos", "a", "b", "long"])
+    return run
+
+
 def _cut_task(min_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,6 +122,7 @@ def _cut_task(min_run: int):
                 order = np.argsort(pos, kind="stable")
                 pos, size, later = pos[order].astype(np.int64), size[order].astype(np.int64), later[order].astype(bool)
                 new = np.concatenate(([True], pos[1:] != pos[:-1] + size[:-1]))
+                new |= np.isin(pos, b.column("breaks")[k].as_py() or [])
                 run_id = np.cumsum(new) - 1
                 total = np.bincount(run_id, weights=size).astype(np.int64)
                 passage = total[run_id] >= min_run
@@ -139,13 +161,19 @@ def remove_repeated_chunks(df: DataFrame, id_col: str, text_col: str, bits: int
                          .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
                          .where("n > 1").select("d1", "d2", "first"), "cdc-common")
     repeated = (live.join(common, ["d1", "d2"])
-                .select("doc_id", "pos", "len", (F.struct("doc_id", "pos") > F.col("first")).alias("later")))
-    per_text = materialize(repeated.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len", "later")).alias("chunks"),
-                                                          F.sum("len").alias("bytes"))
-                           .where(F.col("bytes") >= min_run).select("doc_id", "chunks"), "cdc-repeats")
-    ids = per_text.select("doc_id")
+                .select("doc_id", "pos", "len", (F.struct("doc_id", "pos") > F.col("first")).alias("later"), "d1"))
+    lists = materialize(repeated.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len", "later", "d1")).alias("chunks"),
+                                                       F.sum("len").alias("bytes")), "cdc-repeats")
+    # a pair of neighbours that stands in one place only breaks the run there
+    once = (lists.select("doc_id", "chunks").mapInArrow(_pair_task(min_run), "doc_id long, pos int, a long, b long, long boolean")
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos"),
+                                   F.max("long").alias("long")).where("n = 1 AND long"))
+    breaks = materialize(once.groupBy("doc_id").agg(F.collect_list("pos").alias("breaks")), "cdc-breaks")
+    long = lists.where(F.col("bytes") >= min_run)
+    per_text = long.select("doc_id", "chunks").join(breaks, "doc_id", "left")
+    ids = long.select("doc_id")
     few = checked_broadcast(ids, ids.count(), 2_000_000)
-    cut = (texts.join(few, "doc_id", "left_semi").join(per_text, "doc_id").select("doc_id", "text", "chunks")
+    cut = (texts.join(few, "doc_id", "left_semi").join(per_text, "doc_id").select("doc_id", "text", "chunks", "breaks")
            .mapInArrow(_cut_task(min_run), "doc_id long, n_bytes long, n_repeated long, n_removed long, n_spans long, "
                                            "n_passages long, kept_sha256 string, kept binary"))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")

@@ -98,5 +98,17 @@ def test_long_passages_are_caught_and_clean_texts_left(spark):
     assert all(out[i].n_removed == out[i].n_repeated == 0 for i in range(60, 120))
 
 
+def test_stock_phrases_in_a_row_are_no_passage(spark):
+    """Chunks of 25 bytes: p0..p4 occur one by one elsewhere, q0..q4 as a whole."""
+    r = random.Random(3)
+    block = lambda: "".join(r.choice("abcdefghij ") for _ in range(24)) + "."
+    p, q = [block() for _ in range(5)], [block() for _ in range(5)]
+    rows = [block() + x + block() for x in p] + ["".join(p), "".join(q), "".join(q), block() + "".join(q[:4]) + p[0] + p[2]]
+    out = run(spark, list(enumerate(rows)), least=25, most=25)
+    assert [(out[i].n_removed, out[i].n_repeated, out[i].n_passages) for i in range(9)] == [
+        *[(0, 0, 0)] * 6, (0, 125, 1), (125, 125, 1), (100, 100, 1)]
+    assert bytes(out[8].kept).decode() == rows[8][:25] + p[0] + p[2]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
