@@ -9,12 +9,13 @@ verified by exact Jaccard similarity of their sets (linking.py), and links are
 joined by union-find inside tasks and stars across them.  One line per
 component stays: the first in order of (doc id, line number).
 
-Lines under ``min_chars`` characters in normal form (short headings, list
-marks, blank lines) carry too little to call repeated; they always stay.
+Lines under ``min_chars`` characters in normal form (menu entries, short
+headings) carry too few shingles to link by likeness; those of ``least_chars``
+or more are compared by their whole normal form.  Lines shorter than both, and
+blank lines, always stay.
 
 Defined cases: a null text has no lines and stays null; an empty text stays
-empty; repeated rows lose every line of ``min_chars`` or more but the first
-copy's; an empty table gives no rows; columns of the input may have any names,
+empty; repeated rows lose every compared line but the first copy's; an empty table gives no rows; columns of the input may have any names,
 as only the two named ones are read (``cleaned`` keeps the others untouched).
 Ids must be unique and below 2^42; texts may have up to 2^21 lines.
 """
@@ -182,14 +183,16 @@ def _line_sets(chars: int):
 
 
 def duplicate_lines(df: DataFrame, id_col: str, text_col: str, chars: int = 8, num: int = 80, den: int = 100,
-                    bands: int = 12, rows: int = 3, min_chars: int = 20, seed: int = 11) -> DataFrame:
-    """(id, line, first_id, first_line, kept) for every line of ``min_chars`` or more.
+                    bands: int = 12, rows: int = 3, min_chars: int = 20, seed: int = 11,
+                    least_chars: int | None = None) -> DataFrame:
+    """(id, line, first_id, first_line, kept) for every line of ``least_chars`` (by default ``min_chars``) or more.
 
     ``first_*`` names the line of the component that stays.  At a similarity of
     0.8, 12 bands of 3 miss a pair with probability 2e-4.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    lines = materialize(texts.mapInArrow(_line_task(min_chars), LINES), "ln-lines")
+    least = min_chars if least_chars is None else max(1, min(least_chars, min_chars))
+    lines = materialize(texts.mapInArrow(_line_task(least), LINES), "ln-lines")
     classes = materialize(lines.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")),
                           "ln-classes")
     banded = materialize(texts.mapInArrow(_band_task(min_chars, chars, bands, rows, seed),

@@ -86,9 +86,9 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines (exact or fuzzy): counts and digest of what is kept."""
+    """Documents without their repeated lines (exact, from 20 characters also fuzzy): counts and digest of what is kept."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.cleaned(docs, "doc_id", "text")
+    out = line_dedup.cleaned(docs, "doc_id", "text", least_chars=1)
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("__removed").alias("n_removed"), F.length(kept).cast("long").alias("n_chars"),
                       F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))

@@ -64,5 +64,24 @@ def test_matches_brute_force(spark, seed):
                for r in out if want[r.doc_id])
 
 
+def test_registered_queries_compare_short_lines(spark):
+    """Menu entries repeat exactly (case and white space aside); near ones and blank lines stay."""
+    import hashlib
+
+    import corpus_pipeline
+    from normlens.llm.queries import QUERIES
+    from normlens.session import scratch_path
+    rows = [(1, "Read more\n\nthe first document has a line\nShare"), (2, "  READ  more\n\nthe second one has another\nShares"),
+            (3, "Share\r\nx\n \nx"), (4, "x"), (5, ""), (6, None)]
+    want = {1: (0, rows[0][1]), 2: (1, "\nthe second one has another\nShares"), 3: (2, "x\n "), 4: (1, ""), 5: (0, ""), 6: (0, None)}
+    out = scratch_path(spark, "short-lines")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in QUERIES["op5_line_dedup"](spark, out).collect()}
+    assert got == {i: (n, hashlib.sha256((t or "").encode()).hexdigest()) for i, (n, t) in want.items()}
+    left = corpus_pipeline.line_stage(spark, spark.read.parquet(f"{out}/documents.parquet"), out).collect()
+    assert {r.doc_id: r.text for r in left} == {i: t for i, (_, t) in want.items() if i != 4}
+
+
 def test_empty_table(spark):
     assert L.cleaned(spark.createDataFrame([], SCHEMA), "doc_id", "text").count() == 0
