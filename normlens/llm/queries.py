@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.llm import (byte_bpe, chunk_dedup, decontaminate, embedding_dedup, html_extract, line_dedup,
-                           minhash_dedup, quality, suffix_dedup, warc)
+                           minhash_dedup, quality, suffix_dedup, token_files, warc)
 from normlens.llm.common import materialize, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return docs.select("doc_id").join(hits, "doc_id", "left").select(
         "doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "items",
         F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"), F.col("n_items").isNotNull().alias("contaminated"))
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids written as packed files in id order, and read back from them."""
+    folder = scratch_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), folder, "doc_id", "text",
+                                  public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_token_files(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
