@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.llm import (byte_bpe, chunk_dedup, decontaminate, embedding_dedup, html_extract, line_dedup,
-                           minhash_dedup, quality, suffix_dedup, token_files, warc)
+                           minhash_dedup, periodic_runs, quality, suffix_dedup, token_files, warc)
 from normlens.llm.common import materialize, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,40 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.read_token_files(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the words of every tenth document, by its id's checksum, made periodic from some word on.
+
+    h = crc32(decimal doc_id), g = h // 10: where h % 10 = 0, word i >= a becomes
+    word a + (i - a) % p, with a = g % n and p = 1 + (n - a) // (3 + g % 8).
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    w = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    w = w.withColumn("n", F.when(F.size("w") > 0, F.size("w")))
+    w = w.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    w = w.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    cycle = F.slice("w", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    made = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), F.flatten(F.array_repeat(cycle, times))),
+                   F.lit(1), F.col("n"))
+    return w.select("doc_id", F.coalesce(F.array_join(made, " "), "text").alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document (some made periodic first), the greatest run, and digests."""
+    docs = planted_periods(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"),
+                                                              (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = periodic_runs.periodic_runs(docs, "doc_id", "text").select("*", best.alias("b"))
+    length, period = F.col("b.l"), -F.col("b.p")
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("b.s")).alias("start"),
+        length.alias("length"), period.alias("period"),
+        F.expr("1000 * b.l div -b.p").cast("long").alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
