@@ -258,3 +258,23 @@ def test_every_score_column_gets_its_correlation(spark):
                                "acc double, " + ", ".join(f"m{k} double" for k in range(8)))
     cols = C.numeric_columns(df, exclude=["acc"])
     assert {r.metric for r in C.score_correlations(df, "acc", cols).collect()} == {f"m{k}" for k in range(8)}
+
+
+def test_row_ranks_number_rows_of_any_order_inside_groups(spark):
+    import random
+    from pyspark.sql import functions as F
+    from normlens.functions.index import row_ranks
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, 1.0, 2.0, 3.5, float(i)]), f"t{i:04d}") for i in range(900)
+            for g in [rng.choice(["hot", "hot", "a", "b", None])]]
+    df = spark.createDataFrame(rows, "g string, v double, t string").repartition(5)
+    got = row_ranks(df, ["g"], [F.col("v").desc_nulls_last(), "t"], "r").collect()
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [(x.v, x.t) for x in sorted((x for x in got if x.g == g), key=lambda x: x.r)] == [r[1:] for r in mine]
+    whole = sorted(row_ranks(df, [], ["t"], "r").collect(), key=lambda x: x.r)
+    assert [x.r for x in whole] == list(range(900)) and [x.t for x in whole] == sorted(r[2] for r in rows)
+    ties = row_ranks(df.select(F.lit(1).alias("k")), [], ["k"], "r").collect()
+    assert sorted(x.r for x in ties) == list(range(900))
+    assert row_ranks(df.limit(0), [], ["t"], "r").collect() == []
