@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.llm import (byte_bpe, chunk_dedup, decontaminate, embedding_dedup, html_extract, line_dedup,
-                           minhash_dedup, periodic_runs, quality, suffix_dedup, token_files, warc)
+                           minhash_dedup, periodic_runs, prefix_trie, quality, suffix_dedup, token_files, warc)
 from normlens.llm.common import materialize, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,34 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * b.l div -b.p").cast("long").alias("exponent_milli"),
         F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"),
         F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conv_ids): conversation c gets the first h turns of conversation c - c % 100 for its own first h.
+
+    h = crc32(decimal c) % 6; a shorter first conversation gives all it has, an
+    absent one nothing.  Turns are (conv_id, depth, sym, chars).
+    """
+    ranked = materialize(prefix_trie.ranked_turns(conversations, "conv_id", "turn", "role", "text"), "turns")
+    h, base = F.crc32(F.col("conv_id").cast("string")) % 6, F.col("conv_id") - F.col("conv_id") % 100
+    convs = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).where("conv_id IS NOT NULL").distinct()
+    convs = materialize(convs.select("conv_id", h.alias("h"), base.alias("base")), "convs")
+    heads = ranked.where("conv_id % 100 = 0 AND pos <= 5").withColumnRenamed("conv_id", "base")
+    taken = convs.where("h > 0").join(heads, "base").where("pos <= h")
+    borrowed = taken.select("conv_id", F.col("pos").alias("depth"), "sym", "chars")
+    lens = heads.groupBy("base").agg(F.max("pos").alias("len"))
+    kept = convs.join(lens, "base", "left").select(
+        "conv_id", "h", F.least("h", F.coalesce("len", F.lit(0))).alias("n_borrowed"))
+    own = ranked.join(kept, "conv_id").where("pos > h").select(
+        "conv_id", (F.col("pos") - F.col("h") + F.col("n_borrowed")).alias("depth"), "sym", "chars")
+    return borrowed.unionByName(own), convs.select("conv_id")
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt with shared openings: one row per node."""
+    turns, conv_ids = rebuilt_turns(read_table(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie.prefix_trie(turns, conv_ids)
+    return prefix_trie.with_end_digests(nodes, ends).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", F.col("n_children").cast("long").alias("n_children"),
+        "n_leaves", "saved_tokens", "ends_sha256")
