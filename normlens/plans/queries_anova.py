@@ -1,8 +1,8 @@
 """Two-way ANOVA queries.
 
-The general table (grid accuracy ~ prompt + eval) has no SQL form (it
-needs a pseudo-inverse); with one 2-level factor every sum of squares is a
-closed-form aggregate, so those runs carry a DuckDB oracle.
+The general table (grid accuracy ~ prompt + eval) is held against alternating
+sweeps in a recursive CTE, with the F tail by Simpson's rule; with one 2-level
+factor every sum of squares is a closed-form aggregate.
 """
 
 from __future__ import annotations
@@ -45,12 +45,61 @@ def _two_level_sql(src: str, y: str, a: str, b: str, a1: str) -> str:
 SELECT term, round(sum_sq, 6) AS sum_sq, round(df, 6) AS df, round(F, 6) AS F, round(eta_sq, 6) AS eta_sq FROM tbl"""
 
 
-@query("anova_two_way")
+def _sweeps_sql(src: str, y: str, a: str, b: str, sweeps: int = 120, points: int = 20_000) -> str:
+    """Type II table of a connected grid: effects of ``a`` by ``sweeps`` alternating fits of both factors."""
+    tail = """exp(lgamma((d + d_r) / 2) - lgamma(d / 2) - lgamma(d_r / 2)) * x / {n} / 3 * (
+      SELECT sum((CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+                 * power(x * k / {n}, d_r / 2 - 1) * power(1 - x * k / {n}, d / 2 - 1)) FROM range({n} + 1) t(k))""".format(n=points)
+    return f"""
+, base AS (SELECT {a} AS a, {b} AS b, {y}::DOUBLE AS y FROM {src}
+           WHERE {y} IS NOT NULL AND {a} IS NOT NULL AND {b} IS NOT NULL),
+  mu AS (SELECT avg(y) AS m FROM base),
+  c AS (SELECT a, b, count(*) AS n, sum(y - (SELECT m FROM mu)) AS s,
+               sum((y - (SELECT m FROM mu)) * (y - (SELECT m FROM mu))) AS ss FROM base GROUP BY a, b),
+  ta AS (SELECT a, sum(n) AS n, sum(s) AS s FROM c GROUP BY a),
+  tb AS (SELECT b, sum(n) AS n, sum(s) AS s FROM c GROUP BY b),
+  fit AS (
+    SELECT 0 AS k, a, 0.0::DOUBLE AS e FROM ta
+    UNION ALL
+    SELECT any_value(down.k) + 1, c.a, sum(c.s - c.n * down.e) / sum(c.n)
+    FROM c JOIN (SELECT any_value(f.k) AS k, c.b, sum(c.s - c.n * f.e) / sum(c.n) AS e
+                 FROM c JOIN fit f ON c.a = f.a WHERE f.k < {sweeps} GROUP BY c.b) down ON c.b = down.b
+    GROUP BY c.a),
+  ea AS (SELECT a, e FROM fit WHERE k = {sweeps}),
+  eb AS (SELECT c.b, sum(c.s - c.n * ea.e) / sum(c.n) AS e FROM c JOIN ea ON c.a = ea.a GROUP BY c.b),
+  r AS (SELECT (SELECT sum(ss - 2 * s * (ea.e + eb.e) + n * (ea.e + eb.e) * (ea.e + eb.e))
+                FROM c JOIN ea ON c.a = ea.a JOIN eb ON c.b = eb.b) AS rss,
+               (SELECT sum(ss) FROM c) AS t, (SELECT sum(s * s / n) FROM ta) AS qa, (SELECT sum(s * s / n) FROM tb) AS qb,
+               (SELECT count(*) FROM ta)::DOUBLE AS la, (SELECT count(*) FROM tb)::DOUBLE AS lb, (SELECT sum(n) FROM c)::DOUBLE AS n),
+  v AS (SELECT t - qb - rss AS ss_a, t - qa - rss AS ss_b, rss, la - 1 AS df_a, lb - 1 AS df_b, n - la - lb + 1 AS d_r FROM r),
+  f AS (SELECT '{a}' AS term, ss_a AS ss, df_a AS d, * FROM v UNION ALL SELECT '{b}', ss_b, df_b, * FROM v),
+  q AS (SELECT *, (ss / d) / (rss / d_r) AS F, d_r / (d_r + d * ((ss / d) / (rss / d_r))) AS x FROM f)
+SELECT term, ss AS sum_sq, d AS df, F, {tail} AS p_value, ss / (ss_a + ss_b + rss) AS eta_sq FROM q
+UNION ALL
+SELECT 'Residual', rss, d_r, NULL, NULL, rss / (ss_a + ss_b + rss) FROM v"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("anova_two_way", _recursive(with_fixtures(["cells"], _sweeps_sql(
+    "cells", "accuracy", "prompt_community", "eval_community"))))
 def q_anova_two_way(spark, d):
     """Type II ANOVA of grid accuracy on prompt and eval community, with eta squared and p."""
     return AN.anova_two_way(spark, fx.cells(spark, d), "accuracy", "prompt_community", "eval_community")
 
 
+@query("anova_source_language", _recursive(with_fixtures([], """
+, docs AS (SELECT d.source, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+""" + _sweeps_sql("docs", "quality", "source", "lang"))))
+def q_anova_source_language(spark, d):
+    """Type II ANOVA of the quality label on source and language (many rows a cell, unbalanced)."""
+    docs = read_table(spark, d, "documents").select("doc_id", "source", "lang")
+    labels = read_table(spark, d, "labels").select("doc_id", "quality")
+    return AN.anova_two_way(spark, docs.join(labels, "doc_id"), "quality", "source", "lang")
+
+
 @query("anova_two_level", with_fixtures([], """
 , docs AS (SELECT d.lang, l.toxic, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 """ + _two_level_sql("docs", "quality", "toxic", "lang", "1")))

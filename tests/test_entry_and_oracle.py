@@ -9,7 +9,7 @@ from tests.conftest import SF01
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 SAMPLE = ["run_metrics", "word_rates", "length_bin_rates", "balanced_split", "parse_outputs",
-          "normalized_grid", "community_similarity", "anova_two_level", "score_batches",
+          "normalized_grid", "community_similarity", "anova_two_way", "anova_two_level", "score_batches",
           "stream_run_metrics"]
 
 

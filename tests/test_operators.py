@@ -137,34 +137,84 @@ def test_constant_score_column_gives_null(spark):
     assert r["s"] == pytest.approx(np.corrcoef([0.1, 0.4, 0.9], [0.5, 0.7, 0.2])[0, 1], abs=1e-12)
 
 
-def test_anova_matches_least_squares(spark):
-    rng = np.random.default_rng(11)
-    a = rng.integers(0, 4, 120)
-    b = rng.integers(0, 3, 120)
-    keep = ~((a == 1) & (b == 2))
-    a, b = a[keep], b[keep]
-    y = 0.5 * a + rng.normal(size=a.size)
+def _least_squares(a, b, y):
+    """(SS of a, SS of b, RSS, df of a, df of b, residual df) from dense fits."""
+    def fit(*cols):
+        X_ = np.column_stack([np.ones(len(y))] + [(c == v).astype(float) for c in cols for v in np.unique(c)])
+        beta, _, rank, _ = np.linalg.lstsq(X_, y, rcond=None)
+        return float(((y - X_ @ beta) ** 2).sum()), int(rank)
+    (full, r), (only_a, ra), (only_b, rb) = fit(a, b), fit(a), fit(b)
+    return only_b - full, only_a - full, full, r - rb, r - ra, len(y) - r
+
+
+def _anova(spark, a, b, y):
     df = spark.createDataFrame(pd.DataFrame({"a": a.astype(str), "b": b.astype(str), "y": y}))
-    t = {r.term: r for r in AN.anova_two_way(spark, df, "y", "a", "b").collect()}
+    return {r.term: r for r in AN.anova_two_way(spark, df, "y", "a", "b").collect()}
+
 
-    def rss(use_a, use_b):
-        cols = [np.ones(a.size)]
-        cols += [(a == i).astype(float) for i in range(1, 4)] if use_a else []
-        cols += [(b == j).astype(float) for j in range(1, 3)] if use_b else []
-        X_ = np.column_stack(cols)
-        beta, *_ = np.linalg.lstsq(X_, y, rcond=None)
-        return float(((y - X_ @ beta) ** 2).sum())
-
-    full = rss(1, 1)
-    assert t["a"].sum_sq == pytest.approx(rss(0, 1) - full, rel=1e-9)
-    assert t["b"].sum_sq == pytest.approx(rss(1, 0) - full, rel=1e-9)
-    assert t["Residual"].sum_sq == pytest.approx(full, rel=1e-9)
-    assert (t["a"].df, t["b"].df, t["Residual"].df) == (3.0, 2.0, a.size - 6.0)
+@pytest.mark.parametrize("shape", ["unbalanced", "disconnected", "chain", "wide"])
+def test_anova_matches_least_squares(spark, shape):
+    rng = np.random.default_rng(11)
+    n, la, lb = {"unbalanced": (120, 4, 3), "disconnected": (200, 8, 6), "chain": (90, 15, 15), "wide": (600, 40, 3)}[shape]
+    a, b = rng.integers(0, la, n), rng.integers(0, lb, n)
+    if shape == "unbalanced":
+        keep = ~((a == 1) & (b == 2))
+    elif shape == "disconnected":
+        keep = (a % 3) == (b % 3)
+    elif shape == "chain":  # level a meets b = a and b = a + 1 only
+        b = np.minimum(a + rng.integers(0, 2, n), lb - 1)
+        keep = np.ones(n, bool)
+    else:
+        keep = np.ones(n, bool)
+    a, b = a[keep], b[keep]
+    y = 0.5 * a + rng.normal(size=a.size) + 1e3
+    t = _anova(spark, a, b, y)
+    ss_a, ss_b, rss, df_a, df_b, df_r = _least_squares(a, b, y)
+    assert t["a"].sum_sq == pytest.approx(ss_a, rel=1e-7)
+    assert t["b"].sum_sq == pytest.approx(ss_b, rel=1e-7)
+    assert t["Residual"].sum_sq == pytest.approx(rss, rel=1e-7)
+    assert (t["a"].df, t["b"].df, t["Residual"].df) == (df_a, df_b, df_r)
     total = sum(r.sum_sq for r in t.values())
     assert t["a"].eta_sq == pytest.approx(t["a"].sum_sq / total)
     assert 0.0 <= t["a"].p_value <= 1.0 and t["Residual"].p_value is None
 
 
+def test_anova_of_many_levels(spark):
+    """50,000 x 3 levels: more than any dense table of the driver; closed form from level means."""
+    rng = np.random.default_rng(2)
+    n = 50_000
+    a = np.repeat(np.arange(n), 3)
+    b = np.tile(np.arange(3), n)
+    y = (a % 7) * 0.25 + b + rng.normal(size=3 * n)
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "y": y}))
+    t = {r.term: r for r in AN.anova_two_way(spark, df, "y", "a", "b").collect()}
+    ma, mb, m = y.reshape(n, 3).mean(1), y.reshape(n, 3).mean(0), y.mean()
+    assert t["a"].sum_sq == pytest.approx(3 * ((ma - m) ** 2).sum(), rel=1e-9)
+    assert t["b"].sum_sq == pytest.approx(n * ((mb - m) ** 2).sum(), rel=1e-9)
+    assert t["Residual"].sum_sq == pytest.approx(((y.reshape(n, 3) - ma[:, None] - mb + m) ** 2).sum(), rel=1e-9)
+    assert (t["a"].df, t["b"].df, t["Residual"].df) == (n - 1, 2, 2 * (n - 1))
+
+
+def test_anova_of_perfect_fits_one_level_and_no_rows(spark):
+    t = _anova(spark, np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.array([1.0, 2.0, 3.0, 4.0]))
+    assert t["a"].sum_sq == pytest.approx(4.0) and t["b"].sum_sq == pytest.approx(1.0)
+    assert (t["Residual"].sum_sq, t["a"].F, t["a"].p_value) == (0.0, None, None)
+    t = _anova(spark, np.array([0, 0, 0]), np.array([0, 1, 1]), np.array([1.0, 2.0, 4.0]))
+    assert (t["a"].df, t["a"].F) == (0.0, None) and t["b"].sum_sq == pytest.approx(8 / 3)
+    empty = spark.createDataFrame([], "a string, b string, y double")
+    assert {(r.term, r.sum_sq, r.eta_sq) for r in AN.anova_two_way(spark, empty, "y", "a", "b").collect()} == {
+        ("a", 0.0, None), ("b", 0.0, None), ("Residual", 0.0, None)}
+
+
+def test_parts_of_a_long_chain(spark):
+    from normlens.operators.components import bipartite_labels, bipartite_parts
+    links = [(i, i) for i in range(60)] + [(i, i + 1) for i in range(59) if i != 30] + [(100, 200)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.a: r.part for r in bipartite_labels(df, "a", "b").collect()}
+    assert len({got[i] for i in range(31)}) == 1 and len({got[i] for i in range(31, 60)}) == 1
+    assert len(set(got.values())) == 3 == bipartite_parts(df, "a", "b", 61, 61)
+
+
 def test_strict_modes_raise(spark):
     pred = spark.createDataFrame([(999, V)], "comment_id long, pred_label string")
     truth = spark.createDataFrame([(1, V)], "comment_id long, true_label string")
