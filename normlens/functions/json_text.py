@@ -10,6 +10,11 @@ Rules (in order):
   4. accepted only when the element count equals the batch size
   5. otherwise salvage: every non-greedy ``{...}`` fragment parsed alone,
      fragments that are not strict JSON skipped; count not truncated
+
+Every element is typed alone, from a VARIANT, so a broken one does not touch its
+neighbours.  An id is a JSON number of integral value (``4``, ``4.0``, ``4e0``) or
+``true``/``false`` (1 and 0, which is what a Python lookup by number accepts);
+strings, fractions, missing ids and elements that are no objects give a NULL id.
 """
 
 from __future__ import annotations
@@ -75,13 +80,48 @@ def parsed_count(cand) -> Column:
                   F.when(cand.startswith("["), F.json_array_length(cand)).otherwise(F.lit(1)))
 
 
+_NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
+# text form of an element that VARIANT refuses (repeated keys): the last value of a key counts
+_TEXT_ITEM = T.StructType([T.StructField(f.name, T.StringType()) for f in ITEM_SCHEMA])
+
+
+def variant_id(value: Column) -> Column:
+    """The id held in ``$.comment_id`` of a VARIANT, or NULL."""
+    whole = F.try_variant_get(value, "$.comment_id", "bigint")
+    exact = F.try_variant_get(value, "$.comment_id", "decimal(38,9)")
+    kind = F.schema_of_variant(F.try_variant_get(value, "$.comment_id", "variant"))
+    return F.when(kind.rlike(_NUMBER) & (exact == whole), whole)
+
+
+def _variant_item(value: Column) -> Column:
+    return F.struct(variant_id(value).alias("comment_id"),
+                    F.try_variant_get(value, "$.label", "string").alias("label"),
+                    F.try_variant_get(value, "$.evidence", "string").alias("evidence"))
+
+
+def _text_item(text: Column) -> Column:
+    item = F.from_json(text, _TEXT_ITEM, _STRICT)
+    number = F.regexp_extract(item["comment_id"], r"^(-?\d+)(\.0*)?$", 1)
+    return F.struct(number.try_cast("bigint").alias("comment_id"), item["label"].alias("label"),
+                    item["evidence"].alias("evidence"))
+
+
+def _items_of_texts(texts: Column) -> Column:
+    """Items of strict JSON texts, each parsed once."""
+    both = F.transform(texts, lambda x: F.struct(x.alias("t"), F.try_parse_json(x).alias("v")))
+    return F.transform(both, lambda b: F.when(b["v"].isNotNull(), _variant_item(b["v"])).otherwise(_text_item(b["t"])))
+
+
 def parse_items(cand) -> Column:
-    """Items of a valid candidate as array<struct<comment_id,label,evidence>>."""
-    return F.from_json(_c(cand), ITEMS_SCHEMA, _STRICT)
+    """Items of a strictly valid candidate, one per element: array<struct<comment_id,label,evidence>>."""
+    cand = _c(cand)
+    whole = F.try_parse_json(cand)
+    elements = F.try_variant_get(F.when(cand.startswith("["), whole), "$", "array<variant>")
+    texts = F.when(cand.startswith("["), F.from_json(cand, T.ArrayType(T.StringType()), _STRICT)).otherwise(F.array(cand))
+    return F.coalesce(F.transform(elements, _variant_item), _items_of_texts(texts))
 
 
 def salvage_items(cand) -> Column:
     """Every non-greedy ``{...}`` fragment that parses on its own."""
     frags = F.regexp_extract_all(F.coalesce(_c(cand), F.lit("")), F.lit(r"(?s)\{.*?\}"), 0)
-    good = F.filter(frags, lambda x: is_strict_json(x))
-    return F.transform(good, lambda x: F.from_json(x, ITEM_SCHEMA, _STRICT))
+    return _items_of_texts(F.filter(frags, lambda x: is_strict_json(x)))

@@ -5,9 +5,10 @@ inside whole-stage code generation; no Python UDF.  Outcomes:
 
 * ``empty``        blank reply: no items, nothing logged
 * ``no_json``      no ``[...]`` or ``{...}`` block: no items, nothing logged
-* ``success``      strict JSON with exactly ``batch_size`` elements
-* ``wrong_size``   strict JSON with another element count, or with elements
-                   that are no items -> salvage
+* ``success``      strict JSON with exactly ``batch_size`` elements, all with an id
+* ``lost_ids``     the same, but some element has no usable id: all elements
+                   are kept, those without id as rows with a NULL id
+* ``wrong_size``   strict JSON with another element count -> salvage
 * ``decode_error`` not strict JSON -> salvage
 """
 
@@ -21,29 +22,33 @@ from pyspark.sql import functions as F
 from normlens.constants import (AUDIT_DECODE_ERROR, AUDIT_LINE_PATTERN, AUDIT_REPAIRS, AUDIT_SUCCESS,
                                 AUDIT_WRONG_SIZE, BATCH_SIZE)
 from normlens.operators.requests import fill_template
-from normlens.functions.json_text import (ITEMS_SCHEMA, is_blank, is_strict_json, json_candidate,
-                                          parse_items, parsed_count, salvage_items)
+from normlens.functions.json_text import (ITEMS_SCHEMA, is_blank, json_candidate, parse_items,
+                                          parsed_count, salvage_items)
+
+
+LOGGED = ("success", "lost_ids", "wrong_size", "decode_error")
 
 
 def parse_outputs(df: DataFrame, content_col: str = "content",
                   batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Add ``candidate, outcome, n_parsed, n_expected, items, n_items`` to each reply row."""
+    """Add ``candidate, n_parsed, items, n_items, n_null_id, outcome, n_expected`` to each reply row."""
     blank = is_blank(F.col(content_col))
     out = df.withColumn("candidate", F.when(~blank, json_candidate(F.col(content_col))))
     cand = F.col("candidate")
-    strict = is_strict_json(cand)
-    out = out.withColumn("n_parsed", F.when(cand.isNotNull(), parsed_count(cand)))
+    # NULL where the candidate is not strict JSON
+    out = out.withColumn("n_parsed", F.when(cand.isNotNull(), parsed_count(cand)).cast("bigint"))
+    fits = F.coalesce(F.col("n_parsed") == batch_size, F.lit(False))
+    out = out.withColumn("items", F.when(cand.isNull(), F.array().cast(ITEMS_SCHEMA))
+                         .when(fits, parse_items(cand)).otherwise(salvage_items(cand)))
+    out = out.withColumn("n_items", F.size("items")).withColumn(
+        "n_null_id", F.size(F.filter("items", lambda i: i["comment_id"].isNull())))
     outcome = (F.when(blank, F.lit("empty"))
                .when(cand.isNull(), F.lit("no_json"))
-               .when(strict & (F.col("n_parsed") == batch_size)
-                     & F.coalesce(F.size(parse_items(cand)) == batch_size, F.lit(False)), F.lit("success"))
-               .when(strict, F.lit("wrong_size"))
-               .otherwise(F.lit("decode_error")))
-    out = out.withColumn("outcome", outcome).withColumn("n_expected", F.lit(batch_size))
-    items = (F.when(F.col("outcome") == "success", parse_items(cand))
-             .when(F.col("outcome").isin("wrong_size", "decode_error"), salvage_items(cand))
-             .otherwise(F.array().cast(ITEMS_SCHEMA)))
-    return out.withColumn("items", items).withColumn("n_items", F.size("items"))
+               .when(F.col("n_parsed").isNull(), F.lit("decode_error"))
+               .when(~fits, F.lit("wrong_size"))
+               .when(F.col("n_null_id") > 0, F.lit("lost_ids"))
+               .otherwise(F.lit("success")))
+    return out.withColumn("outcome", outcome).withColumn("n_expected", F.lit(batch_size))
 
 
 def fragment_count(cand_col: str = "candidate"):
@@ -61,20 +66,20 @@ def predictions(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def audit(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Parse-audit rows: outcome, parsed size, expected size, recovered items."""
-    return parsed.select(*keys, "outcome", "n_parsed", "n_expected", "n_items",
-                         F.col("outcome").isin("success", "wrong_size", "decode_error").alias("logged"))
+    """Parse-audit rows: outcome, parsed size, expected size, recovered items and those without id."""
+    return parsed.select(*keys, "outcome", "n_parsed", "n_expected", "n_items", "n_null_id",
+                         F.col("outcome").isin(*LOGGED).alias("logged"))
 
 
 def audit_text(parsed: DataFrame) -> F.Column:
-    """The log lines one batch adds (empty for unlogged outcomes)."""
+    """The log lines one batch adds (empty for unlogged outcomes); sizes decide, so lost ids log as success."""
     n, b = F.col("n_parsed").cast("string"), F.col("n_expected").cast("string")
     o = F.col("outcome")
     wrong = F.concat(*[fill_template(AUDIT_WRONG_SIZE, {"attempt": F.lit(str(i)), "parsed": n, "expected": b,
                                                        "repairs": F.lit(AUDIT_REPAIRS[i])}) for i in (0, 1)])
     decode = F.concat(*[fill_template(AUDIT_DECODE_ERROR, {"attempt": F.lit(str(i)),
                                                         "message": F.lit("not a single JSON value")}) for i in (0, 1)])
-    return (F.when(o == "success", F.lit(AUDIT_SUCCESS))
+    return (F.when(o.isin("success", "lost_ids"), F.lit(AUDIT_SUCCESS))
             .when(o == "wrong_size", wrong)
             .when(o == "decode_error", decode)
             .otherwise(F.lit("")))

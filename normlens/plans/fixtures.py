@@ -174,25 +174,37 @@ def raw_outputs(spark: SparkSession, d: str, batch_size: int = 10) -> DataFrame:
     """Simulated reply text per batch of ``batch_size`` labelled documents.
 
     Shapes by batch number: clean arrays, arrays cut before ``]``, arrays
-    wrapped in prose, empty replies and bare objects with one bad fragment.
+    wrapped in prose, arrays one element short, empty replies, replies without
+    JSON, bare objects with one bad fragment, and batches whose ids are
+    decimals, strings or missing.  Some items carry a third label or evidence.
     """
     labels = read_table(spark, d, "labels").select("doc_id", "quality")
-    ranked = global_row_index(labels, "doc_id", "rn")
-    item = F.concat(
-        F.lit('{"comment_id":'), F.col("doc_id").cast("string"), F.lit(',"label":"'),
-        F.when(F.col("quality") == 0, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE)),
-        F.lit('","evidence":""}'))
-    items = ranked.select(F.floor(F.col("rn") / batch_size).cast("int").alias("batch_no"),
-                          "rn", item.alias("j"))
-    g = items.groupBy("batch_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "j"))),
-                                 lambda s: s["j"]), ",").alias("body"))
+    ranked = global_row_index(labels, "doc_id", "rn").withColumn("b", F.floor(F.col("rn") / batch_size).cast("int"))
+    doc, b = F.col("doc_id"), F.col("b")
+    number = doc.cast("string")
+    odd = b % 11 == 6
+    ident = (F.when(odd & (doc % 7 == 1), F.concat(F.lit('"'), number, F.lit('"')))
+             .when(odd & (doc % 7 == 2), F.concat(number, F.lit(".5")))
+             .when((b % 11 == 8) | odd, F.concat(number, F.lit(".0")))
+             .otherwise(number))
+    label = (F.when(doc % 23 == 5, F.lit("unclear")).when(F.col("quality") == 0, F.lit(POSITIVE))
+             .otherwise(F.lit(NEGATIVE)))
+    item = F.concat(F.lit("{"), F.when(odd & (doc % 7 == 3), F.lit("")).otherwise(
+                        F.concat(F.lit('"comment_id":'), ident, F.lit(","))),
+                    F.lit('"label":"'), label, F.lit('","evidence":"'),
+                    F.when(doc % 3 == 0, F.concat(F.lit('see \\"word '), number, F.lit('\\"'))).otherwise(F.lit("")),
+                    F.lit('"}'))
+    items = ranked.select(F.col("b").alias("batch_no"), "rn", item.alias("j"))
+    g = items.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("rn", "j"))).alias("l"))
+    texts = F.transform("l", lambda s: s["j"])
     b = F.col("batch_no")
-    content = (F.when(b % 5 == 1, F.concat(F.lit("["), F.col("body")))
-               .when(b % 5 == 2, F.concat(F.lit("Sure: ["), F.col("body"), F.lit("] ok")))
+    body = F.array_join(F.when(b % 9 == 5, F.slice(texts, 1, batch_size - 1)).otherwise(texts), ",")
+    content = (F.when(b % 13 == 9, F.lit("I cannot judge these comments."))
+               .when(b % 5 == 1, F.concat(F.lit("["), body))
+               .when(b % 5 == 2, F.concat(F.lit("Sure: ["), body, F.lit("] ok")))
                .when(b % 7 == 3, F.lit(""))
-               .when(b % 5 == 4, F.concat(F.col("body"), F.lit(",{bad}")))
-               .otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]"))))
+               .when(b % 5 == 4, F.concat(body, F.lit(",{bad}")))
+               .otherwise(F.concat(F.lit("["), body, F.lit("]"))))
     return g.select("batch_no", content.alias("content"))
 
 

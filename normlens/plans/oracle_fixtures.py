@@ -39,14 +39,21 @@ SELECT 'r/src' || CAST(label AS VARCHAR) AS subreddit, count(*) AS n_items,
 FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
              CAST(embedding[3] AS DOUBLE) AS z FROM embeddings) GROUP BY label""",
     "raw_outputs": """
-SELECT batch_no, CASE WHEN batch_no % 5 = 1 THEN '[' || body WHEN batch_no % 5 = 2 THEN 'Sure: [' || body || '] ok'
+SELECT batch_no, CASE WHEN batch_no % 13 = 9 THEN 'I cannot judge these comments.'
+  WHEN batch_no % 5 = 1 THEN '[' || body WHEN batch_no % 5 = 2 THEN 'Sure: [' || body || '] ok'
   WHEN batch_no % 7 = 3 THEN '' WHEN batch_no % 5 = 4 THEN body || ',{bad}' ELSE '[' || body || ']' END AS content
-FROM (SELECT batch_no, string_agg(j, ',' ORDER BY rn) AS body
-      FROM (SELECT CAST(floor(rn / 10) AS INT) AS batch_no, rn,
-                   '{"comment_id":' || CAST(doc_id AS VARCHAR) || ',"label":"' ||
-                   CASE WHEN quality = 0 THEN 'violation' ELSE 'non_violation' END || '","evidence":""}' AS j
-            FROM (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM labels))
-      GROUP BY batch_no)""",
+FROM (SELECT b AS batch_no, string_agg(j, ',' ORDER BY rn) FILTER (WHERE b % 9 <> 5 OR rn % 10 < 9) AS body
+      FROM (SELECT b, rn,
+                   '{' || CASE WHEN b % 11 = 6 AND doc_id % 7 = 3 THEN '' ELSE '"comment_id":' ||
+                     CASE WHEN b % 11 = 6 AND doc_id % 7 = 1 THEN '"' || doc_id || '"'
+                          WHEN b % 11 = 6 AND doc_id % 7 = 2 THEN doc_id || '.5'
+                          WHEN b % 11 = 8 OR b % 11 = 6 THEN doc_id || '.0' ELSE doc_id || '' END || ',' END ||
+                   '"label":"' || CASE WHEN doc_id % 23 = 5 THEN 'unclear' WHEN quality = 0 THEN 'violation'
+                                       ELSE 'non_violation' END || '","evidence":"' ||
+                   CASE WHEN doc_id % 3 = 0 THEN 'see \\"word ' || doc_id || '\\"' ELSE '' END || '"}' AS j
+            FROM (SELECT *, CAST(floor(rn / 10) AS INT) AS b
+                  FROM (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM labels)))
+      GROUP BY b)""",
     "reply_truth": """
 SELECT doc_id AS comment_id, CASE WHEN toxic = 1 THEN 'violation' ELSE 'non_violation' END AS true_label
 FROM labels""",

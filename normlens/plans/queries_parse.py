@@ -40,19 +40,25 @@ _PARSE_SQL = """
                        ELSE false END AS strict FROM c),
   n AS (SELECT *, CASE WHEN strict THEN CASE WHEN candidate LIKE '[%' THEN json_array_length(candidate)::BIGINT
                   ELSE 1::BIGINT END END AS n_parsed FROM s),
-  o AS (SELECT *, CASE WHEN blank THEN 'empty' WHEN candidate IS NULL THEN 'no_json'
-                       WHEN strict AND n_parsed = 10 THEN 'success' WHEN strict THEN 'wrong_size'
-                       ELSE 'decode_error' END AS outcome FROM n),
-  f AS (SELECT *, regexp_extract_all(coalesce(candidate, ''), '(?s)\\{.*?\\}') AS frags FROM o),
+  f AS (SELECT *, regexp_extract_all(coalesce(candidate, ''), '(?s)\\{.*?\\}') AS frags FROM n),
   g AS (SELECT *, list_filter(frags, lambda x: CASE WHEN json_valid('[' || x || ']')
                                                THEN json_array_length('[' || x || ']') = 1 ELSE false END) AS good
         FROM f),
-  l AS (SELECT *, CASE WHEN outcome = 'success' THEN
+  e AS (SELECT *, CASE WHEN candidate IS NULL THEN []::VARCHAR[] WHEN strict AND n_parsed = 10 THEN
                          (CASE WHEN candidate LIKE '[%' THEN json_extract(candidate, '$[*]')::VARCHAR[] ELSE [candidate] END)
-                       WHEN outcome IN ('wrong_size', 'decode_error') THEN good
-                       ELSE []::VARCHAR[] END AS lst FROM g),
-  items AS (SELECT run, batch_no, unnest(range(len(lst))) AS item_no, unnest(lst) AS j FROM l),
-  preds AS (SELECT run, batch_no, item_no, json_extract(j, '$.comment_id')::BIGINT AS comment_id,
+                       ELSE good END AS lst FROM g),
+  l AS (SELECT *, list_transform(lst, lambda j: CASE
+            WHEN json_type(j, '$.comment_id') IN ('BIGINT', 'UBIGINT') THEN json_extract(j, '$.comment_id')::BIGINT
+            WHEN json_type(j, '$.comment_id') = 'DOUBLE'
+                 AND json_extract(j, '$.comment_id')::DOUBLE = floor(json_extract(j, '$.comment_id')::DOUBLE)
+            THEN json_extract(j, '$.comment_id')::DOUBLE::BIGINT END) AS ids FROM e),
+  o AS (SELECT *, len(list_filter(ids, lambda i: i IS NULL))::BIGINT AS n_null_id,
+               CASE WHEN blank THEN 'empty' WHEN candidate IS NULL THEN 'no_json'
+                    WHEN strict AND n_parsed = 10 THEN
+                      CASE WHEN len(list_filter(ids, lambda i: i IS NULL)) > 0 THEN 'lost_ids' ELSE 'success' END
+                    WHEN strict THEN 'wrong_size' ELSE 'decode_error' END AS outcome FROM l),
+  items AS (SELECT run, batch_no, unnest(range(len(lst))) AS item_no, unnest(lst) AS j, unnest(ids) AS comment_id FROM o),
+  preds AS (SELECT run, batch_no, item_no, comment_id,
                    json_extract_string(j, '$.label') AS pred_label, json_extract_string(j, '$.evidence') AS evidence
             FROM items)
 """
@@ -66,7 +72,7 @@ def q_json_candidate(spark, d):
 
 
 @query("parse_outputs", with_fixtures(_FX, _PARSE_SQL + """
-SELECT run, batch_no, outcome, n_parsed, 10::BIGINT AS n_expected, len(lst)::BIGINT AS n_items FROM l"""))
+SELECT run, batch_no, outcome, n_parsed, 10::BIGINT AS n_expected, len(lst)::BIGINT AS n_items FROM o"""))
 def q_parse_outputs(spark, d):
     """Outcome and item counts of the strict parse / salvage of every reply."""
     return parsed(spark, d).select("run", "batch_no", "outcome", "n_parsed", "n_expected", "n_items")
@@ -74,7 +80,7 @@ def q_parse_outputs(spark, d):
 
 @query("salvage_objects", with_fixtures(_FX, _PARSE_SQL + """
 SELECT run, batch_no, len(frags)::BIGINT AS n_fragments, len(good)::BIGINT AS n_salvaged
-FROM g WHERE outcome IN ('wrong_size', 'decode_error')"""))
+FROM o WHERE outcome IN ('wrong_size', 'decode_error')"""))
 def q_salvage_objects(spark, d):
     """Fragments found and kept when salvaging non-accepted replies."""
     p = parsed(spark, d).filter(F.col("outcome").isin("wrong_size", "decode_error"))
@@ -89,16 +95,17 @@ def q_predictions(spark, d):
 
 
 @query("parse_audit", with_fixtures(_FX, _PARSE_SQL + """
-SELECT run, batch_no, outcome, n_parsed, 10::BIGINT AS n_expected, len(lst)::BIGINT AS n_items,
-  outcome IN ('success', 'wrong_size', 'decode_error') AS logged FROM l"""))
+SELECT run, batch_no, outcome, n_parsed, 10::BIGINT AS n_expected, len(lst)::BIGINT AS n_items, n_null_id,
+  outcome IN ('success', 'lost_ids', 'wrong_size', 'decode_error') AS logged FROM o"""))
 def q_parse_audit(spark, d):
-    """Audit rows: outcome, parsed vs expected size, recovered items, logged flag."""
+    """Audit rows: outcome, parsed vs expected size, recovered items and those without id, logged flag."""
     return PR.audit(parsed(spark, d), ["run", "batch_no"])
 
 
 @query("audit_log_scan", with_fixtures(_FX, _PARSE_SQL + """
-, att AS (SELECT run, batch_no, outcome, n_parsed, unnest(CASE WHEN outcome = 'success' THEN [0] ELSE [0, 1] END) AS attempt
-          FROM o WHERE outcome IN ('success', 'wrong_size', 'decode_error'))
+, att AS (SELECT run, batch_no, replace(outcome, 'lost_ids', 'success') AS outcome, n_parsed,
+                 unnest(CASE WHEN outcome IN ('success', 'lost_ids') THEN [0] ELSE [0, 1] END) AS attempt
+          FROM o WHERE outcome IN ('success', 'lost_ids', 'wrong_size', 'decode_error'))
 SELECT run, row_number() OVER (PARTITION BY run ORDER BY batch_no, attempt) - 1 AS line_no, attempt::BIGINT AS attempt,
   outcome, CASE WHEN outcome = 'wrong_size' THEN n_parsed END AS n_parsed,
   CASE WHEN outcome = 'wrong_size' THEN 10::BIGINT END AS n_expected
@@ -159,11 +166,11 @@ def q_write_raw_outputs(spark, d):
 
 
 @query("audit_summary", with_fixtures(_FX, _PARSE_SQL + """
-SELECT run, count(*) AS n_logged, count(*) FILTER (WHERE outcome = 'success') AS n_accepted,
+SELECT run, count(*) AS n_logged, count(*) FILTER (WHERE outcome IN ('success', 'lost_ids')) AS n_accepted,
   count(*) FILTER (WHERE outcome = 'wrong_size') AS n_wrong_size,
   count(*) FILTER (WHERE outcome = 'decode_error') AS n_decode_error,
-  round(count(*) FILTER (WHERE outcome = 'success') / count(*), 6) AS accept_rate
-FROM o WHERE outcome IN ('success', 'wrong_size', 'decode_error') GROUP BY run"""))
+  round(count(*) FILTER (WHERE outcome IN ('success', 'lost_ids')) / count(*), 6) AS accept_rate
+FROM o WHERE outcome IN ('success', 'lost_ids', 'wrong_size', 'decode_error') GROUP BY run"""))
 def q_audit_summary(spark, d):
     """Accept rate of logged batches per run, read back from the written audit logs."""
     logs = PR.audit_logs(parsed(spark, d), ["run"])

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from normlens.operators import parse as PR
 
 
+def py_id(item):
+    """The key that a lookup by number finds: integral numbers, and true and false as 1 and 0."""
+    v = item.get("comment_id") if isinstance(item, dict) else None
+    if not isinstance(v, (int, float)) or v != v or v in (float("inf"), float("-inf")) or v != int(v):
+        return None
+    return int(v) if abs(v) < 2**63 else None  # ids are 64-bit
+
+
 def py_parse(content, batch):
-    """Plain-Python statement of the recovery rules: (outcome, items)."""
+    """Plain-Python statement of the recovery rules: (outcome, ids of the items)."""
     if not content or not content.strip():
-        return "empty", 0
+        return "empty", []
     text = content.strip()
     arr = re.search(r"\[.*\]", text, re.DOTALL)
     obj = re.search(r"\{.*\}", text, re.DOTALL)
@@ -20,24 +28,24 @@ def py_parse(content, batch):
     elif obj:
         cand = obj.group(0)
     else:
-        return "no_json", 0
+        return "no_json", []
     try:
         parsed = json.loads(cand)
         if isinstance(parsed, dict):
             parsed = [parsed]
         if len(parsed) == batch:
-            return "success", len(parsed)
+            ids = [py_id(x) for x in parsed]
+            return ("lost_ids" if None in ids else "success"), ids
         outcome = "wrong_size"
     except json.JSONDecodeError:
         outcome = "decode_error"
-    n = 0
+    ids = []
     for frag in re.findall(r"\{.*?\}", cand, re.DOTALL):
         try:
-            json.loads(frag)
-            n += 1
+            ids.append(py_id(json.loads(frag)))
         except json.JSONDecodeError:
             pass
-    return outcome, n
+    return outcome, ids
 
 
 def _items(k, start=0):
@@ -56,13 +64,21 @@ HAND = [
     '[{"comment_id": 1, "label": "a}b", "evidence": ""}]',
     '[{"comment_id": 1, "label": "x\ny", "evidence": ""}]',
     json.dumps(_items(10)) + " trailing ]",
-    "[]", "[1, 2]",
+    "[]", "[1, 2]", json.dumps(list(range(10))), json.dumps([_items(1)] * 10),
+    '[{"comment_id": 4.0}, {"comment_id": "4"}, {"comment_id": 4.5}]' + "{}",
+    json.dumps([{"comment_id": v, "label": "violation", "evidence": ["q", 1]} for v in
+                (4.0, 5, "6", 7.5, None, True, -3, 1e3, 2**62 + 1, 1e300)]),
+    json.dumps([{"label": "violation"}] * 10), json.dumps(["{\"comment_id\": 1}"] * 10),
+    "[" + ", ".join(['{"comment_id": 1, "comment_id": 2.0}'] + [json.dumps(i) for i in _items(9)]) + "]",
+    "[" + ", ".join(['{"comment_id": 5, "x": {"comment_id": 1}}'] * 10) + "]",
 ]
 
 
 def _compare(spark, texts, batch=10):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
-    got = {r.i: (r.outcome, r.n_items) for r in PR.parse_outputs(df, "content", batch).collect()}
+    rows = PR.parse_outputs(df, "content", batch).collect()
+    got = {r.i: (r.outcome, [x.comment_id for x in r["items"]]) for r in rows}
+    assert all(r.n_items == len(r["items"]) and r.n_null_id == got[r.i][1].count(None) for r in rows)
     for i, t in enumerate(texts):
         assert got[i] == py_parse(t, batch), (t, got[i])
 
@@ -108,6 +124,19 @@ def test_predictions_and_audit(spark):
     assert [r.comment_id for r in preds] == list(range(9))
 
 
+def test_decimal_ids_find_their_truth_and_lost_ids_are_counted(spark):
+    from normlens.operators import metrics as M
+    reply = '[{"comment_id":4.0,"label":"violation"},{"comment_id":"5","label":"violation"}]'
+    df = spark.createDataFrame([(0, reply), (1, reply.replace('"5"', "5"))], "batch_no int, content string")
+    p = PR.parse_outputs(df, "content", 2)
+    assert [(a.outcome, a.n_items, a.n_null_id, a.logged) for a in PR.audit(p, ["batch_no"]).orderBy("batch_no").collect()] \
+        == [("lost_ids", 2, 1, True), ("success", 2, 0, True)]
+    preds = PR.predictions(p, ["batch_no"])
+    truth = spark.createDataFrame([(4, "violation"), (5, "violation")], "comment_id long, true_label string")
+    assert M.join_truth(preds, truth, ["comment_id"]).count() == 3
+    assert M.unmatched_predictions(preds, truth, ["comment_id"]).count() == 1
+
+
 def test_audit_text_round_trip(spark):
     texts = [json.dumps(_items(10)), json.dumps(_items(9)), "{bad}", ""]
     df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "run string, batch_no int, content string")
