@@ -7,14 +7,15 @@ Rules (in order):
   3. strict parse: the candidate must be exactly one JSON value (no
      trailing text, no single quotes, no raw control characters); a single
      object counts as a one-element list
-  4. accepted only when the element count equals the batch size
+  4. accepted only when the element count equals the batch size and every
+     element is an object
   5. otherwise salvage: every non-greedy ``{...}`` fragment parsed alone,
      fragments that are not strict JSON skipped; count not truncated
 
 Every element is typed alone, from a VARIANT, so a broken one does not touch its
 neighbours.  An id is a JSON number of integral value (``4``, ``4.0``, ``4e0``) or
 ``true``/``false`` (1 and 0, which is what a Python lookup by number accepts);
-strings, fractions, missing ids and elements that are no objects give a NULL id.
+strings, fractions and missing ids give a NULL id.
 """
 
 from __future__ import annotations
@@ -112,13 +113,25 @@ def _items_of_texts(texts: Column) -> Column:
     return F.transform(both, lambda b: F.when(b["v"].isNotNull(), _variant_item(b["v"])).otherwise(_text_item(b["t"])))
 
 
+def _elements(cand: Column) -> tuple[Column, Column]:
+    """(array of VARIANT, array of JSON texts) of a candidate's elements; the first is NULL where VARIANT refuses it."""
+    array = cand.startswith("[")
+    values = F.try_variant_get(F.when(array, F.try_parse_json(cand)), "$", "array<variant>")
+    texts = F.when(array, F.from_json(cand, T.ArrayType(T.StringType()), _STRICT)).otherwise(F.array(cand))
+    return values, texts
+
+
+def all_objects(cand) -> Column:
+    """Whether every element of a strictly valid candidate is a JSON object."""
+    values, texts = _elements(_c(cand))
+    return F.coalesce(F.forall(values, lambda v: F.schema_of_variant(v).startswith("OBJECT")),
+                      F.forall(texts, lambda t: F.coalesce(t.startswith("{"), F.lit(False))), F.lit(False))
+
+
 def parse_items(cand) -> Column:
     """Items of a strictly valid candidate, one per element: array<struct<comment_id,label,evidence>>."""
-    cand = _c(cand)
-    whole = F.try_parse_json(cand)
-    elements = F.try_variant_get(F.when(cand.startswith("["), whole), "$", "array<variant>")
-    texts = F.when(cand.startswith("["), F.from_json(cand, T.ArrayType(T.StringType()), _STRICT)).otherwise(F.array(cand))
-    return F.coalesce(F.transform(elements, _variant_item), _items_of_texts(texts))
+    values, texts = _elements(_c(cand))
+    return F.coalesce(F.transform(values, _variant_item), _items_of_texts(texts))
 
 
 def salvage_items(cand) -> Column:

@@ -8,7 +8,8 @@ inside whole-stage code generation; no Python UDF.  Outcomes:
 * ``success``      strict JSON with exactly ``batch_size`` elements, all with an id
 * ``lost_ids``     the same, but some element has no usable id: all elements
                    are kept, those without id as rows with a NULL id
-* ``wrong_size``   strict JSON with another element count -> salvage
+* ``wrong_size``   strict JSON with another element count, or with elements
+                   that are no objects -> salvage
 * ``decode_error`` not strict JSON -> salvage
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from normlens.constants import (AUDIT_DECODE_ERROR, AUDIT_LINE_PATTERN, AUDIT_REPAIRS, AUDIT_SUCCESS,
                                 AUDIT_WRONG_SIZE, BATCH_SIZE)
 from normlens.operators.requests import fill_template
-from normlens.functions.json_text import (ITEMS_SCHEMA, is_blank, json_candidate, parse_items,
+from normlens.functions.json_text import (ITEMS_SCHEMA, all_objects, is_blank, json_candidate, parse_items,
                                           parsed_count, salvage_items)
 
 
@@ -37,7 +38,9 @@ def parse_outputs(df: DataFrame, content_col: str = "content",
     cand = F.col("candidate")
     # NULL where the candidate is not strict JSON
     out = out.withColumn("n_parsed", F.when(cand.isNotNull(), parsed_count(cand)).cast("bigint"))
-    fits = F.coalesce(F.col("n_parsed") == batch_size, F.lit(False))
+    fits = F.when(F.col("n_parsed") == batch_size, all_objects(cand)).otherwise(F.lit(False))
+    out = out.withColumn("_fits", fits)
+    fits = F.col("_fits")
     out = out.withColumn("items", F.when(cand.isNull(), F.array().cast(ITEMS_SCHEMA))
                          .when(fits, parse_items(cand)).otherwise(salvage_items(cand)))
     out = out.withColumn("n_items", F.size("items")).withColumn(
@@ -48,7 +51,7 @@ def parse_outputs(df: DataFrame, content_col: str = "content",
                .when(~fits, F.lit("wrong_size"))
                .when(F.col("n_null_id") > 0, F.lit("lost_ids"))
                .otherwise(F.lit("success")))
-    return out.withColumn("outcome", outcome).withColumn("n_expected", F.lit(batch_size))
+    return out.withColumn("outcome", outcome).withColumn("n_expected", F.lit(batch_size)).drop("_fits")
 
 
 def fragment_count(cand_col: str = "candidate"):

@@ -156,3 +156,31 @@ def q_community_tests(spark, d):
     path = S.write_splits(prep, scratch_path(spark, "splits"))
     t = S.read_split(spark, path, split="test", schema=prep.schema)
     return t.select("subreddit_id", "comment_id", "body", "norm", "true_label")
+
+
+@query("scan_split_csv", with_fixtures(["comments"], _SPLIT_SQL + """
+SELECT subreddit_id, split, comment_id, nullif(body, '') AS body, nullif(norm, '') AS norm, true_label FROM prepared"""))
+def q_scan_split_csv(spark, d):
+    """tests.csv and shots.csv of every community, written as files and scanned with keys from the path."""
+    base = S.write_split_csv(prepared(spark, d), scratch_path(spark, "communities"))
+    return S.read_split_csv(spark, base)
+
+
+@query("tests_of_eligible", with_fixtures(["comments"], _NORMS_SQL.format(src="comments") + f"""
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY subreddit_id, label
+                   ORDER BY md5('21:' || CAST(comment_id AS VARCHAR)), comment_id) AS draw_rank
+             FROM assigned WHERE label IN ('violation', 'non_violation')),
+  prepared AS (SELECT *, row_number() OVER (PARTITION BY subreddit_id
+                   ORDER BY md5('21:order:' || CAST(comment_id AS VARCHAR)), comment_id) - 1 AS seq
+               FROM ranked WHERE draw_rank <= {N_TEST})
+SELECT subreddit_id, seq AS comment_id, norm, label AS true_label FROM prepared
+WHERE subreddit_id IN (SELECT subreddit_id FROM comments GROUP BY subreddit_id HAVING count(*) > {MIN_COUNT})"""))
+def q_tests_of_eligible(spark, d):
+    """Test rows of the eligible communities out of a split dataset of all, pruned by the joined set."""
+    c = fx.comments(spark, d)
+    drawn = P.balanced_split(c, n_test=N_TEST, n_shots=N_SHOTS)
+    prep = P.prepared_examples(P.assign_norms(drawn, P.community_norms(c)))
+    path = S.write_splits(prep, scratch_path(spark, "splits"))
+    elig = P.eligible_communities(c, min_count=MIN_COUNT)
+    return S.read_split(spark, path, "test", elig, schema=prep.schema).select(
+        "subreddit_id", "comment_id", "norm", "true_label")

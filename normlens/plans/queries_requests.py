@@ -222,3 +222,24 @@ def q_community_rules(spark, d):
     """Rules CSV (padded cells, Python-literal lists) -> one formatted row per rule."""
     path = RD.write_rules_csv(fx.rules_literal(spark, d), scratch_path(spark, "rules-csv"))
     return RD.read_rules(spark, path)
+
+
+def faulty_rules(spark, d):
+    """Rule cells of every community, some broken: cut short, a number, empty, or with an element that is no rule."""
+    k = F.conv(F.substring(F.md5("subreddit_id"), 1, 1), 16, 10).cast("int") % 5
+    text = (F.when(k == 0, F.expr("left(rules, length(rules) - 1)")).when(k == 1, F.lit("42"))
+            .when(k == 2, F.lit(None).cast("string"))
+            .when(k == 3, F.concat(F.lit("['be kind', "), F.expr("substring(rules, 2)"))).otherwise(F.col("rules")))
+    return fx.rules_literal(spark, d).select("subreddit_id", text.alias("rules"))
+
+
+@query("rule_rejects", with_fixtures(["comments"], """
+, names AS (SELECT DISTINCT subreddit_id FROM comments WHERE target_reason IS NOT NULL),
+  k AS (SELECT subreddit_id, CAST('0x' || substr(md5(subreddit_id), 1, 1) AS BIGINT) % 5 AS k FROM names)
+SELECT subreddit_id, CASE k WHEN 0 THEN 'not_a_literal' WHEN 1 THEN 'not_a_list' WHEN 2 THEN 'missing' ELSE 'not_a_rule' END AS error,
+  CASE WHEN k = 3 THEN 0::BIGINT END AS rule_place
+FROM k WHERE k < 4"""))
+def q_rule_rejects(spark, d):
+    """Rule cells and list elements that cannot be read, with their community, from a rules CSV."""
+    path = RD.write_rules_csv(faulty_rules(spark, d), scratch_path(spark, "rules-csv"))
+    return RD.rule_rejects(RD.parsed_rules(RD.read_rule_cells(spark, path)))

@@ -125,17 +125,31 @@ SELECT p.name AS prompt_community, e.name AS eval_community, r.accuracy
 FROM communities p CROSS JOIN communities e
 LEFT JOIN runs r ON r.prompt_community = p.name AND r.eval_community = e.name AND r.model = '{MODEL_A}'"""))
 def q_grid_probe(spark, d):
-    """Grid of one model's accuracy read from run-metric files (absent file -> NULL).
+    """Grid of one model's accuracy read from metrics.json files (absent file -> NULL).
 
-    One recursive scan of every metrics file, a model filter, run keys from
-    the directory path, then a left join onto the full community grid.
+    One recursive scan of every metrics file, run keys and model folder from
+    the path alone, a model filter, then a left join onto the full community grid.
     """
-    t = run_table(spark, d).withColumn("model_folder", safe_name(F.col("model")))
-    out = t.select("model", "directory", "num_tests", "num_successes", "batch_size",
-                   *REF_METRICS, "confusion_matrix", "model_folder")
-    path = RF.write_json(out, scratch_path(spark, "run-metrics"), ["model_folder"])
-    runs = RF.scan_run_metrics(spark, path).filter(F.col("model") == MODEL_A)
-    parts = F.split(F.col("directory"), "/")
+    runs = RF.scan_run_metrics(spark, nested_records(spark, d), layout="nested")
+    runs = runs.filter(F.col("model_folder") == safe_name(F.lit(MODEL_A)))
+    parts = F.split("directory_path", "/")
     cells = runs.select(F.element_at(parts, -2).alias("prompt_community"),
                         F.element_at(parts, -1).alias("eval_community"), "accuracy")
     return X.full_grid(cells, fx.communities(spark, d))
+
+
+def nested_records(spark, d):
+    """Every run written as ``<experiment>/<prompt>/<eval>/<model folder>/metrics.json``."""
+    t = run_table(spark, d).withColumn("model_folder", safe_name(F.col("model")))
+    return RF.write_run_records(t, scratch_path(spark, "run-records"))
+
+
+@query("scan_nested_metrics", with_fixtures(_FX, _RUNS_SQL + f"""
+SELECT directory AS directory_path, {_SAFE_SQL} AS model_folder, model, num_tests, num_successes, batch_size,
+  {", ".join(REF_METRICS)}, cm_nn, cm_np, cm_pn, cm_pp FROM runs JOIN m USING (prompt_community, eval_community)"""))
+def q_scan_nested_metrics(spark, d):
+    """Run records written as one pretty-printed file per run; keys from the path, whole confusion matrix."""
+    r = RF.scan_run_metrics(spark, nested_records(spark, d), layout="nested")
+    cm = F.col("confusion_matrix")
+    return r.select("directory_path", "model_folder", "model", "num_tests", "num_successes", "batch_size", *REF_METRICS,
+                    cm[0][0].alias("cm_nn"), cm[0][1].alias("cm_np"), cm[1][0].alias("cm_pn"), cm[1][1].alias("cm_pp"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normlens.functions.literal import parse_rule_literal
 from normlens.functions.text import trim_or_empty
+from normlens.session import materialize
+from normlens.sources.named_files import file_path, relative_path
 
 COMMENTS_SCHEMA = T.StructType([
     T.StructField("comment_id", T.LongType()),
@@ -39,26 +41,32 @@ _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
         "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+             extra: dict[str, Column] | None = None, **options) -> DataFrame:
     """CSV with an explicit schema, bound by header name; NaN in double columns becomes NULL.
 
     Columns may stand in any order and others are left out; an absent column
     raises, and so does a file whose header differs from the first one's.
+    ``extra`` names expressions over the file's metadata to add.  ``multiLine``
+    is on by default, for bodies that span lines; a file is then read by one
+    task.  Without such bodies, ``multiLine=False`` lets large files be split.
     """
-    opts = dict(_CSV, enforceSchema="false", **{k: str(v) for k, v in options.items()})
-    header = csv_header(spark, path)
+    opts = dict(_CSV, enforceSchema="false", **{k: str(v).lower() if isinstance(v, bool) else str(v)
+                                                 for k, v in options.items()})
+    header = csv_header(spark, path, **options)
     absent = [f.name for f in schema.fields if f.name not in header]
     if absent:
         raise ValueError(f"columns not in the CSV header: {absent}")
     types = {f.name: f.dataType for f in schema.fields}
     whole = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    df = spark.read.options(**opts).schema(whole).csv(path).select(*schema.fieldNames())
+    df = spark.read.options(**opts).schema(whole).csv(path)
+    df = df.select(*schema.fieldNames(), *[c.alias(n) for n, c in (extra or {}).items()])
     return nan_to_null(df)
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
+def csv_header(spark: SparkSession, path: str, **options) -> list[str]:
     """Column names of the first file's header line."""
-    return spark.read.options(**_CSV).csv(path).columns
+    return spark.read.options(**dict(_CSV, **{k: str(v) for k, v in options.items()})).csv(path).columns
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -72,12 +80,46 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_comments(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled comments; a file without ``comment_id`` gets ids by file and row position."""
-    if "comment_id" in csv_header(spark, path):
-        return read_csv(spark, path, COMMENTS_SCHEMA)
+def with_row_ids(spark: SparkSession, path: str, schema: T.StructType, id_col: str = "comment_id",
+                 **options) -> DataFrame:
+    """CSV rows with an id that depends on the file's path below ``path`` and the row's place in it.
+
+    Adding other files, moving the base folder or reading in other splits leaves
+    ids as they are.  Rows are stored once in reading order; rows of one file
+    block are numbered by their order, and the counts of earlier blocks of the
+    file are added.  A file's ids are consecutive from a 62-bit hash of its path, so
+    files overlap only by accident (about files^2 x rows / 2^62); that is checked and raises.
+    Columns ``source_file`` and ``source_row`` (0-based) hold the place itself.
+    """
+    rows = read_csv(spark, path, schema, extra={
+        "source_file": relative_path(file_path(), path), "_block": F.col("_metadata.file_block_start"),
+        "_seq": F.monotonically_increasing_id()}, **options)
+    rows = materialize(rows, "csv-rows")
+    blocks = rows.groupBy("source_file", "_block").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialize(blocks.select(
+        "*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.col("_first").alias("_start"), F.xxhash64("source_file").bitwiseAND((1 << 62) - 1).alias("_base")).drop("_first"),
+        "csv-blocks")
+    files = blocks.groupBy("source_file", "_base").agg(F.sum("_n").alias("n")).select(
+        "source_file", "_base", (F.col("_base") + F.col("n")).alias("_end"))
+    # ranges meet inside the stretches of 2^48 ids that they touch
+    stretch = F.sequence(F.shiftright("_base", 48), F.shiftright("_end", 48))
+    later = Window.partitionBy("_stretch").orderBy("_base", "source_file")
+    met = files.withColumn("_stretch", F.explode(stretch)).withColumn("_next", F.lead("_base").over(later)).where("_next < _end")
+    if not met.isEmpty():
+        raise ValueError("ids of two files overlap; rename one of them")
+    place = (F.col("_seq") - F.col("_start") + F.col("_before")).alias("source_row")
+    out = rows.join(blocks, ["source_file", "_block"]).select("*", place)
+    return out.select((F.col("_base") + F.col("source_row")).alias(id_col), *schema.fieldNames(), "source_file", "source_row")
+
+
+def read_comments(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Labelled comments; files without ``comment_id`` get ids by file and row (see :func:`with_row_ids`)."""
+    if "comment_id" in csv_header(spark, path, **options):
+        return read_csv(spark, path, COMMENTS_SCHEMA, **options)
     rest = T.StructType([f for f in COMMENTS_SCHEMA.fields if f.name != "comment_id"])
-    return read_csv(spark, path, rest).select(F.monotonically_increasing_id().alias("comment_id"), *rest.fieldNames())
+    return with_row_ids(spark, path, rest, **options).select(*COMMENTS_SCHEMA.fieldNames())
 
 
 def read_communities(spark: SparkSession, path: str) -> DataFrame:
@@ -95,19 +137,33 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def explode_rules(df: DataFrame, community_col: str = "subreddit_id",
-                  rules_col: str = "rules") -> DataFrame:
-    """Python-literal rule lists -> one row per rule.
+def parsed_rules(df: DataFrame, community_col: str = "subreddit_id", rules_col: str = "rules") -> DataFrame:
+    """(community, parsed struct<rules, error, bad>) of every cell, parsed once and stored.
+
+    Rules and rejects are both read from it.
+    """
+    cells = df.select(F.trim(F.col(community_col)).alias(community_col), parse_rule_literal(F.col(rules_col)).alias("parsed"))
+    return materialize(cells, "parsed-rules")
+
+
+def rule_rejects(parsed: DataFrame, community_col: str = "subreddit_id") -> DataFrame:
+    """(community, error, rule_place): cells that hold no rule list, and list elements that are no rule.
+
+    ``rule_place`` is NULL for a whole cell.
+    """
+    cells = parsed.where("parsed.error IS NOT NULL").select(
+        community_col, F.col("parsed.error").alias("error"), F.lit(None).cast("bigint").alias("rule_place"))
+    bad = parsed.select(community_col, F.explode("parsed.bad").alias("p"))
+    return cells.unionByName(bad.select(community_col, F.lit("not_a_rule").alias("error"),
+                                        F.col("p").cast("bigint").alias("rule_place")))
+
 
-    Output ``community, rule_no, short_name, violation_reason, rule_text``
-    with ``rule_text = '<short_name>: <violation_reason>'`` (missing -> '').
+def rule_rows(parsed: DataFrame, community_col: str = "subreddit_id") -> DataFrame:
+    """One row per readable rule: ``community, rule_no, short_name, violation_reason, rule_text``.
+
+    ``rule_text = '<short_name>: <violation_reason>'`` (missing -> '').
     """
-    parsed = df.select(F.trim(F.col(community_col)).alias(community_col),
-                       parse_rule_literal(F.col(rules_col)).alias("_rules"))
-    # the outer form infers no not-null filter below the projection, so the
-    # Arrow UDF runs once per row instead of twice
-    ex = (parsed.select(community_col, F.posexplode_outer("_rules").alias("rule_no", "_r"))
-          .filter(F.col("_r").isNotNull()))
+    ex = parsed.select(community_col, F.posexplode("parsed.rules").alias("rule_no", "_r"))
     name = trim_or_empty(F.col("_r.short_name"))
     reason = trim_or_empty(F.col("_r.violation_reason"))
     return ex.select(community_col, F.col("rule_no").cast("bigint").alias("rule_no"),
@@ -116,27 +172,30 @@ def explode_rules(df: DataFrame, community_col: str = "subreddit_id",
                      F.concat(name, F.lit(": "), reason).alias("rule_text"))
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules CSV with padded headers and cells (``subreddit_id, rules``)."""
+def explode_rules(df: DataFrame, community_col: str = "subreddit_id",
+                  rules_col: str = "rules") -> DataFrame:
+    """Python-literal rule lists -> one row per rule (see :func:`rule_rows`; rejects are lost here)."""
+    return rule_rows(parsed_rules(df, community_col, rules_col), community_col)
+
+
+def read_rule_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Rules CSV with padded headers and cells (``subreddit_id, rules``), as text."""
     raw = (spark.read.option("header", "true").option("multiLine", "true")
            .option("escape", '"').option("ignoreLeadingWhiteSpace", "true")
            .csv(path))
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    return explode_rules(raw)
+    return raw.toDF(*[c.strip() for c in raw.columns])
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rule rows of a rules CSV; :func:`rule_rejects` of the same parse lists what cannot be read."""
+    return explode_rules(read_rule_cells(spark, path))
 
 
 def write_rules_csv(rules: DataFrame, path: str, community_col: str = "subreddit_id",
                     rules_col: str = "rules") -> str:
-    """Rules as one CSV text file with a space after each delimiter.
-
-    The rules table has one row per community (a dimension), so it is
-    written as a single file like the source it stands in for.
-    """
+    """Rules as CSV text files with a space after each delimiter, a header in each."""
     quoted = F.concat(F.lit('"'), F.replace(F.col(rules_col), F.lit('"'), F.lit('""')), F.lit('"'))
-    body = rules.select(F.lit(1).alias("_o"), F.col(community_col).alias("_k"),
-                        F.concat(F.col(community_col), F.lit(", "), quoted).alias("value"))
-    head = rules.sparkSession.range(1).select(F.lit(0).alias("_o"), F.lit("").alias("_k"),
-                                              F.lit(f"{community_col}, {rules_col}").alias("value"))
-    (head.unionByName(body).repartition(1).sortWithinPartitions("_o", "_k")
-         .select("value").write.mode("overwrite").text(path))
+    line = F.concat(F.col(community_col), F.lit(", "), F.coalesce(quoted, F.lit("")))
+    (rules.select(line.alias(f"{community_col}, {rules_col}")).write.mode("overwrite")
+     .option("header", "true").option("quote", "").option("delimiter", "\u0001").csv(path))
     return path

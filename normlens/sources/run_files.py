@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from normlens.sources.named_files import file_path, relative_path, write_named
+
 RUN_METRICS_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("directory", T.StringType()),
@@ -48,12 +49,31 @@ def scan_run_metrics(spark: SparkSession, base: str, layout: str = "partitioned"
         r = r.option("multiLine", "true").option("pathGlobFilter", "metrics.json")
     else:
         r = r.option("pathGlobFilter", "*.json")
-    df = r.json(base).withColumn("path", F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    df = r.json(base).withColumn("path", file_path())
     if layout == "nested":
-        root = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", base)
-        lead = r"^[A-Za-z][\w+.-]*:(?://[^/]*)?/*" if root.startswith("/") else r"^.*?/"
-        rel = F.regexp_extract("path", lead + r"\Q" + root.strip("/") + r"\E/(.*)/metrics\.json$", 1)
-        parts = F.split(rel, "/")
-        return (df.withColumn("model_folder", F.element_at(parts, -1))
-                .withColumn("directory_path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")))
+        parts = F.split(relative_path(F.col("path"), base), "/")
+        return (df.withColumn("model_folder", F.element_at(parts, -2))
+                .withColumn("directory_path", F.array_join(F.slice(parts, 1, F.size(parts) - 2), "/")))
     return df.withColumn("model_folder", F.regexp_extract("path", r"model_folder=([^/]+)", 1))
+
+
+def pretty_record(columns: Sequence[str], indent: int = 2) -> F.Column:
+    """The named columns as one indented JSON object (nested values on one line)."""
+    pad = " " * indent
+    fields = [F.concat(F.lit(f'{pad}"{c}": '), _json_value(c)) for c in columns]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *fields), F.lit("\n}"))
+
+
+def _json_value(name: str) -> F.Column:
+    """JSON text of a column, NULL as ``null``: an array of one, without its brackets."""
+    text = F.to_json(F.array(F.col(name)), {"ignoreNullFields": "false"})
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
+def write_run_records(df: DataFrame, base: str, directory: str = "directory", model_folder: str = "model_folder",
+                      columns: Sequence[str] = tuple(f.name for f in RUN_METRICS_SCHEMA.fields)) -> str:
+    """One pretty-printed ``<base>/<directory>/<model_folder>/metrics.json`` per run row."""
+    rows = df.select(F.concat_ws("/", directory, model_folder, F.lit("metrics.json")).alias("file"),
+                     pretty_record(columns).alias("content"))
+    write_named(rows, base)
+    return base

@@ -33,7 +33,7 @@ def py_parse(content, batch):
         parsed = json.loads(cand)
         if isinstance(parsed, dict):
             parsed = [parsed]
-        if len(parsed) == batch:
+        if len(parsed) == batch and all(isinstance(x, dict) for x in parsed):
             ids = [py_id(x) for x in parsed]
             return ("lost_ids" if None in ids else "success"), ids
         outcome = "wrong_size"
