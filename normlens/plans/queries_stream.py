@@ -33,17 +33,16 @@ SELECT run, n AS num_successes, round(hits::DOUBLE / n, 6) AS accuracy,
   round(CASE WHEN tn_all = 0 THEN 0 ELSE cm_nn::DOUBLE / tn_all END, 6) AS non_violation_recall,
   cm_nn, cm_np, cm_pn, cm_pp FROM m"""))
 def q_stream_run_metrics(spark, d):
-    """Replies land as files; a checkpointed stream keeps per-run metrics current."""
+    """Replies land as files; a checkpointed stream keeps per-run metrics current, version by version."""
     landing = scratch_path(spark, "replies-landing")
     (replies(spark, d).select("run", "batch_no", "content")
      .repartitionByRange(LANDING_FILES, "batch_no").write.mode("overwrite").json(landing))
     out = scratch_path(spark, "stream-metrics")
-    # availableNow takes everything that has landed; the multi-epoch path
-    # (one file per trigger) is exercised in tests/test_stream.py
+    # several files a trigger, so that versions follow each other
     q = ST.start_run_metrics_stream(spark, landing, fx.reply_truth(spark, d), out,
                                     scratch_path(spark, "stream-ckpt"), run_cols=["run"],
-                                    batch_size=10)
+                                    batch_size=10, max_files_per_trigger=LANDING_FILES // 2)
     q.awaitTermination()
-    m = spark.read.parquet(out)
+    m = ST.read_run_metrics(spark, out)
     return m.select("run", "num_successes", "accuracy", "violation_precision", "non_violation_precision",
                     "violation_recall", "non_violation_recall", "cm_nn", "cm_np", "cm_pn", "cm_pp")
