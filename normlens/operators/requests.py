@@ -23,6 +23,14 @@ DEFAULT_SYSTEM_TEMPLATE = (
 )
 DEFAULT_USER_TEMPLATE = "Comments to judge (JSON):\n{payload}"
 
+# Default chain: the steps are user turns after one system message.
+DEFAULT_CHAIN = (
+    ("system", DEFAULT_SYSTEM_TEMPLATE),
+    ("user", "Say in one sentence what each norm asks for.\n{payload}"),
+    ("user", "For every comment, quote the words that touch its norm, or none.\n{payload}"),
+    ("user", "Now answer with the JSON array only, one object per comment.\n{payload}"),
+)
+
 _JSON_OPTS = {"ignoreNullFields": "false"}
 
 
@@ -82,26 +90,34 @@ def fill_template(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def system_content(template: str = DEFAULT_SYSTEM_TEMPLATE) -> Column:
-    return fill_template(template, {
-        "display_name": F.col("display_name_prefixed"),
-        "description": F.col("public_description"),
-        "rules": F.array_join(F.col("rules"), "\n"),
-        "shots": F.to_json(F.col("shots"), _JSON_OPTS),
-    })
+def template_values() -> dict[str, Column]:
+    """What templates may name: the prompt context and the batch."""
+    return {"display_name": F.col("display_name_prefixed"), "description": F.col("public_description"),
+            "rules": F.array_join(F.col("rules"), "\n"), "shots": F.to_json(F.col("shots"), _JSON_OPTS),
+            "payload": payload("items")}
+
+
+def message_chain(requests: DataFrame, templates: Sequence[tuple[str, str]],
+                  extra: dict[str, Column] | None = None) -> DataFrame:
+    """Add ``messages array<struct<role, content>>`` made of (role, template) pairs in order.
+
+    Templates name any of :func:`template_values` and ``extra`` in braces, so a
+    chain (a system message and several user steps) repeats the batch where it
+    likes.
+    """
+    values = {**template_values(), **(extra or {})}
+    parts = [F.struct(F.lit(role).alias("role"), fill_template(text, values).alias("content")) for role, text in templates]
+    return requests.withColumn("messages", F.array(*parts))
 
 
 def request_messages(requests: DataFrame, system_template: str = DEFAULT_SYSTEM_TEMPLATE,
                      user_template: str = DEFAULT_USER_TEMPLATE) -> DataFrame:
-    """Add ``messages array<struct<role, content>>`` (system + user) to request rows.
+    """Add ``messages`` (system + one user turn) to request rows.
 
     Expects context columns (display name, description, rules, shots) and
     ``items`` on each row.
     """
-    user = fill_template(user_template, {"payload": payload("items")})
-    msgs = F.array(F.struct(F.lit("system").alias("role"), system_content(system_template).alias("content")),
-                   F.struct(F.lit("user").alias("role"), user.alias("content")))
-    return requests.withColumn("messages", msgs)
+    return message_chain(requests, [("system", system_template), ("user", user_template)])
 
 
 def cell_requests(batches_df: DataFrame, context: DataFrame,
