@@ -8,34 +8,9 @@ from pyspark.sql import functions as F
 from normlens.session import materialize
 
 
-def global_row_index(df: DataFrame, order_col: str, name: str = "rn",
-                     num_buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in the order of the numeric, unique ``order_col``.
-
-    Rows are put into ``num_buckets`` equal-width key ranges (bounds from a
-    min/max scalar subquery), counted per bucket, and the counts are
-    prefix-summed (one row per bucket) into offsets that are broadcast back.
-    The position inside a bucket is a ``row_number`` partitioned by bucket.
-    Every step is a deterministic function of the data, so the two branches
-    (counts and rows) and any re-run task agree; no step puts all rows in
-    one task.
-    """
-    spark = df.sparkSession
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(order_col)
-    bounds = df.agg(F.struct(F.min(key).cast("double").alias("lo"),
-                             F.max(key).cast("double").alias("hi")).alias("b")).scalar()
-    width = (bounds["hi"] - bounds["lo"] + 1.0) / float(n)
-    bucket = F.least(F.floor((key.cast("double") - bounds["lo"]) / width), F.lit(n - 1)).cast("int")
-    tagged = df.withColumn("_bkt", bucket)
-    counts = tagged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per bucket: an ordered window here runs over at most n rows
-    offsets = counts.select("_bkt", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_bkt").orderBy(key)) - 1
-    return (tagged.join(F.broadcast(offsets), "_bkt")
-            .withColumn(name, (F.col("_off") + local).cast("bigint"))
-            .drop("_bkt", "_off"))
+def global_row_index(df: DataFrame, order_col: str, name: str = "rn") -> DataFrame:
+    """0-based position of each row of the table in the order of ``order_col``."""
+    return row_ranks(df, [], [order_col], name)
 
 
 def row_ranks(df: DataFrame, group_cols: list[str], order: list, name: str = "rank") -> DataFrame:

@@ -9,18 +9,25 @@
 * ``community_centrality``: the mean r of a community with all others is
   ``(u_i . S - 1) / (n - 1)`` where ``S`` is the sum of all unit vectors,
   so it needs no pairs at all (linear in the number of communities).
+* ``extreme_pairs``: the few most or least similar pairs, from blocks of
+  vectors whose bounds on r leave most pairs of blocks out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from normlens.functions.index import row_ranks
 from normlens.functions.text import strip_paren_suffix
 from normlens.operators.matrix import paired
+from normlens.session import materialize
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -147,6 +154,116 @@ def score_correlations(df: DataFrame, target: str, metrics: Sequence[str]) -> Da
     return g.select("metric", "n", F.try_divide(F.col("_c"), F.when(den > 0, den)).alias("r"))
 
 
+PAIR_BLOCK = 2048
+
+
+def extreme_pairs(df: DataFrame, key: str, metrics: Sequence[str], n: int = 10, ascending: bool = False,
+                  block_rows: int = PAIR_BLOCK) -> DataFrame:
+    """``n`` pairs ``key_A < key_B`` with the highest (or lowest) Pearson r of their z-scored metrics, with their rank.
+
+    Equal to sorting :func:`community_similarity` (NULL r last, ties by keys)
+    without making all pairs.  Vectors are ordered by their largest component
+    and dealt into blocks of ``block_rows``; a block knows its mean direction and
+    greatest angle to it, which bounds r between any two of its vectors and those of another.
+    The blocks' own pairs give a first n-th best r; only pairs of blocks whose
+    bound reaches it are looked at, and at most ``n`` rows leave each.
+    """
+    u = materialize(unit_vectors(df, key, metrics), "unit-vectors")
+    a, b = f"{key}_A", f"{key}_B"
+    sign = -1.0 if ascending else 1.0
+    best = _best_of_blocks(u.where("u IS NOT NULL"), key, len(metrics), n, sign, block_rows)
+    order = [F.col("s").desc(), F.col(a), F.col(b)]
+    best = best.orderBy(*order).limit(n).select(a, b, (F.col("s") * sign).alias("correlation"), F.lit(0).alias("_null"))
+    # pairs without r stand behind all others; the first n need only the first keys
+    every, none = u.select(key), u.where("u IS NULL").select(key)
+    heads = every.orderBy(key).limit(n + 1).unionByName(none.orderBy(key).limit(2 * n + 1)).distinct().join(
+        none.withColumn("_v", F.lit(True)), key, "left")
+    left, right = heads.select(F.col(key).alias(a), F.col("_v").alias("_va")), heads.select(F.col(key).alias(b), F.col("_v").alias("_vb"))
+    empty = paired(left, right, b, blocks=1).where((F.col(a) < F.col(b)) & (F.col("_va") | F.col("_vb")))
+    empty = empty.orderBy(a, b).limit(n).select(a, b, F.lit(None).cast("double").alias("correlation"), F.lit(1).alias("_null"))
+    value = F.col("correlation").asc() if ascending else F.col("correlation").desc()
+    last = [F.col("_null"), value, F.col(a), F.col(b)]
+    out = best.unionByName(empty).orderBy(*last).limit(n)
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(*last))).drop("_null")  # n rows
+
+
+def _angle(x, y):
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(x, y))))
+
+
+def _placed(u: DataFrame, key: str, block_rows: int) -> DataFrame:
+    """Vectors with their block, in the order of their largest component."""
+    size = F.transform("u", lambda x: F.abs(x))
+    at = F.array_position(size, F.array_max(size))
+    lead = u.select(key, "u", at.alias("_at"), F.element_at("u", at.cast("int")).alias("_lead"))
+    placed = row_ranks(lead, [], ["_at", "_lead", key], "_row")
+    return materialize(placed.select(key, "u", F.floor(F.col("_row") / block_rows).alias("block")), "pair-blocks")
+
+
+def _bounds(placed: DataFrame, k: int) -> DataFrame:
+    """Per block the mean direction ``c`` and the greatest angle ``r`` to it."""
+    means = placed.groupBy("block").agg(F.array(*[F.avg(F.col("u")[i]) for i in range(k)]).alias("m"))
+    norm = F.sqrt(_dot(F.col("m"), F.col("m")))
+    # without a mean direction (vectors that cancel out) any unit vector serves as centre
+    axis = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(k)])
+    means = means.withColumn("_n", norm).select(
+        "block", F.when(F.col("_n") > 1e-9, F.transform("m", lambda x: x / F.col("_n"))).otherwise(axis).alias("c"))
+    wide = placed.join(means, "block").groupBy("block").agg(F.max(_angle(F.col("u"), F.col("c"))).alias("r"))
+    return materialize(means.join(wide, "block"), "pair-bounds")
+
+
+def _best_of_blocks(u: DataFrame, key: str, k: int, n: int, sign: float, block_rows: int) -> DataFrame:
+    """(key_A, key_B, s) of at least the ``n`` best pairs of vectors of ``k`` parts; s is r times ``sign``."""
+    placed = _placed(u, key, block_rows)
+    own = _block_pairs(placed, placed.select(F.col("block").alias("x"), F.col("block").alias("y")).distinct(), key, n, sign)
+    own = materialize(own, "pairs-own")
+    if not placed.agg(F.max("block")).first()[0]:  # a single block has no others
+        return own
+    bounds = _bounds(placed, k)
+    floor = own.orderBy(F.col("s").desc()).limit(n).agg(F.min("s"), F.count(F.lit(1))).first()
+    least = floor[0] if floor[1] == n else -2.0
+    left, right = (bounds.select(F.col("block").alias(v), F.col("c").alias(f"c{v}"), F.col("r").alias(f"r{v}")) for v in "xy")
+    apart = paired(left, right, "y").where("x < y").withColumn("_t", _angle(F.col("cx"), F.col("cy")))
+    near = F.greatest(F.lit(0.0), F.col("_t") - F.col("rx") - F.col("ry"))
+    far = F.least(F.lit(math.pi), F.col("_t") + F.col("rx") + F.col("ry"))
+    bound = F.cos(near) if sign > 0 else -F.cos(far)
+    open_ = apart.where(bound >= least - 1e-9).select("x", "y")  # rounding of angles
+    return own.unionByName(_block_pairs(placed, open_, key, n, sign))
+
+
+def _block_pairs(placed: DataFrame, pairs: DataFrame, key: str, n: int, sign: float) -> DataFrame:
+    """The ``n`` best pairs of vectors of every pair of blocks (x, y)."""
+    side = lambda v, first: pairs.join(placed.withColumnRenamed("block", v), v).select(
+        "x", "y", F.lit(first).alias("first"), key, "u")
+    rows = side("x", True).unionByName(side("y", False).where("x <> y"))
+    kind = placed.schema[key].dataType.simpleString()
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)  # row numbers stand for keys in order
+        one = pdf.index[pdf["first"]].to_numpy()
+        two = pdf.index[~pdf["first"]].to_numpy()
+        two = two if len(two) else one
+        v = np.stack(pdf["u"].to_list())
+        s = np.zeros((len(one), len(two)))
+        for i in range(v.shape[1]):  # summed in order, like the expression of the same product
+            s += v[one, i][:, None] * v[two, i][None, :]
+        s *= sign
+        lo, hi = np.minimum(one[:, None], two[None, :]), np.maximum(one[:, None], two[None, :])
+        keep = (lo < hi) if two is not one else (one[:, None] < two[None, :])
+        s, code = s[keep], (lo.astype(np.int64) * len(pdf) + hi)[keep]
+        if len(s) > n:
+            cut = np.partition(s, len(s) - n)[len(s) - n]
+            above, ties = np.flatnonzero(s > cut), np.flatnonzero(s == cut)
+            ties = ties[np.argsort(code[ties], kind="stable")[:n - len(above)]]
+            pick = np.concatenate((above, ties))
+            s, code = s[pick], code[pick]
+        names = pdf[key].to_numpy()
+        return pd.DataFrame({"a": names[code // len(pdf)], "b": names[code % len(pdf)], "s": s})
+
+    return rows.groupBy("x", "y").applyInPandas(best, f"a {kind}, b {kind}, s double").select(
+        F.col("a").alias(f"{key}_A"), F.col("b").alias(f"{key}_B"), "s")
+
+
 def top_pairs(pairs: DataFrame, n: int = 10, ascending: bool = False, value: str = "correlation",
               keys: Sequence[str] = ()) -> DataFrame:
     """``n`` pairs with the highest (or lowest) value, NULLs last, ties by keys."""

@@ -20,6 +20,18 @@ def first_by_key(df: DataFrame, key: str, order_col: str,
     return picked.select(key, *[F.col("_r")[c].alias(c) for c in keep])
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Full-row distinct with a 32-byte digest of the row as key of the shuffle.
+
+    Equal rows meet by digest; one of them (they are equal) carries the values,
+    combined before the shuffle, so long texts are neither compared nor hashed
+    again as grouping keys.
+    """
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+    one = df.select(digest.alias("_k"), F.struct(*df.columns).alias("_r")).groupBy("_k").agg(F.first("_r").alias("_r"))
+    return one.select("_r.*")
+
+
 def distinct_counts(df: DataFrame, key: str, cols: Sequence[str] | None = None,
                     out: str = "count") -> DataFrame:
     """Distinct rows per ``key`` without shuffling the rows themselves.

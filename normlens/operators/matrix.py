@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normlens.functions.index import row_ranks
 from normlens.functions.text import community_label
 
 P, E, A = "prompt_community", "eval_community", "accuracy"
@@ -94,13 +95,25 @@ def accuracy_matrix(grid: DataFrame, communities: DataFrame, value: str = A,
     return grid.groupBy(E).pivot(P, names).agg(F.first(value))
 
 
-def rank_by(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """1-based position by ``value`` descending, NULLs last, ties by ``key``.
+def axis_ranks(df: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
+    """``key`` with the 1-based position by each value column: ``values`` maps a column to the name of its rank.
 
-    Runs over one row per community (a dimension-sized window).
+    Descending, NULLs last, ties by ``key``.  All columns are ranked together as
+    groups of one long table, each spread over as many tasks as it needs.
     """
-    w = Window.orderBy(F.col(value).desc_nulls_last(), F.col(key).asc())
-    return df.withColumn(name, F.row_number().over(w))
+    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(key, list(values), "_axis", "_v")
+    ranked = row_ranks(long, ["_axis"], [F.col("_v").desc_nulls_last(), F.col(key).asc()], "_r")
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("_axis") == c, F.col("_r") + 1)).alias(n) for c, n in values.items()])
+
+
+def ordered_grid(grid: DataFrame, ranks: DataFrame, key: str, rows: dict[str, str], cols: dict[str, str]) -> DataFrame:
+    """The long grid with the position of its eval community among rows and of its prompt community among columns.
+
+    ``rows`` and ``cols`` map columns of ``ranks`` to output names.
+    """
+    r = ranks.select(F.col(key).alias(E), *[F.col(c).alias(n) for c, n in rows.items()])
+    c = ranks.select(F.col(key).alias(P), *[F.col(x).alias(n) for x, n in cols.items()])
+    return grid.join(r, E).join(c, P)
 
 
 def community_labels(communities: DataFrame, counts: DataFrame, name_col: str = "name",

@@ -71,7 +71,7 @@ def materialize_inputs(spark: SparkSession, d: str, parallel: int = 4) -> None:
     Independent inputs are derived as concurrent Spark jobs.
     """
     from concurrent.futures import ThreadPoolExecutor
-    waves = [(comments, communities, scores, raw_outputs, reply_truth),
+    waves = [(all_comments, communities, scores, raw_outputs, reply_truth), (comments,),
              (predictions, rules_literal), (cells,), (accuracy,)]
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         for wave in waves:
@@ -85,21 +85,38 @@ def _reason(doc_id: Column) -> Column:
     return expr
 
 
-@stored("comments")
-def comments(spark: SparkSession, d: str) -> DataFrame:
+def _body(doc_id: Column, text: Column) -> Column:
+    """Comment text: the document's, some with HTML entities, some as questions."""
+    return (F.when(doc_id % 9 == 0, F.concat(text, F.lit("?")))
+            .when(doc_id % 10 == 1, F.concat(F.lit("&lt;b&gt; &amp;amp; "), text)).otherwise(text))
+
+
+@stored("all_comments")
+def all_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a comment; the label is NULL where ``labels`` has none."""
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     labels = read_table(spark, d, "labels").select("doc_id", "toxic")
-    j = docs.join(labels, "doc_id")
-    return j.select(
+    return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("comment_id"),
-        F.col("text").alias("body"),
+        _body(F.col("doc_id"), F.col("text")).alias("body"),
         F.col("source").alias("subreddit_id"),
         F.col("lang").alias("assigned_rule_cluster"),
         _reason(F.col("doc_id")).alias("target_reason"),
-        F.when(F.col("toxic") == 1, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE)).alias("label"),
+        F.when(F.col("toxic") == 1, F.lit(POSITIVE)).when(F.col("toxic").isNotNull(), F.lit(NEGATIVE)).alias("label"),
     )
 
 
+@stored("comments")
+def comments(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled comments."""
+    return all_comments(spark, d).where("label IS NOT NULL")
+
+
+def language_comments(spark: SparkSession, d: str) -> DataFrame:
+    """All comments with the language as community: few, large communities."""
+    return all_comments(spark, d).withColumn("subreddit_id", F.col("assigned_rule_cluster"))
+
+
 @stored("communities")
 def communities(spark: SparkSession, d: str) -> DataFrame:
     src = read_table(spark, d, "documents").select(F.col("source").alias("name")).distinct()
@@ -217,6 +234,13 @@ def reply_truth(spark: SparkSession, d: str) -> DataFrame:
                          .otherwise(F.lit(NEGATIVE)).alias("true_label"))
 
 
+def language_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of the language communities."""
+    names = all_comments(spark, d).select(F.col("assigned_rule_cluster").alias("name")).distinct()
+    return names.select("name", F.concat(F.lit("r/"), F.col("name")).alias("display_name_prefixed"),
+                        F.concat(F.lit("Comments in "), F.col("name")).alias("public_description"))
+
+
 def _py_str_literal(s: Column) -> Column:
     """Python repr of a string without backslashes: '...' or "..." if it holds '."""
     return F.when(F.instr(s, "'") > 0, F.concat(F.lit('"'), s, F.lit('"'))) \
@@ -225,12 +249,17 @@ def _py_str_literal(s: Column) -> Column:
 
 @stored("rules_literal")
 def rules_literal(spark: SparkSession, d: str) -> DataFrame:
+    """Rule lists of the source communities."""
+    return rule_lists(comments(spark, d))
+
+
+def rule_lists(c: DataFrame) -> DataFrame:
     """Per community a Python-literal rule list built from its norms.
 
     ``short_name`` is the norm, ``violation_reason`` is None for norms
     containing "no" and ``don't <norm>`` otherwise.
     """
-    c = comments(spark, d).filter(F.col("target_reason").isNotNull())
+    c = c.filter(F.col("target_reason").isNotNull())
     per = c.select("subreddit_id", "target_reason").distinct()
     reason = F.when(F.col("target_reason").contains("no"), F.lit("None")).otherwise(
         _py_str_literal(F.concat(F.lit("don't "), F.col("target_reason"))))

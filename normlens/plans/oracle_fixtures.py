@@ -9,11 +9,14 @@ _NORMS = ("CASE WHEN d.doc_id % 11 = 0 THEN NULL WHEN d.doc_id % 8 = 0 THEN 'no
           "ELSE 'respect others' END")
 
 CTE = {
-    "comments": f"""
-SELECT d.doc_id AS comment_id, d.text AS body, d.source AS subreddit_id, d.lang AS assigned_rule_cluster,
-  {_NORMS} AS target_reason,
-  CASE WHEN l.toxic = 1 THEN 'violation' ELSE 'non_violation' END AS label
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "all_comments": f"""
+SELECT d.doc_id AS comment_id, CASE WHEN d.doc_id % 9 = 0 THEN d.text || '?'
+  WHEN d.doc_id % 10 = 1 THEN '&lt;b&gt; &amp;amp; ' || d.text ELSE d.text END AS body,
+  d.source AS subreddit_id, d.lang AS assigned_rule_cluster, {_NORMS} AS target_reason,
+  CASE WHEN l.toxic = 1 THEN 'violation' WHEN l.toxic IS NOT NULL THEN 'non_violation' END AS label
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "comments": "SELECT * FROM all_comments WHERE label IS NOT NULL",
+    "language_comments": "SELECT * REPLACE (assigned_rule_cluster AS subreddit_id) FROM all_comments",
     "communities": """
 SELECT DISTINCT source AS name, 'r/' || source AS display_name_prefixed, 'About ' || source AS public_description
 FROM documents""",
@@ -60,7 +63,7 @@ FROM labels""",
 }
 
 DEPS = {
-    "comments": [], "communities": [], "predictions": ["comments", "communities"],
+    "all_comments": [], "comments": ["all_comments"], "language_comments": ["all_comments"], "communities": [], "predictions": ["comments", "communities"],
     "cells": ["predictions"], "accuracy": ["cells", "communities"], "scores": [],
     "raw_outputs": [], "reply_truth": [],
 }

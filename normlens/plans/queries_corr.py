@@ -79,8 +79,7 @@ SELECT *, row_number() OVER (ORDER BY correlation DESC NULLS LAST, community_A,
 FROM pairs ORDER BY correlation DESC NULLS LAST, community_A, community_B LIMIT 10"""))
 def q_similar_pairs(spark, d):
     """Ten most similar community pairs."""
-    p = C.community_similarity(merged(spark, d), "community", SIM_METRICS)
-    return C.top_pairs(p, 10, keys=["community_A", "community_B"])
+    return C.extreme_pairs(merged(spark, d), "community", SIM_METRICS, 10)
 
 
 @query("different_pairs", with_fixtures(_FX, _MERGED_SQL + """
@@ -88,8 +87,7 @@ SELECT *, row_number() OVER (ORDER BY correlation ASC NULLS LAST, community_A, c
 FROM pairs ORDER BY correlation ASC NULLS LAST, community_A, community_B LIMIT 10"""))
 def q_different_pairs(spark, d):
     """Ten least similar community pairs."""
-    p = C.community_similarity(merged(spark, d), "community", SIM_METRICS)
-    return C.top_pairs(p, 10, ascending=True, keys=["community_A", "community_B"])
+    return C.extreme_pairs(merged(spark, d), "community", SIM_METRICS, 10, ascending=True)
 
 
 @query("community_centrality", with_fixtures(_FX, _MERGED_SQL + "SELECT * FROM cent"))

@@ -10,6 +10,7 @@ from normlens.operators import rates as R
 from normlens.plans import fixtures as fx
 from normlens.plans.oracle_fixtures import with_fixtures
 from normlens.plans.registry import query
+from normlens.session import materialize
 from normlens.sources.tables import read_table
 
 MODEL = "org/model-a:free"
@@ -32,9 +33,9 @@ _GRID_SQL = """
          FROM communities p LEFT JOIN (SELECT prompt_community, count(*) AS n_cells, avg(accuracy) AS m,
                                               avg(norm_accuracy) AS nm FROM ng GROUP BY prompt_community) g
            ON g.prompt_community = p.name),
-  counts AS (SELECT subreddit_id, count(*) AS n FROM comments GROUP BY subreddit_id)
+  counts AS (SELECT subreddit_id, count(*) AS n FROM all_comments GROUP BY subreddit_id)
 """
-_GRID_FX = ["cells", "communities", "comments"]
+_GRID_FX = ["cells", "communities", "all_comments"]
 
 
 def _comm(spark, d):
@@ -106,6 +107,17 @@ SELECT em.community, em.mean_accuracy AS eval_mean, pm.mean_accuracy AS prompt_m
 FROM em JOIN pm ON em.community = pm.community LEFT JOIN counts ON counts.subreddit_id = em.community"""))
 def q_matrix_order(spark, d):
     """Row / column order of the matrix by each mean and by comment count."""
+    ranks = dict(zip(_AXIS_KEYS, ("eval_rank", "prompt_rank", "norm_eval_rank", "norm_prompt_rank", "count_rank")))
+    t = axis_keys(spark, d)
+    return t.join(X.axis_ranks(t, "community", ranks), "community").select(
+        "community", "eval_mean", "prompt_mean", "n_comments", *ranks.values())
+
+
+_AXIS_KEYS = ("eval_mean", "prompt_mean", "eval_norm_mean", "prompt_norm_mean", "n_comments")
+
+
+def axis_keys(spark, d):
+    """Per community all that the axes of the matrix are sorted by; stored, as it is read twice."""
     comm = _comm(spark, d)
     cells = fx.cells(spark, d)
     e = X.eval_means(cells, comm).select(F.col("eval_community").alias("community"),
@@ -113,17 +125,35 @@ def q_matrix_order(spark, d):
     p = X.prompt_means(cells, comm).select(F.col("prompt_community").alias("community"),
                                            F.col("mean_accuracy").alias("prompt_mean"))
     nm = _norm_means(spark, d)
-    cnt = R.count_by(fx.comments(spark, d), "subreddit_id", value=None).select(
+    cnt = R.count_by(fx.all_comments(spark, d), "subreddit_id", value=None).select(
         F.col("subreddit_id").alias("community"), F.col("n").alias("n_comments"))
     t = (e.join(p, "community").join(nm, "community").join(cnt, "community", "left")
          .withColumn("n_comments", F.coalesce("n_comments", F.lit(0))))
-    t = X.rank_by(t, "community", "eval_mean", "eval_rank")
-    t = X.rank_by(t, "community", "prompt_mean", "prompt_rank")
-    t = X.rank_by(t, "community", "eval_norm_mean", "norm_eval_rank")
-    t = X.rank_by(t, "community", "prompt_norm_mean", "norm_prompt_rank")
-    t = X.rank_by(t, "community", "n_comments", "count_rank")
-    return t.select("community", "eval_mean", "prompt_mean", "n_comments", "eval_rank",
-                    "prompt_rank", "norm_eval_rank", "norm_prompt_rank", "count_rank")
+    return materialize(t, "axis-keys")
+
+
+@query("ordered_grid", with_fixtures(_GRID_FX, _GRID_SQL + """
+, k AS (SELECT em.community,
+          row_number() OVER (ORDER BY em.mean_accuracy DESC NULLS LAST, em.community) AS eval_rank,
+          row_number() OVER (ORDER BY pm.mean_accuracy DESC NULLS LAST, em.community) AS prompt_rank,
+          row_number() OVER (ORDER BY em.norm_mean DESC NULLS LAST, em.community) AS norm_eval_rank,
+          row_number() OVER (ORDER BY pm.norm_mean DESC NULLS LAST, em.community) AS norm_prompt_rank,
+          row_number() OVER (ORDER BY coalesce(counts.n, 0) DESC, em.community) AS count_rank
+        FROM em JOIN pm ON em.community = pm.community LEFT JOIN counts ON counts.subreddit_id = em.community)
+SELECT g.prompt_community, g.eval_community, g.accuracy, e.eval_rank AS row_rank, p.prompt_rank AS col_rank,
+  e.norm_eval_rank AS norm_row_rank, p.norm_prompt_rank AS norm_col_rank,
+  e.count_rank AS count_row_rank, p.count_rank AS count_col_rank
+FROM grid g JOIN k e ON e.community = g.eval_community JOIN k p ON p.community = g.prompt_community"""))
+def q_ordered_grid(spark, d):
+    """Every cell of the grid with its row and column, for each of the three orders of the axes."""
+    t = axis_keys(spark, d)
+    r = X.axis_ranks(t, "community", {"eval_mean": "e", "prompt_mean": "p", "eval_norm_mean": "ne",
+                                      "prompt_norm_mean": "np", "n_comments": "n"})
+    r = materialize(r, "axis-ranks")
+    rows = {"e": "row_rank", "ne": "norm_row_rank", "n": "count_row_rank"}
+    cols = {"p": "col_rank", "np": "norm_col_rank", "n": "count_col_rank"}
+    grid = X.full_grid(fx.cells(spark, d), _comm(spark, d))
+    return X.ordered_grid(grid, r, "community", rows, cols)
 
 
 _COLUMNS = ", ".join(f"'src{k}'" for k in range(20))
@@ -144,7 +174,7 @@ SELECT c.name, coalesce(counts.n, 0) AS n_comments,
 FROM communities c LEFT JOIN counts ON counts.subreddit_id = c.name"""))
 def q_community_labels(spark, d):
     """Axis labels '<name> (<id>) | n=<comments>' (0 when a community has none)."""
-    cnt = R.count_by(fx.comments(spark, d), "subreddit_id", value=None)
+    cnt = R.count_by(fx.all_comments(spark, d), "subreddit_id", value=None)
     return X.community_labels(_comm(spark, d), cnt)
 
 
@@ -187,23 +217,22 @@ def q_community_dim(spark, d):
                           ["display_name_prefixed", "public_description"])
 
 
-@query("distinct_comments", with_fixtures(["comments"], """
-SELECT DISTINCT subreddit_id, body, label, target_reason, assigned_rule_cluster FROM comments"""))
+@query("distinct_comments", with_fixtures(["all_comments"], """
+SELECT DISTINCT subreddit_id, body, label, target_reason, assigned_rule_cluster FROM all_comments"""))
 def q_distinct_comments(spark, d):
     """Full-row distinct comments (exact copies collapse)."""
-    c = fx.comments(spark, d).drop("comment_id")
-    return c.distinct()
+    return D.distinct_rows(fx.all_comments(spark, d).drop("comment_id"))
 
 
-@query("community_counts", with_fixtures(["comments"], _DIM_SQL + """
-, dc AS (SELECT DISTINCT subreddit_id, body, label, target_reason, assigned_rule_cluster FROM comments)
+@query("community_counts", with_fixtures(["all_comments"], _DIM_SQL + """
+, dc AS (SELECT DISTINCT subreddit_id, body, label, target_reason, assigned_rule_cluster FROM all_comments)
 SELECT dc.subreddit_id, dim.display_name_prefixed, count(*) AS count
 FROM dc LEFT JOIN dim ON dim.name = dc.subreddit_id
 GROUP BY dc.subreddit_id, dim.display_name_prefixed ORDER BY count DESC, dc.subreddit_id LIMIT 32"""))
 def q_community_counts(spark, d):
     """Distinct comments per community with its display name, top 32."""
     dim = q_community_dim(spark, d).select(F.col("name").alias("subreddit_id"), "display_name_prefixed")
-    c = fx.comments(spark, d).drop("comment_id")
+    c = fx.all_comments(spark, d).drop("comment_id")
     counts = D.distinct_counts(c, "subreddit_id")
     out = counts.join(dim, "subreddit_id", "left")
     return out.orderBy(F.col("count").desc(), F.col("subreddit_id")).limit(32)

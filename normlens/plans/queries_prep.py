@@ -8,7 +8,7 @@ from normlens.operators import prep as P
 from normlens.plans import fixtures as fx
 from normlens.plans.oracle_fixtures import with_fixtures
 from normlens.plans.registry import query
-from normlens.session import scratch_path
+from normlens.session import materialize, scratch_path
 from normlens.sources import splits as S
 
 # parameters sized for the fixture corpus (13-26 labelled rows per community at sf0.01)
@@ -64,19 +64,19 @@ _SPLIT_SQL = _ELIGIBLE_SQL + _NORMS_SQL.format(src="ec") + f"""
 """
 
 
-@query("eligible_communities", with_fixtures(["comments"], f"""
-SELECT subreddit_id, count(*) AS n_comments FROM comments WHERE subreddit_id IS NOT NULL
+@query("eligible_communities", with_fixtures(["all_comments"], f"""
+SELECT subreddit_id, count(*) AS n_comments FROM all_comments WHERE subreddit_id IS NOT NULL
 GROUP BY subreddit_id HAVING count(*) > {MIN_COUNT}"""))
 def q_eligible_communities(spark, d):
     """Communities with more than MIN_COUNT comments."""
-    return P.eligible_communities(fx.comments(spark, d), min_count=MIN_COUNT)
+    return P.eligible_communities(fx.all_comments(spark, d), min_count=MIN_COUNT)
 
 
-@query("exclude_communities", with_fixtures(["comments"], """
-SELECT comment_id, subreddit_id FROM comments WHERE subreddit_id NOT IN ('src3', 'src7', 'not_a_community')"""))
+@query("exclude_communities", with_fixtures(["all_comments"], """
+SELECT comment_id, subreddit_id FROM all_comments WHERE subreddit_id NOT IN ('src3', 'src7', 'not_a_community')"""))
 def q_exclude_communities(spark, d):
     """Comments outside a list of excluded community ids."""
-    return P.exclude_communities(fx.comments(spark, d), EXCLUDED).select("comment_id", "subreddit_id")
+    return P.exclude_communities(fx.all_comments(spark, d), EXCLUDED).select("comment_id", "subreddit_id")
 
 
 @query("community_norms", with_fixtures(["comments"], _NORMS_SQL.format(src="comments") + """
@@ -184,3 +184,58 @@ def q_tests_of_eligible(spark, d):
     elig = P.eligible_communities(c, min_count=MIN_COUNT)
     return S.read_split(spark, path, "test", elig, schema=prep.schema).select(
         "subreddit_id", "comment_id", "norm", "true_label")
+
+
+# ---- the draw at the default sizes, over communities that are large enough for it (languages)
+
+REFERENCE_SQL = _NORMS_SQL.format(src="ec").replace(", pairs AS", """
+, elig AS (SELECT subreddit_id, count(*) AS n_comments FROM language_comments WHERE subreddit_id IS NOT NULL
+           GROUP BY subreddit_id HAVING count(*) > 106),
+  ec AS (SELECT * FROM language_comments WHERE label IS NOT NULL AND subreddit_id IN (SELECT subreddit_id FROM elig)),
+  pairs AS""", 1) + """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY subreddit_id, label
+                   ORDER BY md5('21:' || CAST(comment_id AS VARCHAR)), comment_id) AS draw_rank FROM assigned),
+  split AS (SELECT *, CASE WHEN draw_rank <= 50 THEN 'test' ELSE 'shots' END AS split FROM ranked WHERE draw_rank <= 53),
+  prepared AS (SELECT subreddit_id, split,
+                 row_number() OVER (PARTITION BY subreddit_id, split
+                   ORDER BY md5('21:order:' || CAST(comment_id AS VARCHAR)), comment_id) - 1 AS comment_id,
+                 body, norm, label AS true_label, comment_id AS source_id FROM split)
+"""
+
+
+def reference_comments(spark, d):
+    """Labelled comments of the language communities with more than 106 comments."""
+    c = fx.language_comments(spark, d)
+    return c.where("label IS NOT NULL").join(P.eligible_communities(c).select("subreddit_id"), "subreddit_id", "left_semi")
+
+
+def reference_prepared(spark, d):
+    """50 tests and 3 shots a class, with norms and ids; stored once for all that reads it."""
+    c = reference_comments(spark, d)
+    return materialize(P.prepared_examples(P.assign_norms(P.balanced_split(c), P.community_norms(c))), "reference-split")
+
+
+@query("reference_eligible", with_fixtures(["language_comments"], REFERENCE_SQL + "SELECT * FROM elig"))
+def q_reference_eligible(spark, d):
+    """Language communities with more than 106 comments."""
+    return P.eligible_communities(fx.language_comments(spark, d))
+
+
+@query("reference_split", with_fixtures(["language_comments"], REFERENCE_SQL + """
+SELECT subreddit_id, split, comment_id, source_id, norm, true_label FROM prepared"""))
+def q_reference_split(spark, d):
+    """Balanced draw at the default sizes: 50 tests and 3 shots per class and community."""
+    return reference_prepared(spark, d).drop("body")
+
+
+@query("reference_shortfall", with_fixtures(["language_comments"], REFERENCE_SQL + """
+SELECT c.subreddit_id, l.label, s.split, CASE WHEN s.split = 'test' THEN 50::BIGINT ELSE 3::BIGINT END AS requested,
+  count(t.comment_id) AS taken, CASE WHEN s.split = 'test' THEN 50 ELSE 3 END - count(t.comment_id) AS shortfall
+FROM (SELECT DISTINCT subreddit_id FROM ec) c CROSS JOIN (VALUES ('violation'), ('non_violation')) l(label)
+CROSS JOIN (VALUES ('test'), ('shots')) s(split)
+LEFT JOIN split t ON t.subreddit_id = c.subreddit_id AND t.label = l.label AND t.split = s.split
+GROUP BY c.subreddit_id, l.label, s.split"""))
+def q_reference_shortfall(spark, d):
+    """Rows that the draw at the default sizes asked for and got."""
+    c = reference_comments(spark, d)
+    return P.split_shortfall(P.balanced_split(c), communities=c)

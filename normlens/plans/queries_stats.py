@@ -188,9 +188,9 @@ def q_unique_words(spark, d):
     return Wd.unique_words(Wd.word_counts(fx.comments(spark, d)), n=10)
 
 
-@query("clean_text", with_fixtures(["comments"], f"""
-SELECT comment_id, {_CLEAN_SQL} AS clean_body FROM comments"""))
+@query("clean_text", with_fixtures(["all_comments"], f"""
+SELECT comment_id, {_CLEAN_SQL} AS clean_body FROM all_comments"""))
 def q_clean_text(spark, d):
     """Whole comment texts HTML-decoded, punctuation-stripped and lower-cased."""
-    c = fx.comments(spark, d)
+    c = fx.all_comments(spark, d)
     return c.select("comment_id", clean_text(F.col("body")).alias("clean_body"))

@@ -257,7 +257,7 @@ def test_global_row_index_is_dense_and_ordered(spark):
     ids[:50] = np.arange(50) * 3 + 9_000_000          # a dense cluster of keys
     df = spark.createDataFrame(pd.DataFrame({"k": ids, "v": ids % 7})).repartition(5)
     # a narrower projection for one branch must not change the numbering
-    out = global_row_index(df, "k", "rn", num_buckets=7).select("k", "rn").toPandas()
+    out = global_row_index(df, "k", "rn").select("k", "rn").toPandas()
     expect = pd.Series(np.argsort(np.argsort(ids)), index=ids)
     assert (out.set_index("k")["rn"].sort_index() == expect.sort_index()).all()
 
@@ -328,3 +328,46 @@ def test_row_ranks_number_rows_of_any_order_inside_groups(spark):
     ties = row_ranks(df.select(F.lit(1).alias("k")), [], ["k"], "r").collect()
     assert sorted(x.r for x in ties) == list(range(900))
     assert row_ranks(df.limit(0), [], ["t"], "r").collect() == []
+
+
+@pytest.mark.parametrize("ascending", [False, True])
+def test_extreme_pairs_equal_a_sort_of_all_pairs(spark, ascending):
+    rng = np.random.default_rng(8)
+    m = ["m1", "m2", "m3", "m4"]
+    base = rng.normal(size=(90, 4)) + rng.integers(0, 3, 90)[:, None] * 4.0
+    base[30:42] = base[30]  # copies: ties of r = 1
+    rows = [(f"c{k:03d}", *map(float, v)) for k, v in enumerate(base)] + [("c0001", None, 1.0, 2.0, 3.0), ("zz", 1.0, None, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "community string, " + ", ".join(f"{c} double" for c in m))
+    want = C.top_pairs(C.community_similarity(df, "community", m), 25, ascending, keys=["community_A", "community_B"])
+    want = sorted(map(tuple, want.select("community_A", "community_B", "correlation", "rank").collect()), key=lambda r: r[3])
+    for block in (7, 2048):
+        got = C.extreme_pairs(df, "community", m, 25, ascending, block_rows=block)
+        got = sorted(map(tuple, got.select("community_A", "community_B", "correlation", "rank").collect()), key=lambda r: r[3])
+        assert got == want
+
+
+def test_extreme_pairs_fall_back_to_pairs_without_r(spark):
+    m = ["m1", "m2", "m3"]
+    rows = [("a", 1.0, 2.0, 4.0), ("b", None, 1.0, 1.0), ("c", 3.0, 1.0, 2.0), ("d", 2.0, 9.0, 1.0), ("e", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, m1 double, m2 double, m3 double")
+    for n in (2, 5, 9, 50):
+        want = C.top_pairs(C.community_similarity(df, "k", m), n, keys=["k_A", "k_B"]).collect()
+        got = C.extreme_pairs(df, "k", m, n).collect()
+        assert sorted((r.rank, r.k_A, r.k_B, r.correlation) for r in got) == sorted((r.rank, r.k_A, r.k_B, r.correlation) for r in want)
+    assert C.extreme_pairs(df.limit(0), "k", m, 3).collect() == []
+
+
+def test_distinct_rows_keep_nulls_apart(spark):
+    from normlens.operators import dims as D
+    df = spark.createDataFrame([(1, None), (1, None), (1, ""), (None, "")], "a int, b string")
+    assert sorted(map(str, D.distinct_rows(df).collect())) == sorted(map(str, df.distinct().collect()))
+
+
+def test_axis_ranks_and_ordered_grid(spark):
+    from normlens.operators import matrix as X
+    t = spark.createDataFrame([("a", 0.5, None), ("b", None, 2.0), ("c", 0.5, 3.0)], "k string, v double, w double")
+    r = X.axis_ranks(t, "k", {"v": "rv", "w": "rw"})
+    assert sorted(map(tuple, r.collect())) == [("a", 1, 3), ("b", 3, 2), ("c", 2, 1)]
+    grid = spark.createDataFrame([("a", "b", 0.1), ("b", "c", None)], "prompt_community string, eval_community string, accuracy double")
+    got = X.ordered_grid(grid, r, "k", {"rv": "row_rank"}, {"rw": "col_rank"})
+    assert sorted((x.prompt_community, x.eval_community, x.row_rank, x.col_rank) for x in got.collect()) == [("a", "b", 3, 3), ("b", "c", 2, 2)]
