@@ -16,7 +16,7 @@ from normlens.sources.tables import read_table
 __all__ = ["materialize", "scratch_path", "read_table", "byte_blocks", "star_components",
            "local_forest", "merged_components", "component_ids", "checked_broadcast", "mix64", "ragged_index"]
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 FOREST_EDGES = 1_000_000
 
 

@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,23 +47,36 @@ CONTEXTS = "h long, doc_id long, p long, a int, c int, own boolean, ctx binary"
 SPANS = "doc_id long, s long, e long"
 
 
-@lru_cache(maxsize=8)
+#: Powers of a base and of its inverse, as long as the longest block met so far, but never above KEPT_POWERS.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KEPT_POWERS = 1 << 20
+
+
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    inv = pow(base, -1, 1 << 64)
-    p = np.full(n + 1, base, dtype=np.uint64)
-    q = np.full(n + 1, inv, dtype=np.uint64)
-    p[0] = q[0] = 1
-    return np.cumprod(p), np.cumprod(q)
+    """(base^0.., base^-0..) of at least ``n`` terms; tables for longer blocks are not kept."""
+    known = _POWERS.get(base)
+    if known is not None and len(known[0]) >= n:
+        return known
+    made = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, dtype=np.uint64)
+        p[:1] = 1
+        made.append(np.cumprod(p, out=p))
+    if n <= KEPT_POWERS:
+        _POWERS[base] = (made[0], made[1])
+    return made[0], made[1]
 
 
 class PrefixHash:
     """Polynomial hash of any substring of ``data`` from one prefix sum."""
 
     def __init__(self, data: np.ndarray, base: int = BASE):
-        size = 1 << max(16, int(len(data)).bit_length())
-        power, self.inv = _powers(size, base)
+        power, self.inv = _powers(len(data) + 1, base)
         self.sum = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=self.sum[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[:len(data)]
+        np.cumsum(terms, out=self.sum[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sum[end] - self.sum[start]) * self.inv[start]
@@ -73,14 +85,16 @@ class PrefixHash:
         return mix64(self.raw(start, end) + (end - start).astype(np.uint64))
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive values, by doubling."""
-    done, out = 1, x
-    while done * 2 <= width:
-        out = np.minimum(out[:-done], out[done:])
-        done *= 2
-    rest = width - done
-    return np.minimum(out[:-rest], out[rest:]) if rest else out
+def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of every ``width`` consecutive values, the first where several are equal."""
+    at, done = np.arange(len(x), dtype=np.int32 if len(x) < 1 << 31 else np.int64), 1
+    while done < width:
+        step = min(done, width - done)
+        right = x[step:] < x[:-step]  # a later value counts only when it is smaller
+        at = np.where(right, at[step:], at[:-step])
+        x = np.where(right, x[step:], x[:-step])
+        done += step
+    return at
 
 
 def block_anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int):
@@ -91,9 +105,7 @@ def block_anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int):
         return none, none, none, none, None
     ph = PrefixHash(data)
     grams = mix64((ph.sum[gram:] - ph.sum[:-gram]) * ph.inv[:n - gram + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
-    key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-    low = _sliding_min(key, width) & ((np.uint64(1) << bits) - np.uint64(1))
+    low = _sliding_argmin(grams, width)
     lens = np.diff(off)
     rows = np.flatnonzero(lens >= window)
     if not len(rows):
