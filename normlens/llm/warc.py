@@ -85,7 +85,10 @@ class _Roller:
         self.out = None
         digest = self.sha.hexdigest()
         name = f"part-{'null' if self.first is None else format(self.first, '020d')}-{digest[:24]}.warc.gz"
-        self.fs.move(self.tmp, f"{self.root}/{name}")
+        if self.fs.get_file_info(f"{self.root}/{name}").type == pafs.FileType.NotFound:
+            self.fs.move(self.tmp, f"{self.root}/{name}")
+        else:  # an earlier attempt wrote the same bytes
+            self.fs.delete_file(self.tmp)
         self.done.append((name, self.first, self.last, self.n, self.size, digest))
 
 
@@ -136,28 +139,33 @@ def write_warc(df: DataFrame, folder: str, id_col: str, url_col: str, payload_co
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def _members(content: bytes) -> Iterator[bytes]:
-    """Decompressed gzip members, one at a time."""
-    view = memoryview(content)
-    while len(view):
-        d = zlib.decompressobj(wbits=31)
-        data = d.decompress(view)
-        yield data + d.flush()
-        view = view[len(view) - len(d.unused_data):] if d.unused_data else view[:0]
+def _members(content: bytes, step: int = 8 << 10) -> Iterator[bytes]:
+    """Decompressed gzip members, one at a time; what follows a member is looked at ``step`` bytes ahead at most."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(wbits=31), []
+        while not d.eof:
+            piece = view[at:at + step]
+            if not len(piece):
+                raise ValueError("broken gzip member")
+            parts.append(d.decompress(piece))
+            at += len(piece)
+        at -= len(d.unused_data)
+        yield parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 def parse_record(raw: bytes) -> dict:
-    """Headers and payload of one record; raises when a digest or length is wrong."""
-    head, _, rest = raw.partition(CRLF * 2)
-    lines = head.decode().split("\r\n")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    block = rest[:int(fields["Content-Length"])]
-    if len(block) != int(fields["Content-Length"]) or rest[len(block):] != CRLF * 2:
+    """Headers and payload (a view of ``raw``) of one record; raises when a digest or length is wrong."""
+    view, cut = memoryview(raw), raw.find(CRLF * 2)
+    fields = dict(x.split(": ", 1) for x in raw[:cut].decode().split("\r\n")[1:])
+    first = cut + 4
+    end = first + int(fields["Content-Length"])
+    if cut < 0 or len(raw) != end + 4 or raw[end:] != CRLF * 2:
         raise ValueError("broken WARC record")
-    if "sha256:" + hashlib.sha256(block).hexdigest() != fields["WARC-Block-Digest"]:
+    if "sha256:" + hashlib.sha256(view[first:end]).hexdigest() != fields["WARC-Block-Digest"]:
         raise ValueError("block digest differs")
     kind = fields["WARC-Type"]
-    payload = block.partition(CRLF * 2)[2] if kind == "response" else None
+    payload = view[raw.index(CRLF * 2, first) + 4:end] if kind == "response" else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError("payload digest differs")
@@ -167,38 +175,47 @@ def parse_record(raw: bytes) -> dict:
             "refers_to": num("X-Refers-To-Id"), "payload": payload}
 
 
-def _reader(with_payload: bool):
+def _reader(folder: str, with_payload: bool):
+    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
+                        ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+                        ("refers_to", pa.int64()), ("payload", pa.binary())])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
-                            ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                            ("refers_to", pa.int64()), ("payload", pa.binary())])
+        fs, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for content in b.column("content"):
-                rows, size = [], 0
-                for raw in _members(content.as_py()):
+            for m in b.to_pylist():
+                with fs.open_input_stream(f"{root}/{m['file']}", compression=None) as src:
+                    content = src.read()
+                if len(content) != m["n_bytes"] or hashlib.sha256(content).hexdigest() != m["sha256"]:
+                    raise ValueError(f"{m['file']} is not the file of the manifest")
+                rows, size, n = [], 0, 0
+                for raw in _members(content):
                     rows.append(parse_record(raw))
                     size += len(raw)
-                    if not with_payload:
-                        rows[-1]["payload"] = None
+                    n += 1
+                    rows[-1]["payload"] = bytes(rows[-1]["payload"]) if with_payload and rows[-1]["payload"] is not None else None
                     if len(rows) >= 2000 or with_payload and size > 16 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
+                if n != m["n_records"]:
+                    raise ValueError(f"{m['file']} has other records than the manifest")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
     return read
 
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """Records of the committed files under ``folder`` (a revisit has no length of its own)."""
+    """Records of the committed files under ``folder`` (a revisit has no length of its own).
+
+    Tasks take file names from the manifest and open the files themselves; size,
+    digest and record count must be those of the manifest.
+    """
     manifest = spark.read.parquet(f"{folder}/manifest")
-    if manifest.isEmpty():
+    n = manifest.count()
+    if not n:
         return spark.createDataFrame([], RECORDS)
-    # one file a task in the source scan: a file is at most about roll_bytes
-    files = (spark.read.format("binaryFile").load(f"{folder}/data/part-*")
-             .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
-    files = files.join(F.broadcast(manifest.select("file")) if manifest.count() <= 100_000
-                       else manifest.select("file"), "file", "left_semi")
-    return files.select("content").mapInArrow(_reader(with_payload), RECORDS)
+    files = manifest.repartition(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+    return files.mapInArrow(_reader(f"{folder}/data", with_payload), RECORDS)
 
 
 def resolve_revisits(recs: DataFrame) -> DataFrame:
