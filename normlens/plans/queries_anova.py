@@ -47,9 +47,11 @@ SELECT term, round(sum_sq, 6) AS sum_sq, round(df, 6) AS df, round(F, 6) AS F, r
 
 def _sweeps_sql(src: str, y: str, a: str, b: str, sweeps: int = 120, points: int = 20_000) -> str:
     """Type II table of a connected grid: effects of ``a`` by ``sweeps`` alternating fits of both factors."""
-    tail = """exp(lgamma((d + d_r) / 2) - lgamma(d / 2) - lgamma(d_r / 2)) * x / {n} / 3 * (
-      SELECT sum((CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
-                 * power(x * k / {n}, d_r / 2 - 1) * power(1 - x * k / {n}, d / 2 - 1)) FROM range({n} + 1) t(k))""".format(n=points)
+    # P(F > f) = I_x(d_r / 2, d / 2) at x = d_r / (d_r + d f); with t = 1 - w^2 the integrand is smooth at both ends
+    tail = """2 * exp(lgamma((d + d_r) / 2) - lgamma(d / 2) - lgamma(d_r / 2)) * (1 - sqrt(1 - x)) / {n} / 3 * (
+      SELECT sum((CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * power(w, d - 1)
+                 * power(greatest(1 - w * w, 0), d_r / 2 - 1))
+      FROM (SELECT k, sqrt(1 - x) + (1 - sqrt(1 - x)) * k / {n} AS w FROM range({n} + 1) t(k)))""".format(n=points)
     return f"""
 , base AS (SELECT {a} AS a, {b} AS b, {y}::DOUBLE AS y FROM {src}
            WHERE {y} IS NOT NULL AND {a} IS NOT NULL AND {b} IS NOT NULL),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from normlens.sources.named_files import file_path, relative_path, write_named
-from normlens.sources.readers import read_csv
+from normlens.sources.readers import csv_header, read_csv
 
 SPLIT_FILES = {"test": "tests.csv", "shots": "shots.csv"}
 EXAMPLE_SCHEMA = T.StructType([
@@ -74,11 +75,16 @@ def read_split_csv(spark: SparkSession, base: str, split: str | None = None,
     """Examples of every ``tests.csv`` and ``shots.csv`` below ``base``, community and split from the path.
 
     One recursive scan for all communities.  The community is the folder of the
-    file.
+    file.  A folder without such files, or not there, has no rows.
     """
     files = [SPLIT_FILES[split]] if split else list(SPLIT_FILES.values())
-    df = read_csv(spark, base, EXAMPLE_SCHEMA, extra={"path": file_path()}, recursiveFileLookup="true",
-                  pathGlobFilter="{" + ",".join(files) + "}")
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "{" + ",".join(files) + "}"}
+    try:
+        csv_header(spark, base, **options)
+    except AnalysisException:
+        return spark.createDataFrame([], T.StructType([T.StructField(community_col, T.StringType()),
+                                                       T.StructField("split", T.StringType()), *EXAMPLE_SCHEMA.fields]))
+    df = read_csv(spark, base, EXAMPLE_SCHEMA, extra={"path": file_path()}, **options)
     parts = F.split(relative_path(F.col("path"), base), "/")
     name = F.element_at(parts, -1)
     kind = F.coalesce(*[F.when(name == f, F.lit(s)) for s, f in SPLIT_FILES.items()])

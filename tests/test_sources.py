@@ -164,6 +164,8 @@ def test_named_files_of_splits_round_trip(spark):
     want = [tuple(v if v != "" else None for v in r) for r in rows]  # CSV does not tell '' from NULL
     assert sorted(map(tuple, back), key=str) == sorted(want, key=str)
     assert {r.split for r in S.read_split_csv(spark, base, "shots").collect()} == {"shots"}
+    empty = S.write_split_csv(df.limit(0), scratch_path(spark, "none"))
+    assert S.read_split_csv(spark, empty).collect() == [] and S.read_split_csv(spark, empty).columns == df.columns
     S.write_split_csv(df, base)  # again over the same files
     assert S.read_split_csv(spark, base).count() == 4
 
