@@ -34,8 +34,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, but for their first occurrence; a document left without any text goes too."""
     out = line_dedup.cleaned(docs, "doc_id", "text", least_chars=1)
-    out = out.where("__removed = 0 OR trim(text) <> ''")
-    cut = F.col("__removed") > 0
+    cut = F.col(out.columns[-1]) > 0
+    out = out.where(~cut | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
