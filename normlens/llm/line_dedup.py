@@ -17,7 +17,7 @@ blank lines, always stay.
 Defined cases: a null text has no lines and stays null; an empty text stays
 empty; repeated rows lose every compared line but the first copy's; an empty table gives no rows; columns of the input may have any names,
 as only the two named ones are read (``cleaned`` keeps the others untouched).
-Ids must be unique and below 2^42; texts may have up to 2^21 lines.
+Ids must be unique 64-bit integers.
 """
 
 from __future__ import annotations
@@ -35,8 +35,7 @@ from normlens.llm.linking import anchored, link
 from normlens.llm.minhash_dedup import LOWER, SPACE, band_keys
 from normlens.llm.suffix_dedup import PrefixHash
 
-LINE_BITS = 21
-LINES = "id long, chars int, d1 long, d2 long"
+LINES = "id long, line int, chars int, d1 long, d2 long"
 
 
 def normal_block(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,29 +95,26 @@ def shingle_sets(norm: np.ndarray, s: np.ndarray, e: np.ndarray, chars: int) ->
 
 
 def _lines_of(batch: pa.RecordBatch, min_chars: int):
-    """Blocks of a batch: (normal bytes, bounds, packed ids, characters) of lines long enough."""
-    ids = batch.column("id").to_numpy(zero_copy_only=False)
+    """Blocks of a batch: (normal bytes, bounds, rows, line numbers, characters) of lines long enough."""
     for i, _, data, off in byte_blocks(batch, "text", 1 << 20):
         norm, edge, text, number = normal_block(data, off)
         lead = np.concatenate(([0], np.cumsum((norm & 0xC0) != 0x80)))
         chars = lead[edge[1:]] - lead[edge[:-1]]
         sel = np.flatnonzero(chars >= min_chars)
-        if number.size and int(number.max()) >= 1 << LINE_BITS:
-            raise ValueError("a text has more lines than an id can hold")
-        packed = ids[i + text[sel]].astype(np.int64) << LINE_BITS | number[sel]
-        yield norm, edge[sel], edge[sel + 1], packed, chars[sel]
+        yield norm, edge[sel], edge[sel + 1], i + text[sel], number[sel], chars[sel]
 
 
 def _line_task(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for norm, s, e, packed, chars in _lines_of(b, min_chars):
+            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for norm, s, e, row, line, chars in _lines_of(b, min_chars):
                 raw = norm.tobytes()
                 d = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(s.tolist(), e.tolist()))
                 d = np.frombuffer(d, np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(packed), pa.array(chars.astype(np.int32)),
+                yield pa.record_batch([pa.array(ids[row]), pa.array(line.astype(np.int32)), pa.array(chars.astype(np.int32)),
                                        pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
-                                      names=["id", "chars", "d1", "d2"])
+                                      names=["id", "line", "chars", "d1", "d2"])
     return run
 
 
@@ -139,7 +135,7 @@ def _band_task(min_chars: int, chars: int, bands: int, rows: int, seed: int):
     """Band keys of every distinct line of a block, under its class id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for norm, s, e, _, _ in _lines_of(b, min_chars):
+            for norm, s, e, *_ in _lines_of(b, min_chars):
                 if not len(s):
                     continue
                 raw, seen = norm.tobytes(), {}
@@ -154,14 +150,15 @@ def _band_task(min_chars: int, chars: int, bands: int, rows: int, seed: int):
 
 
 def _set_task(chars: int):
-    """Normal forms of the lines named in ``want`` (packed ids) and their set sizes, under their class ids."""
+    """Normal forms of the lines of each text named in its ``want`` and their set sizes, under their class ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            want = np.unique(np.concatenate([np.asarray(x.values) for x in b.column("want")]))
-            for norm, s, e, packed, _ in _lines_of(b, 0):
-                at = np.flatnonzero(np.isin(packed, want, kind="sort"))
+            lists = [np.asarray(x.values).astype(np.int64) for x in b.column("want")]
+            want = np.concatenate([x | k << 32 for k, x in enumerate(lists)])  # row of the batch, line
+            for norm, s, e, row, line, _ in _lines_of(b, 0):
+                at = np.flatnonzero(np.isin(row.astype(np.int64) << 32 | line, want, kind="sort"))
                 if len(at):
                     bounds = list(zip(s[at].tolist(), e[at].tolist()))
                     raw = norm.tobytes()
@@ -193,14 +190,14 @@ def duplicate_lines(df: DataFrame, id_col: str, text_col: str, chars: int = 8, n
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     least = min_chars if least_chars is None else max(1, min(least_chars, min_chars))
     lines = materialize(texts.mapInArrow(_line_task(least), LINES), "ln-lines")
-    classes = materialize(lines.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")),
-                          "ln-classes")
+    classes = materialize(lines.groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("rep"),
+                                                          F.count(F.lit(1)).alias("copies")), "ln-classes")
     banded = materialize(texts.mapInArrow(_band_task(min_chars, chars, bands, rows, seed),
                                           "id long, keys array<long>"), "ln-bands")
     members = anchored(banded.select("id", F.explode("keys").alias("key")), "ln")
     wanted = classes.join(members.select(F.col("id").alias("d1")).distinct(), "d1", "left_semi")
-    by_text = materialize(wanted.groupBy(F.shiftright("rep", LINE_BITS).alias("id"))
-                          .agg(F.collect_list("rep").alias("want")), "ln-wanted")
+    by_text = materialize(wanted.groupBy(F.col("rep.id").alias("id"))
+                          .agg(F.collect_list("rep.line").alias("want")), "ln-wanted")
     docs = by_text.select("id")
     near = texts.join(checked_broadcast(docs, docs.count(), 2_000_000), "id", "left_semi")
     sets = materialize(near.join(by_text, "id").select("id", "text", "want")
@@ -212,11 +209,11 @@ def duplicate_lines(df: DataFrame, id_col: str, text_col: str, chars: int = 8, n
     # a line that is alone in its class and component needs no second look
     repeated = materialize(classes.where("copies > 1").join(linked, ["d1", "d2"], "left_anti")
                            .select("d1", "d2", F.col("rep").alias("first")).unionByName(linked), "ln-repeated")
-    out = lines.join(repeated, ["d1", "d2"], "left").withColumn("first", F.coalesce("first", "id"))
-    low = (1 << LINE_BITS) - 1
-    return out.select(F.shiftright("id", LINE_BITS).alias("id"), F.col("id").bitwiseAND(low).alias("line"),
-                      F.shiftright("first", LINE_BITS).alias("first_id"),
-                      F.col("first").bitwiseAND(low).alias("first_line"), (F.col("id") == F.col("first")).alias("kept"))
+    out = lines.join(repeated, ["d1", "d2"], "left")
+    first_id, first_line = F.coalesce("first.id", "id"), F.coalesce("first.line", "line")
+    return out.select("id", F.col("line").cast("long").alias("line"), first_id.alias("first_id"),
+                      first_line.cast("long").alias("first_line"),
+                      ((F.col("id") == first_id) & (F.col("line") == first_line)).alias("kept"))
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +228,9 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cleaned(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """``df`` with repeated lines gone from its text column, and ``__removed``: how many lines went.
+    """``df`` with repeated lines gone from its text column, and last ``__removed``: how many lines went.
+
+    Where ``df`` has a column of that name, the count's name starts with more underscores.
 
     Rows without repeated lines pass through unchanged (the id list that
     separates them is broadcast only when it is small enough).
@@ -239,13 +238,17 @@ def cleaned(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     gone = duplicate_lines(df, id_col, text_col, **options).where("NOT kept")
     drop = materialize(gone.groupBy("id").agg(F.collect_list("line").alias("drop"), F.count(F.lit(1)).alias("n_removed")),
                        "ln-drop")
-    ids = drop.select(F.col("id").alias(id_col))
-    few = checked_broadcast(ids, ids.count(), 2_000_000)
-    hit = df.join(few, id_col, "left_semi")
-    new = (hit.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(drop, "id")
-           .mapInArrow(_cut_task, "id long, text string, n_removed long")
-           .select(F.col("id").alias("_id"), F.col("text").alias("_text"), F.col("n_removed").alias("__removed")))
-    cut = hit.drop(text_col).join(new, hit[id_col] == F.col("_id")).withColumnRenamed("_text", text_col)
-    rest = df.join(few, id_col, "left_anti").withColumn("__removed", F.lit(0).cast("long"))
-    names = [*df.columns, "__removed"]
-    return cut.select(*names).unionByName(rest.select(*names))
+    few = checked_broadcast(drop.select("id"), drop.count(), 2_000_000)
+    # the row travels as one struct, so that its columns may have any names
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    hit = rows.join(few, "id", "left_semi")
+    new = hit.select("id", F.col("row").getField(text_col).alias("text")).join(drop, "id").mapInArrow(
+        _cut_task, "id long, text string, n_removed long")
+    count = "__removed"
+    while count in df.columns:
+        count = f"_{count}"
+    field = lambda c: F.col("row").getField(c).alias(c)
+    cut = hit.join(new, "id").select(*(F.col("text").alias(c) if c == text_col else field(c) for c in df.columns),
+                                     F.col("n_removed").alias(count))
+    rest = rows.join(few, "id", "left_anti").select(*map(field, df.columns), F.lit(0).cast("long").alias(count))
+    return cut.unionByName(rest)

@@ -85,3 +85,22 @@ def test_registered_queries_compare_short_lines(spark):
 
 def test_empty_table(spark):
     assert L.cleaned(spark.createDataFrame([], SCHEMA), "doc_id", "text").count() == 0
+
+
+def test_large_ids_and_clashing_columns(spark):
+    same = "a line that stands in both of the texts\nanother line that stands in both texts"
+    rows = [(2**43, same), (2**43 + 2**44, same + "\nand one of its own, long enough"), (-5, "nothing in common with the others here"),
+            (None, same), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "1 AS _id", "'t' AS _text", "9L AS __removed", "2 AS id", "3 AS row", "4 AS n_removed", "5 AS `a.b`")
+    out = L.cleaned(df, "doc_id", "text")
+    assert out.columns == [*df.columns, "___removed"]
+    got = {r.doc_id: (r.text, r["___removed"], r["__removed"], r.row, r["a.b"]) for r in out.collect()}
+    assert got == {2**43: (same, 0, 9, 3, 5), 2**43 + 2**44: ("and one of its own, long enough", 2, 9, 3, 5),
+                   -5: (rows[2][1], 0, 9, 3, 5), None: (same, 0, 9, 3, 5), 7: (None, 0, 9, 3, 5)}
+
+
+def test_many_lines_of_one_text(spark):
+    text = "\n".join(f"line number {k % 5} of a long text" for k in range(40))
+    r = L.duplicate_lines(spark.createDataFrame([(2**62, text)], "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(x.line for x in r if x.kept) == [0, 1, 2, 3, 4] and all(x.first_line == x.line % 5 for x in r) and {x.first_id for x in r} == {2**62} and len(r) == 40
