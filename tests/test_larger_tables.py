@@ -1,9 +1,13 @@
-"""Plans that must hold on larger tables."""
+"""Plans that must hold on larger tables: no table copied for its small files, no body dealt by community, no sort of texts."""
 
+import glob
+
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from normlens.operators import metrics as M
 from normlens.session import scratch_path
+from normlens.sources import run_files as RF
 
 
 def _plan(df):
@@ -19,3 +23,22 @@ def test_join_truth_copies_no_predictions(spark):
     joined = M.join_truth(spark.read.parquet(path), truth, ["comment_id"])
     assert "SortMergeJoin" in _plan(joined) and "BroadcastHashJoin" not in _plan(joined)
     assert joined.count() == 30_000
+
+
+def test_write_json_opens_files_side_by_side(spark, monkeypatch):
+    key, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.json
+
+    def json(self, *a, **k):
+        seen.append(int(spark.conf.get(key)))
+        return write(self, *a, **k)
+    monkeypatch.setattr(DataFrameWriter, "json", json)
+    # more values than files held open, one of them NULL
+    n = RF.OPEN_FILES + 10
+    df = spark.range(4 * n, numPartitions=2).select(
+        F.nullif(F.col("id") % n, F.lit(7)).alias("k"), F.concat(F.lit("text\n"), F.col("id").cast("string")).alias("body"))
+    before = spark.conf.get(key)
+    path = RF.write_json(df, scratch_path(spark, "side-by-side"), ["k"], "snappy")
+    assert seen == [RF.OPEN_FILES] and spark.conf.get(key) == before
+    assert glob.glob(f"{path}/k=3/*.json.snappy")
+    back = spark.read.schema("body string, k long").json(path).select("k", "body")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
