@@ -42,16 +42,29 @@ def exclude_communities(df: DataFrame, ids: list[str],
     return df.filter(~F.col(community_col).isin(list(ids)))
 
 
+def in_communities(df: DataFrame, communities: DataFrame, community_col: str = "subreddit_id") -> DataFrame:
+    """Rows of the listed communities.
+
+    An inner join with the distinct list, not a semi join: Spark moves a semi join
+    below windows, where it deals all rows by community and a large community
+    falls to one task.  For frames that are reduced already.
+    """
+    return df.join(communities.select(community_col).distinct(), community_col)
+
+
 def community_norms(df: DataFrame, community_col: str = "subreddit_id",
                     reason_col: str = "target_reason", label_col: str = "label",
-                    positive: str = POSITIVE) -> DataFrame:
+                    positive: str = POSITIVE, communities: DataFrame | None = None) -> DataFrame:
     """Distinct non-NULL norms of positive rows per community, long form.
 
     Output ``community, norm, norm_index (0-based, by norm), n_norms``.
-    The window runs over distinct (community, norm) pairs only.
+    The window runs over distinct (community, norm) pairs only, of the given
+    ``communities`` if any.
     """
     pairs = (df.filter((F.col(label_col) == positive) & F.col(reason_col).isNotNull())
              .select(community_col, F.col(reason_col).alias("norm")).distinct())
+    if communities is not None:
+        pairs = in_communities(pairs, communities, community_col)
     w = Window.partitionBy(community_col).orderBy("norm")
     return pairs.select(
         community_col, "norm",
@@ -86,14 +99,16 @@ def balanced_split(df: DataFrame, id_col: str = "comment_id",
                    community_col: str = "subreddit_id", label_col: str = "label",
                    labels: tuple[str, str] = (POSITIVE, NEGATIVE),
                    n_test: int = NUM_TESTS // 2, n_shots: int = NUM_SHOTS,
-                   seed: int = SEED, strict: bool = False) -> DataFrame:
+                   seed: int = SEED, strict: bool = False, communities: DataFrame | None = None) -> DataFrame:
     """Seeded balanced draw per (community, label).
 
     Rows are ordered by ``md5('<seed>:<id>')`` (id breaks ties); the first
     ``n_test`` per class are ``test`` and the next ``n_shots`` are ``shots``,
     so the two sets are disjoint.  A class with too few rows gives what it
     has (see :func:`split_shortfall`); ``strict=True`` raises instead.
-    Output adds ``split`` and ``draw_rank``.
+    Output adds ``split`` and ``draw_rank``.  ``communities`` (one column of
+    them, such as the eligible ones) keeps the draws of those; the list is joined
+    to the drawn rows, as a draw depends on its own community alone.
     """
     k = n_test + n_shots
     w = Window.partitionBy(community_col, label_col).orderBy(draw_key(id_col, seed), F.col(id_col))
@@ -102,8 +117,11 @@ def balanced_split(df: DataFrame, id_col: str = "comment_id",
               .filter(F.col("draw_rank") <= k))
     out = ranked.withColumn("split", F.when(F.col("draw_rank") <= n_test, F.lit("test"))
                             .otherwise(F.lit("shots")))
+    if communities is not None:
+        out = in_communities(out, communities, community_col)
     if strict:
-        short = split_shortfall(out, community_col, label_col, n_test, n_shots, df, labels)
+        known = df if communities is None else in_communities(df.select(community_col).distinct(), communities, community_col)
+        short = split_shortfall(out, community_col, label_col, n_test, n_shots, known, labels)
         if not short.filter(F.col("shortfall") > 0).isEmpty():
             raise ValueError("a (community, label) class has fewer rows than requested")
     return out

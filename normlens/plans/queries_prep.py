@@ -20,16 +20,26 @@ EXCLUDED = ["src3", "src7", "not_a_community"]
 
 def eligible_comments(spark, d):
     c = fx.comments(spark, d)
-    e = P.eligible_communities(c, min_count=MIN_COUNT).select("subreddit_id")
-    return c.join(e, "subreddit_id", "left_semi")
+    return c.join(eligible(spark, d), "subreddit_id", "left_semi")
+
+
+def eligible(spark, d):
+    return P.eligible_communities(fx.comments(spark, d), min_count=MIN_COUNT).select("subreddit_id")
+
+
+def eligible_draw(spark, d, n_test=N_TEST, n_shots=N_SHOTS):
+    """The balanced draw of every eligible community."""
+    return P.balanced_split(fx.comments(spark, d), n_test=n_test, n_shots=n_shots, communities=eligible(spark, d))
 
 
 def prepared(spark, d):
     """Draw first, then attach norms to the drawn rows only (the hash choice
     depends on the id alone, so the order does not change the result)."""
-    c = eligible_comments(spark, d)
-    drawn = P.balanced_split(c, n_test=N_TEST, n_shots=N_SHOTS)
-    return P.prepared_examples(P.assign_norms(drawn, P.community_norms(c)))
+    return with_norms(spark, d, eligible_draw(spark, d))
+
+
+def with_norms(spark, d, drawn):
+    return P.prepared_examples(P.assign_norms(drawn, P.community_norms(fx.comments(spark, d), communities=eligible(spark, d))))
 
 
 _NORMS_SQL = """
@@ -98,8 +108,7 @@ def q_assign_norms(spark, d):
 SELECT subreddit_id, label, comment_id, draw_rank, split FROM split"""))
 def q_balanced_split(spark, d):
     """Seeded balanced test / few-shot draw per eligible community and label."""
-    c = eligible_comments(spark, d)
-    s = P.balanced_split(c, n_test=N_TEST, n_shots=N_SHOTS)
+    s = eligible_draw(spark, d)
     return s.select("subreddit_id", "label", "comment_id", "draw_rank", "split")
 
 
@@ -112,9 +121,8 @@ LEFT JOIN split t ON t.subreddit_id = c.subreddit_id AND t.label = l.label AND t
 GROUP BY c.subreddit_id, l.label, s.split"""))
 def q_split_shortfall(spark, d):
     """Rows requested vs taken per community, label and split."""
-    c = eligible_comments(spark, d)
-    return P.split_shortfall(P.balanced_split(c, n_test=N_TEST, n_shots=N_SHOTS),
-                             n_test=N_TEST, n_shots=N_SHOTS, communities=c)
+    # eligible communities have comments, so the list itself names them all
+    return P.split_shortfall(eligible_draw(spark, d), n_test=N_TEST, n_shots=N_SHOTS, communities=eligible(spark, d))
 
 
 @query("sequence_ids", with_fixtures(["comments"], _SPLIT_SQL + """
@@ -130,7 +138,7 @@ UNION ALL
 SELECT subreddit_id, comment_id, label FROM split WHERE split = 'test' AND label = 'non_violation'"""))
 def q_union_samples(spark, d):
     """Bag union of the per-class test samples."""
-    s = P.balanced_split(eligible_comments(spark, d), n_test=N_TEST, n_shots=N_SHOTS)
+    s = eligible_draw(spark, d)
     t = s.filter(F.col("split") == "test").select("subreddit_id", "comment_id", "label")
     return t.filter(F.col("label") == "violation").unionByName(
         t.filter(F.col("label") == "non_violation"))
@@ -204,15 +212,16 @@ REFERENCE_SQL = _NORMS_SQL.format(src="ec").replace(", pairs AS", """
 
 
 def reference_comments(spark, d):
-    """Labelled comments of the language communities with more than 106 comments."""
+    """Labelled comments of the language communities, and the communities with more than 106 comments."""
     c = fx.language_comments(spark, d)
-    return c.where("label IS NOT NULL").join(P.eligible_communities(c).select("subreddit_id"), "subreddit_id", "left_semi")
+    return c.where("label IS NOT NULL"), P.eligible_communities(c).select("subreddit_id")
 
 
 def reference_prepared(spark, d):
     """50 tests and 3 shots a class, with norms and ids; stored once for all that reads it."""
-    c = reference_comments(spark, d)
-    return materialize(P.prepared_examples(P.assign_norms(P.balanced_split(c), P.community_norms(c))), "reference-split")
+    c, elig = reference_comments(spark, d)
+    drawn = P.balanced_split(c, communities=elig)
+    return materialize(P.prepared_examples(P.assign_norms(drawn, P.community_norms(c, communities=elig))), "reference-split")
 
 
 @query("reference_eligible", with_fixtures(["language_comments"], REFERENCE_SQL + "SELECT * FROM elig"))
@@ -237,5 +246,6 @@ LEFT JOIN split t ON t.subreddit_id = c.subreddit_id AND t.label = l.label AND t
 GROUP BY c.subreddit_id, l.label, s.split"""))
 def q_reference_shortfall(spark, d):
     """Rows that the draw at the default sizes asked for and got."""
-    c = reference_comments(spark, d)
-    return P.split_shortfall(P.balanced_split(c), communities=c)
+    c, elig = reference_comments(spark, d)
+    return P.split_shortfall(P.balanced_split(c, communities=elig),
+                             communities=P.in_communities(c.select("subreddit_id").distinct(), elig))

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from normlens.constants import BATCH_SIZE
 from normlens.operators import metrics as M
 from normlens.operators import parse as PR
-from normlens.operators import prep as P
 from normlens.operators import requests as RQ
 from normlens.operators import scoring as SC
 from normlens.plans import fixtures as fx
 from normlens.plans.oracle_fixtures import with_fixtures
-from normlens.plans.queries_prep import _NORMS_SQL, MIN_COUNT, REFERENCE_SQL, eligible_comments, reference_prepared
+from normlens.plans.queries_prep import _NORMS_SQL, MIN_COUNT, REFERENCE_SQL, eligible, eligible_draw, reference_prepared, with_norms
 from normlens.plans.registry import query
 from normlens.session import materialize, scratch_path
 from normlens.sources import readers as RD
@@ -28,10 +27,8 @@ KEYWORDS = ["no", "nicht"]
 
 
 def scoring_split(spark, d):
-    c = eligible_comments(spark, d)
-    drawn = P.balanced_split(c, n_test=SCORE_N_TEST, n_shots=SCORE_N_SHOTS)
     # stored: batches, shots and truth all read the same draw
-    return materialize(P.prepared_examples(P.assign_norms(drawn, P.community_norms(c))), "scoring-split")
+    return materialize(with_norms(spark, d, eligible_draw(spark, d, SCORE_N_TEST, SCORE_N_SHOTS)), "scoring-split")
 
 
 def scoring_batches(spark, d, split=None):
@@ -52,7 +49,7 @@ def context(spark, d, split):
 def cell_requests(spark, d, split=None):
     split = split if split is not None else scoring_split(spark, d)
     b = scoring_batches(spark, d, split)
-    elig = eligible_comments(spark, d).select("subreddit_id").distinct()
+    elig = eligible(spark, d)
     return RQ.request_messages(RQ.cell_requests(b, context(spark, d, split), elig))
 
 
