@@ -17,10 +17,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import checked_broadcast, local_forest, materialize, merged_components, star_components
+from normlens.llm.common import BLOCK_BYTES, checked_broadcast, local_forest, materialize, merged_components, star_components
 
 PARITY_BITS = 4096
 SIZED = "a long, b long, inter long, total long"
@@ -31,12 +32,29 @@ def stored_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values), np.asarray(column.offsets)
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in runs whose kept sets take about ``BLOCK_BYTES``, one row at least.
+
+    A set kept as text is decoded to eight times its size and more, and a batch holds rows of any length.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            lists = pa.types.is_list(batch.schema.field(c).type)
+            n = pc.list_value_length(batch.column(c)) if lists else pc.binary_length(batch.column(c))
+            size += n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * (8 if lists else 1)
+        run = np.cumsum(size) // BLOCK_BYTES
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [batch.num_rows]))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield batch.slice(i, j - i)
+
+
 def _verify_task(decode):
     """Sizes of intersection and union of two sorted sets of 64-bit hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _bounded(batches, "sa", "sb"):
             (va, oa), (vb, ob) = decode(batch.column("sa")), decode(batch.column("sb"))
             inter = np.empty(batch.num_rows, np.int64)
             for k in range(batch.num_rows):
@@ -53,9 +71,7 @@ def _parity_task(decode):
     """PARITY_BITS bits of every set, packed into 64-bit words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = PARITY_BITS // 64
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _bounded(batches, "items"):
             values, off = decode(batch.column("items"))
             low = (values.view(np.int64) & (PARITY_BITS - 1))
             out = np.zeros((batch.num_rows, words), np.int64)

@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from normlens.llm import line_dedup as L
+from normlens.llm import linking
+from normlens.llm.common import BLOCK_BYTES
 
 SCHEMA = "doc_id long, text string, id int, n_removed string"
 
@@ -104,3 +108,36 @@ def test_many_lines_of_one_text(spark):
     text = "\n".join(f"line number {k % 5} of a long text" for k in range(40))
     r = L.duplicate_lines(spark.createDataFrame([(2**62, text)], "doc_id long, text string"), "doc_id", "text").collect()
     assert sorted(x.line for x in r if x.kept) == [0, 1, 2, 3, 4] and all(x.first_line == x.line % 5 for x in r) and {x.first_id for x in r} == {2**62} and len(r) == 40
+
+
+def test_kept_lines_are_decoded_in_bounded_runs():
+    rng = np.random.default_rng(3)
+    a = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in [*rng.integers(20, 40_000, 120), 900_000, 5]]
+    b = [x[:-3] + b"xyz" for x in a]
+    batch = pa.record_batch([pa.array(range(len(a)), pa.int64()), pa.array(range(len(a)), pa.int64()),
+                             pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b", "sa", "sb"])
+    decode, sizes = L._line_sets(8), []
+
+    def seen(column):
+        sizes.append([len(x) for x in column.to_pylist()])
+        return decode(column)
+    out = list(linking._verify_task(seen)(iter([batch.slice(0, 0), batch])))
+    assert len(sizes) > 2 and all(sum(x[1:]) <= BLOCK_BYTES for x in sizes)
+    rows = [r for o in out for r in o.to_pylist()]
+    assert [r["a"] for r in rows] == list(range(len(a)))
+    for r, x, y in zip(rows, a, b):
+        p, q = ({z[i:i + 8] for i in range(max(1, len(z) - 7))} for z in (x, y))
+        assert (r["inter"], r["total"]) == (len(p & q), len(p | q))
+
+
+def test_stored_sets_of_a_later_run_keep_their_places():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 62, 40_000)) for _ in range(6)]
+    lists = pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))
+    batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), lists, lists], names=["a", "b", "sa", "sb"])
+    out = list(linking._verify_task(linking.stored_sets)(iter([batch])))
+    assert len(out) > 1
+    assert [(r["inter"], r["total"]) for o in out for r in o.to_pylist()] == [(len(s), len(s)) for s in sets]
+    sketches = [r for o in linking._parity_task(linking.stored_sets)(iter([batch.select(["a", "sa"]).rename_columns(["id", "items"])]))
+                for r in o.to_pylist()]
+    assert [r["id"] for r in sketches] == list(range(6)) and all(len(r["par"]) == linking.PARITY_BITS // 64 for r in sketches)
