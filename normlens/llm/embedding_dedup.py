@@ -3,8 +3,8 @@
 Equal vectors form one class.  Classes are dealt over shards by hash; each shard
 (at most ``shard_rows`` vectors) becomes one layered graph: a vector's top layer
 comes from its hash, and in every layer it is joined to near vectors chosen so
-that they spread out.  Every vector queries every shard: a walk down the layers,
-a beam over the bottom one, and from the beam a flood through all vectors of
+that they spread out.  Every vector queries every shard: a walk down the layers from
+the first one small enough to be looked through whole, a beam over the bottom one, and from the beam a flood through all vectors of
 cosine ``cosine - slack`` or more.  An audit holds sampled vectors against the
 whole shard; while it misses any link, the beam doubles and the slack grows (past
 WIDEST the bounded shard is scanned whole).  Links are verified in double
@@ -33,6 +33,8 @@ from normlens.llm.common import component_ids, local_forest, materialize, mix64,
 
 WIDEST = 256
 LAYER = 16  # one vector in LAYER of a layer is also in the next one up
+FLAT = 4096  # a walk starts at the lowest upper layer of so many vectors at most, all of them compared
+STEP = 4  # vectors of a beam that are followed at once
 HITS = "id long, n_links long, u long, v long"
 
 
@@ -109,34 +111,49 @@ def _beam(q: np.ndarray, x: np.ndarray, table: np.ndarray, entry: np.ndarray, ef
     valid = nodes[:, :w] >= 0
     sims[:, :w] = np.where(valid, np.einsum("qd,qwd->qw", q, x[np.maximum(nodes[:, :w], 0)]), -3)
     done[:, :w] = ~valid
+    width, step = table.shape[1], min(STEP, ef)
+    place = np.zeros(seen.shape, np.min_scalar_type(width * step))
     r, c = np.nonzero(valid)
     seen[r, nodes[r, c]] = True
     hit = sims[r, c] >= floor
     found.append((r[hit], nodes[r[hit], c[hit]], sims[r[hit], c[hit]]))
     while True:
-        best = np.where(done, -3, sims).argmax(axis=1)
-        live = np.flatnonzero(~done[np.arange(nq), best])
+        live = np.flatnonzero(~done.all(axis=1))
         if not len(live):
             return nodes
-        done[live, best[live]] = True
-        nb = table[nodes[live, best[live]]]
-        new = (nb >= 0) & ~seen[live[:, None], np.maximum(nb, 0)]
-        # a neighbour may stand in both halves of a row
-        half = nb.shape[1] // 2
-        new[:, half:] &= ~(nb[:, half:, None] == nb[:, None, :half]).any(axis=2)
-        rr, cc = np.nonzero(new)
-        seen[live[rr], nb[rr, cc]] = True
-        s = np.full(nb.shape, -3.0, q.dtype)
-        s[rr, cc] = np.einsum("nd,nd->n", q[live[rr]], x[nb[rr, cc]])
-        hit = s[rr, cc] >= floor
-        found.append((live[rr[hit]], nb[rr[hit], cc[hit]], s[rr[hit], cc[hit]]))
-        all_s = np.concatenate((sims[live], s), axis=1)
-        all_n = np.concatenate((nodes[live], np.where(new, nb, -1)), axis=1)
-        all_d = np.concatenate((done[live], ~new), axis=1)
+        open_ = np.where(done[live], -3, sims[live])
+        best = np.argpartition(-open_, step - 1, axis=1)[:, :step]
+        at = nodes[live[:, None], best]
+        at[done[live[:, None], best]] = -1
+        done[live[:, None], best] = True
+        nb = np.where(at[:, :, None] >= 0, table[np.maximum(at, 0)], -1).reshape(len(live), step * width)
+        rr, cc = np.nonzero((nb >= 0) & ~seen[live[:, None], np.maximum(nb, 0)])
+        # a vector may be a neighbour of several, or stand in both halves of a row: the last place counts
+        place[live[rr], nb[rr, cc]] = cc
+        once = place[live[rr], nb[rr, cc]] == cc
+        rr, cc = rr[once], cc[once]
+        v = nb[rr, cc]
+        seen[live[rr], v] = True
+        s = np.einsum("nd,nd->n", q[live[rr]], x[v])
+        hit = s >= floor
+        found.append((live[rr[hit]], v[hit], s[hit]))
+        # only what is nearer than the worst of the beam can enter it
+        enter = s > sims.min(axis=1)[live[rr]]
+        rr, v, s = rr[enter], v[enter], s[enter]
+        if not len(rr):
+            continue
+        col = np.arange(len(rr)) - np.searchsorted(rr, rr, side="left")
+        put = np.unique(rr)
+        row = np.searchsorted(put, rr)
+        k = int(col.max()) + 1
+        all_s = np.concatenate((sims[live[put]], np.full((len(put), k), -3.0, q.dtype)), axis=1)
+        all_n = np.concatenate((nodes[live[put]], np.full((len(put), k), -1, np.int64)), axis=1)
+        all_d = np.concatenate((done[live[put]], np.ones((len(put), k), bool)), axis=1)
+        all_s[row, ef + col], all_n[row, ef + col], all_d[row, ef + col] = s, v, False
         top = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
-        sims[live] = np.take_along_axis(all_s, top, 1)
-        nodes[live] = np.take_along_axis(all_n, top, 1)
-        done[live] = np.take_along_axis(all_d, top, 1)
+        sims[live[put]] = np.take_along_axis(all_s, top, 1)
+        nodes[live[put]] = np.take_along_axis(all_n, top, 1)
+        done[live[put]] = np.take_along_axis(all_d, top, 1)
 
 
 def search(q: np.ndarray, x: np.ndarray, layers: list, cosine: float, ef: int, slack: float
@@ -146,12 +163,13 @@ def search(q: np.ndarray, x: np.ndarray, layers: list, cosine: float, ef: int, s
     if ef >= n:
         return tuple(np.nonzero(q @ x.T >= cosine - 1e-4))
     floor = cosine - slack
-    top = layers[-1][0]
+    high = next((k for k in range(1, len(layers)) if len(layers[k][0]) <= FLAT), len(layers) - 1)
+    top = layers[high][0]
     wide = max(8, min(ef, n) // 2)
     keep = min(wide, len(top))
     sim = q @ x[top].T
     entry = top[np.argpartition(-sim, keep - 1, axis=1)[:, :keep]]
-    for _, table in reversed(layers[1:-1]):
+    for _, table in reversed(layers[1:high]):
         entry = _beam(q, x, table, entry, wide, np.zeros((nq, n), bool), 3.0, [])
     seen = np.zeros((nq, n), bool)
     found: list = []
@@ -308,7 +326,7 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9,
                  task_rows: int = 100_000) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``df``.
 
-    A task builds the graph of its shard for about ``task_rows`` queries at most.
+    A task builds the graph of its shard for about ``task_rows`` queries; fewer a task would build it more often.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = (F.col("vec").isNotNull() & (F.size("vec") > 0)
@@ -320,7 +338,7 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9,
                           .select("id", "copies", "vec", F.size("vec").alias("dim")), "em-classes")
     n = classes.count()
     shards = max(1, shards, math.ceil(n / shard_rows))
-    blocks = max(1, math.ceil(n / shards / query_rows) * 2, math.ceil(n / task_rows)) if n else 1
+    blocks = max(1, math.ceil(n / task_rows))
     seq = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     members = classes.select("id", "copies", "vec", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     queries = classes.select("id", "copies", "vec", "dim", seq(shards).alias("shard"),

@@ -96,3 +96,29 @@ def test_recall_on_sf001(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
     out = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op2_embedding_near_dedup"](spark, path).collect()}
     assert out == brute(rows, 0.9)
+
+
+def test_walk_starts_at_a_layer_looked_through_whole(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(5000, 24))
+    x[2500:] = x[:2500] + 0.05 * rng.normal(size=(2500, 24))
+    x[4900:] = x[0] + 0.02 * rng.normal(size=(100, 24))  # one tight group
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    layers = D.build_graph(x, rng.integers(0, 1 << 62, len(x)), 16)
+    assert len(layers) > 2
+    beams, beam = [], D._beam
+
+    def counted(*a):
+        beams.append(a[2])
+        return beam(*a)
+    monkeypatch.setattr(D, "_beam", counted)
+    ef, slack = D.tuned(x, layers, 0.9, 32, 500)
+    assert ef < len(x)
+    beams.clear()
+    r, v = D.search(x[:512], x, layers, 0.9, ef, slack)
+    assert len(beams) == 1 and beams[0] is layers[0][1]
+    got = list(zip(r.tolist(), v.tolist()))
+    assert len(got) == len(set(got))  # every pair once
+    sim = x[:512].astype(np.float64) @ x.T.astype(np.float64)
+    want = set(zip(*(c.tolist() for c in np.nonzero(sim >= 0.9))))
+    assert len(want & set(got)) >= 0.999 * len(want)
