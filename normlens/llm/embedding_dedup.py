@@ -5,7 +5,8 @@ Equal vectors form one class.  Classes are dealt over shards by hash; each shard
 comes from its hash, and in every layer it is joined to near vectors chosen so
 that they spread out.  Every vector queries every shard: a walk down the layers from
 the first one small enough to be looked through whole, a beam over the bottom one, and from the beam a flood through all vectors of
-cosine ``cosine - slack`` or more.  An audit holds sampled vectors against the
+cosine ``cosine - slack`` or more.  Every vector of the shard first seeks itself; those not found so are added to the
+layer that is looked through whole.  An audit holds sampled vectors against the
 whole shard; while it misses any link, the beam doubles and the slack grows (past
 WIDEST the bounded shard is scanned whole).  Links are verified in double
 precision.  A task holds one shard and streams its queries past it,
@@ -34,6 +35,7 @@ from normlens.llm.common import component_ids, local_forest, materialize, mix64,
 WIDEST = 256
 LAYER = 16  # one vector in LAYER of a layer is also in the next one up
 FLAT = 4096  # a walk starts at the lowest upper layer of so many vectors at most, all of them compared
+SLACK = 0.05  # what the first flood allows below the cosine asked for
 STEP = 4  # vectors of a beam that are followed at once
 HITS = "id long, n_links long, u long, v long"
 
@@ -156,6 +158,11 @@ def _beam(q: np.ndarray, x: np.ndarray, table: np.ndarray, entry: np.ndarray, ef
         done[live[put]] = np.take_along_axis(all_d, top, 1)
 
 
+def _first(layers: list) -> int:
+    """The layer where a walk starts."""
+    return next((k for k in range(1, len(layers)) if len(layers[k][0]) <= FLAT), len(layers) - 1)
+
+
 def search(q: np.ndarray, x: np.ndarray, layers: list, cosine: float, ef: int, slack: float
            ) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs of similarity about ``cosine`` or more that the graph search reaches."""
@@ -163,7 +170,7 @@ def search(q: np.ndarray, x: np.ndarray, layers: list, cosine: float, ef: int, s
     if ef >= n:
         return tuple(np.nonzero(q @ x.T >= cosine - 1e-4))
     floor = cosine - slack
-    high = next((k for k in range(1, len(layers)) if len(layers[k][0]) <= FLAT), len(layers) - 1)
+    high = _first(layers)
     top = layers[high][0]
     wide = max(8, min(ef, n) // 2)
     keep = min(wide, len(top))
@@ -198,9 +205,24 @@ def search(q: np.ndarray, x: np.ndarray, layers: list, cosine: float, ef: int, s
     return r[good], v[good]
 
 
+def reachable(x: np.ndarray, layers: list, cosine: float, ef: int, block: int = 256) -> list:
+    """``layers``, where the layer of a walk's start also holds the vectors that a search for themselves does not find.
+
+    One such vector among thousands would make the audit double the beam of all queries.
+    """
+    high, found = _first(layers), np.zeros(len(x), bool)
+    if not high or ef >= len(x):
+        return layers
+    for i in range(0, len(x), block):
+        r, v = search(x[i:i + block], x, layers, cosine, ef, SLACK)
+        found[v[i + r == v]] = True
+    rows, table = layers[high]
+    return [*layers[:high], (np.union1d(rows, np.flatnonzero(~found)), table), *layers[high + 1:]]
+
+
 def tuned(x: np.ndarray, layers: list, cosine: float, ef: int, audit: int) -> tuple[int, float]:
     """Beam and slack for which audited vectors find all their links in the shard."""
-    slack = 0.05
+    slack = SLACK
     pick = np.unique(np.linspace(0, len(x) - 1, min(audit, len(x))).astype(np.int64))
     want = np.flatnonzero(x[pick] @ x.T >= cosine)
     while ef < min(len(x), WIDEST + 1):
@@ -246,11 +268,11 @@ class _Shard:
         self.exact = _unit(members.column("vec").combine_chunks())
         self.x = self.exact.astype(np.float32)
         self.cosine = cosine
-        self.layers = build_graph(self.x, self.sid, degree)
+        self.layers = reachable(self.x, build_graph(self.x, self.sid, degree), cosine, ef)
         self.width, self.slack = tuned(self.x, self.layers, cosine, ef, audit)
         self.root = np.arange(len(self.sid))
 
-    def links(self, queries: pa.RecordBatch, block: int = 512) -> pa.RecordBatch:
+    def links(self, queries: pa.RecordBatch, block: int = 256) -> pa.RecordBatch:
         """Link counts of the queries, and for each that has links one of them."""
         qid = queries.column("id").to_numpy()
         qv = _unit(queries.column("vec"))

@@ -122,3 +122,19 @@ def test_walk_starts_at_a_layer_looked_through_whole(monkeypatch):
     sim = x[:512].astype(np.float64) @ x.T.astype(np.float64)
     want = set(zip(*(c.tolist() for c in np.nonzero(sim >= 0.9))))
     assert len(want & set(got)) >= 0.999 * len(want)
+
+
+def test_vector_that_no_neighbour_leads_to_is_found_without_a_wider_beam():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x.astype(np.float32)
+    layers = D.build_graph(x, np.arange(3000), 16)
+    rows, table = layers[0]
+    lost = int(np.setdiff1d(rows, layers[1][0])[100])
+    table[table == lost] = -1
+    assert lost not in D.search(x[lost:lost + 1], x, layers, 0.9, 32, 0.05)[1]
+    mended = D.reachable(x, layers, 0.9, 32)
+    assert lost in D.search(x[lost:lost + 1], x, mended, 0.9, 32, 0.05)[1]
+    assert D.tuned(x, layers, 0.9, 32, 3000)[0] > 32 and D.tuned(x, mended, 0.9, 32, 3000)[0] == 32
+    assert len(mended[1][0]) < 600
