@@ -67,16 +67,16 @@ def _verify_task(decode):
     return run
 
 
-def _parity_task(decode):
-    """PARITY_BITS bits of every set, packed into 64-bit words."""
+def _parity_task(decode, bits: int = PARITY_BITS):
+    """``bits`` bits (a power of two) of every set, packed into 64-bit words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = PARITY_BITS // 64
+        words = bits // 64
         for batch in _bounded(batches, "items"):
             values, off = decode(batch.column("items"))
-            low = (values.view(np.int64) & (PARITY_BITS - 1))
+            low = (values.view(np.int64) & (bits - 1))
             out = np.zeros((batch.num_rows, words), np.int64)
             for k in range(batch.num_rows):
-                odd = np.bincount(low[off[k]:off[k + 1]], minlength=PARITY_BITS) & 1
+                odd = np.bincount(low[off[k]:off[k + 1]], minlength=bits) & 1
                 out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
             bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words)
             yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))],
@@ -124,12 +124,14 @@ def _placed(members: DataFrame, comps: DataFrame, name: str) -> DataFrame:
 
 
 def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, decode=stored_sets,
-         rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+         rounds: int = 1, parity_bits: int = PARITY_BITS) -> tuple[DataFrame, DataFrame]:
     """Verified links and components of bucket members.
 
     ``members`` is a stored frame (key, id, low), ``low`` being the bucket's
     anchor; ``sets`` the stored sets (id, n, items), ``n`` the size and ``decode``
-    what turns a column of items into (flat sorted hashes, offsets).  A link needs den * inter >= num * total.  Returns
+    what turns a column of items into (flat sorted hashes, offsets).  A link needs den * inter >= num * total.
+    ``parity_bits`` is the length of the sketches: the bound holds for any, and tells sets of fewer elements than
+    twice as many apart; what it cannot tell apart is verified.  Returns
     (links (u, v), components (node, component_id)).
     """
     verify = set_verifier(sets, decode)
@@ -164,7 +166,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, dec
     if open_.isEmpty():
         return links, comps
     sketch = materialize(sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", "items")
-                         .mapInArrow(_parity_task(decode), "id long, par array<long>"), f"{name}-parity")
+                         .mapInArrow(_parity_task(decode, parity_bits), "id long, par array<long>"), f"{name}-parity")
     open_ = materialize(open_.join(sketch, "id"), f"{name}-sketched")
     x, y = open_.where("comp <> top").alias("x"), open_.alias("y")
     differ = F.aggregate(F.zip_with("x.par", "y.par", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
