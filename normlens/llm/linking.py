@@ -7,7 +7,8 @@ need more.  There, members outside the bucket's largest component meet some of
 its members in rounds, then all members of other components that an exact bound
 allows.  The bound comes from parity sketches: bit j says whether the set has an
 odd number of elements of hash j, so the bits in which two sketches differ are at most the
-elements in which the sets differ.  In the end two members of a bucket are
+elements in which the sets differ.  A short sketch is compared first; large
+sets, which fill it, have a long one as well.  In the end two members of a bucket are
 connected by verified links or known to be unlike: nothing is capped or sampled.
 """
 
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from normlens.llm.common import BLOCK_BYTES, checked_broadcast, local_forest, materialize, merged_components, star_components
 
 PARITY_BITS = 4096
+SHORT_BITS = 1024
+SHORT_SET = SHORT_BITS  # elements of a set, at most, that a short sketch tells from others
+SKETCHES = "id long, short array<long>, par array<long>"
 SIZED = "a long, b long, inter long, total long"
 
 
@@ -68,9 +72,13 @@ def _verify_task(decode):
 
 
 def _parity_task(decode):
-    """PARITY_BITS bits of every set, packed into 64-bit words."""
+    """SHORT_BITS bits of every set, packed into 64-bit words, and PARITY_BITS bits of sets above SHORT_SET.
+
+    Bits of the long sketch that fall on one bit of the short one add up to it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = PARITY_BITS // 64
+        few = SHORT_BITS // 64
         for batch in _bounded(batches, "items"):
             values, off = decode(batch.column("items"))
             low = (values.view(np.int64) & (PARITY_BITS - 1))
@@ -78,9 +86,13 @@ def _parity_task(decode):
             for k in range(batch.num_rows):
                 odd = np.bincount(low[off[k]:off[k + 1]], minlength=PARITY_BITS) & 1
                 out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words)
-            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))],
-                                  names=["id", "par"])
+            short = np.bitwise_xor.reduce(out.reshape(batch.num_rows, -1, few), axis=1)
+            large = np.diff(off) > SHORT_SET
+            starts = np.concatenate(([0], np.cumsum(large * words))).astype(np.int32)
+            at = np.arange(batch.num_rows + 1, dtype=np.int32) * few
+            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(short.ravel())),
+                                   pa.ListArray.from_arrays(pa.array(starts), pa.array(out[large].ravel()))],
+                                  names=["id", "short", "par"])
     return run
 
 
@@ -164,16 +176,21 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str, dec
     if open_.isEmpty():
         return links, comps
     sketch = materialize(sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", "items")
-                         .mapInArrow(_parity_task(decode), "id long, par array<long>"), f"{name}-parity")
+                         .mapInArrow(_parity_task(decode), SKETCHES), f"{name}-parity")
     open_ = materialize(open_.join(sketch, "id"), f"{name}-sketched")
     x, y = open_.where("comp <> top").alias("x"), open_.alias("y")
-    differ = F.aggregate(F.zip_with("x.par", "y.par", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
-                         F.lit(0), lambda t, c: t + c)
     both = F.col("x.n") + F.col("y.n")
+
+    def near(c: str):
+        differ = F.aggregate(F.zip_with(f"x.{c}", f"y.{c}", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                             F.lit(0), lambda t, k: t + k)
+        return differ * (num + den) <= both * (den - num)
+
+    long = (F.size("x.par") == F.size("y.par")) & (F.size("x.par") > 0)
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
                    & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
                    & sized("x.n", "y.n")
-                   & (differ * (num + den) <= both * (den - num))).select(*pair("x.id", "y.id")).distinct()
+                   & near("short") & (~long | near("par"))).select(*pair("x.id", "y.id")).distinct()
             .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     more = materialize(verify(rest).where(ok).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-rest")
     if more.isEmpty():

@@ -34,6 +34,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 CHAIN = np.uint64(0x9FB21C651E98DF25)
+BAND_RUN = 1 << 16  # shingles
 SIGNED = "id long, n long, d1 long, d2 long, keys array<long>"
 
 
@@ -86,9 +87,15 @@ def band_keys(flat: np.ndarray, start: np.ndarray, bands: int, rows: int, seed:
     """Keys of the bands of every set; sets stand one after another in ``flat``, none empty: shape (sets, bands)."""
     mul, add = universal(bands * rows, seed)
     keys = np.zeros((len(start), bands), dtype=np.uint64)
-    for k in range(bands * rows):
-        low = np.minimum.reduceat(flat * mul[k] + add[k], start)
-        keys[:, k // rows] = mix64(keys[:, k // rows] * CHAIN + low + np.uint64(k // rows))
+    run = np.flatnonzero(np.diff(start // BAND_RUN, prepend=-1)).tolist()  # runs of sets that stay in the cache
+    for i, j in zip(run, [*run[1:], len(start)]):
+        part = flat[start[i]:start[j] if j < len(start) else len(flat)]
+        at, hashed = start[i:j] - start[i], np.empty_like(part)
+        for k in range(bands * rows):
+            np.multiply(part, mul[k], out=hashed)
+            np.add(hashed, add[k], out=hashed)
+            low = np.minimum.reduceat(hashed, at)
+            keys[i:j, k // rows] = mix64(keys[i:j, k // rows] * CHAIN + low + np.uint64(k // rows))
     return keys
 
 

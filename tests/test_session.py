@@ -37,3 +37,24 @@ def test_local_mode_makes_a_folder(master):
     s = _Session(spark_master=master)
     made = ensure_checkpoint_dir(s)
     assert made and s.conf.get("spark.checkpoint.dir") == made
+
+
+def test_shuffle_files_of_a_stored_frame_go_with_its_write(spark):
+    import os
+    import time
+
+    from normlens.session import SHUFFLE_CLEANUP, materialize
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffles():
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    set_before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    old = shuffles()
+    dealt = spark.range(10_000).repartition(7, "id")
+    stored = materialize(dealt, "dealt")
+    ends = time.time() + 10
+    while shuffles() - old and time.time() < ends:  # they go without a wait
+        time.sleep(0.1)
+    assert not shuffles() - old and stored.count() == 10_000
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == set_before
+    assert dealt.count() == dealt.count() == 10_000
