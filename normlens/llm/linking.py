@@ -13,6 +13,7 @@ connected by verified links or known to be unlike: nothing is capped or sampled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from normlens.llm.common import BLOCK_BYTES, checked_broadcast, local_forest, materialize, merged_components, star_components
 
 PARITY_BITS = 4096
+DEALT = 1024  # pairs (key, id) in a row at most, so that a batch of rows stays small
+FOLD_PAIRS = 1_000_000
 SIZED = "a long, b long, inter long, total long"
 
 
@@ -93,17 +96,72 @@ def set_verifier(sets: DataFrame, decode) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
-def anchored(banded: DataFrame, name: str) -> DataFrame:
-    """Members (key, id, low) of every bucket of two or more ids of ``banded`` (key, id), whose rows may repeat.
+def _deal_task(slots: int):
+    """Pairs (key, id) of a batch by key, many to a row: slot, then keys and ids one after another."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            each = pc.binary_length(b.column("keys")).to_numpy() // 8
+            key = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
+            ids = np.repeat(b.column("id").to_numpy(), each)
+            slot = (key.view(np.uint64) % np.uint64(slots)).astype(np.int32)
+            order = np.argsort(slot, kind="stable")
+            key, ids, slot = key[order], ids[order], slot[order]
+            edge = np.flatnonzero(np.diff(slot, prepend=-1))
+            edge = np.concatenate([np.arange(x, y, DEALT) for x, y in zip(edge, [*edge[1:], len(slot)])] + [[len(slot)]])
+            edge = edge.astype(np.int64)
+            yield pa.record_batch([pa.array(slot[edge[:-1]]), pa.array(
+                [key[x:y].tobytes() + ids[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())],
+                names=["slot", "pairs"])
+    return run
+
 
-    ``low`` is the bucket's most central member: the one that shares the most
-    bucket places with others (ties: the smallest id).  Originals score higher
-    than their variants, so variants meet the original first.
+def _shared_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (key, id) of keys with two or more ids; what is kept meanwhile is one id of every key."""
+    known, first, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def folded(parts):
+        nonlocal known, first, told
+        key = np.concatenate((known, *(p[:len(p) // 2] for p in parts)))
+        ids = np.concatenate((first, *(p[len(p) // 2:] for p in parts)))
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], ids[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(start, append=len(key))
+        old = order < len(known)  # stable: the id kept so far stands first
+        said = np.zeros(len(key), bool)
+        said[old] = told[order[old]]
+        other = ids != np.repeat(ids[start], size)
+        now = np.maximum.reduceat(other, start) & ~said[start]
+        known, first, told = key[start], ids[start], said[start] | now
+        out = np.concatenate((start[now], np.flatnonzero(other)))
+        return pa.record_batch([pa.array(key[out]), pa.array(ids[out])], names=["key", "id"])
+
+    parts, waiting = [], 0
+    for b in batches:
+        for x in b.column("pairs"):
+            parts.append(np.frombuffer(x.as_buffer(), np.int64))
+            waiting += len(parts[-1]) // 2
+            if waiting >= max(FOLD_PAIRS, len(known)):
+                yield folded(parts)
+                parts, waiting = [], 0
+    if parts:
+        yield folded(parts)
+
+
+def anchored(signed: DataFrame, bands: int, name: str) -> DataFrame:
+    """Members (key, id, low) of every bucket of two or more ids of the stored frame ``signed`` (id, keys).
+
+    ``keys`` holds ``bands`` 64-bit numbers one after another, or null; rows may repeat.  ``low`` is the bucket's
+    most central member: the one that shares the most bucket places with others (ties: the smallest id).  Originals
+    score higher than their variants, so variants meet the original first.
     """
-    full = materialize(banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"))
-                       .where("a < z").select("key"), f"{name}-full")
-    shared = materialize(banded.join(checked_broadcast(full, full.count(), 2_000_000), "key", "left_semi")
-                         .select("key", "id").distinct(), f"{name}-shared")
+    tasks = max(1, math.ceil(signed.count() * bands / FOLD_PAIRS))
+    dealt = signed.where("keys IS NOT NULL").mapInArrow(_deal_task(4 * tasks), "slot int, pairs binary").repartition(tasks, "slot")
+    shared = materialize(dealt.select("pairs").mapInArrow(_shared_task, "key long, id long").distinct(), f"{name}-shared")
     sizes = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")), f"{name}-sizes")
     score = shared.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("score"))
     # stored, so that the join can split the rows of a large bucket

@@ -1,10 +1,10 @@
-"""Near-duplicate documents by MinHash: universal hash minima, banding, verification, star components.
+"""Near-duplicate documents by MinHash: minima of odd multiples, banding, verification, star components.
 
 Words are runs of bytes other than ASCII white space, A-Z lowered.  A text's
 set holds its distinct ``words``-word shingles (64-bit hashes); a text with
 fewer words has its whole word sequence as the only member.  Texts with equal
 sets are one class, represented by the smallest id.  Each class gets
-``bands`` * ``rows`` minima under random multiply-add hashes; classes that
+``bands`` * ``rows`` minima of 32 bits of its hashes times random odd numbers; classes that
 agree on a band share a bucket.  Candidates are verified on the full sets
 (linking.py) and components are found by alternating large-star and small-star.
 
@@ -35,7 +35,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 CHAIN = np.uint64(0x9FB21C651E98DF25)
 BAND_RUN = 1 << 16  # shingles
-SIGNED = "id long, n long, d1 long, d2 long, keys array<long>"
+SIGNED = "id long, n long, d1 long, d2 long, keys binary"
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,25 +77,26 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarr
     return out
 
 
-def universal(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def universal(count: int, seed: int) -> np.ndarray:
+    """Odd factors: shingle hashes are mixed before, so a product by an odd number orders them anew."""
     r = np.random.default_rng(seed)
-    return (r.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1),
-            r.integers(0, 1 << 63, count, dtype=np.uint64))
+    return r.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def band_keys(flat: np.ndarray, start: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
     """Keys of the bands of every set; sets stand one after another in ``flat``, none empty: shape (sets, bands)."""
-    mul, add = universal(bands * rows, seed)
-    keys = np.zeros((len(start), bands), dtype=np.uint64)
+    mul = universal(bands * rows, seed).astype(np.uint32)
+    low = np.empty((bands * rows, len(start)), np.uint32)
     run = np.flatnonzero(np.diff(start // BAND_RUN, prepend=-1)).tolist()  # runs of sets that stay in the cache
     for i, j in zip(run, [*run[1:], len(start)]):
-        part = flat[start[i]:start[j] if j < len(start) else len(flat)]
+        part = (flat[start[i]:start[j] if j < len(start) else len(flat)] >> np.uint64(32)).astype(np.uint32)
         at, hashed = start[i:j] - start[i], np.empty_like(part)
         for k in range(bands * rows):
             np.multiply(part, mul[k], out=hashed)
-            np.add(hashed, add[k], out=hashed)
-            low = np.minimum.reduceat(hashed, at)
-            keys[i:j, k // rows] = mix64(keys[i:j, k // rows] * CHAIN + low + np.uint64(k // rows))
+            np.minimum.reduceat(hashed, at, out=low[k, i:j])
+    keys = np.zeros((len(start), bands), dtype=np.uint64)
+    for k in range(bands * rows):
+        keys[:, k // rows] = mix64(keys[:, k // rows] * CHAIN + low[k] + np.uint64(k // rows))
     return keys
 
 
@@ -111,10 +112,11 @@ def _sign_task(words: int, bands: int, rows: int, seed: int):
                     digest[k] = np.frombuffer(hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), np.int64)
                 start = (np.cumsum(n) - n)[full]
                 keys = band_keys(np.concatenate(sets), start, bands, rows, seed) if len(full) else np.zeros((0, bands))
-                offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
+                offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, 8 * bands, 0)))).astype(np.int32)
                 yield pa.record_batch(
                     [b.column("id").slice(i, j - i), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.astype(np.uint64).ravel().view(np.int64)))],
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets),
+                                                                 pa.py_buffer(keys.astype(np.uint64).tobytes())])],
                     names=["id", "n", "d1", "d2", "keys"])
     return run
 
@@ -140,8 +142,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, n
     classes = (signed.where("n > 0").groupBy("d1", "d2")
                .agg(F.min(F.struct("id", "n", "keys")).alias("r"), F.count(F.lit(1)).alias("copies")))
     classes = materialize(classes.select("d1", "d2", "copies", "r.*"), "mh-classes")
-    banded = classes.select("id", F.explode("keys").alias("key"))
-    members = anchored(banded, "mh")
+    members = anchored(classes.select("id", "keys"), bands, "mh")
     wanted = members.select("id").distinct()
     wanted = checked_broadcast(wanted, wanted.count(), 2_000_000)
     sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_task(words), "id long, items array<long>")
