@@ -190,3 +190,61 @@ def test_band_keys_do_not_depend_on_runs(monkeypatch):
         monkeypatch.setattr(M, "BAND_RUN", run)
         assert (M.band_keys(flat, start, 4, 3, 1) == whole).all()
     assert M.band_keys(flat[:0], start[:0], 4, 3, 1).shape == (0, 4)
+
+
+def test_buckets_are_found_in_blocks_of_pairs(monkeypatch):
+    """Keys of two or more ids come with all their ids, whatever the order, repeats and folds."""
+    r = random.Random(7)
+    rows = [(r.randrange(-40, 40), [r.randrange(-2**63, 2**63) if r.random() < .4 else r.randrange(-30, 30) for _ in range(4)])
+            for _ in range(300)] + [(2**62, [5, 5, 6, 7]), (-2**63, [2**63 - 1, -2**63, 9, 9])]
+    ids = {}
+    for i, keys in rows:
+        for k in keys:
+            ids.setdefault(k, set()).add(i)
+    want = {(k, i) for k, x in ids.items() if len(x) > 1 for i in x}
+    monkeypatch.setattr(linking, "DEALT", 7)
+    batches = [pa.record_batch([pa.array([i for i, _ in part], pa.int64()),
+                                pa.array([np.array(k, np.int64).tobytes() for _, k in part], pa.binary())], names=["id", "keys"])
+               for part in (rows[:1], rows[1:1], rows[1:150], rows[150:])]
+    for slots, fold in ((1, 10), (5, 100), (3, 10**6)):
+        monkeypatch.setattr(linking, "FOLD_PAIRS", fold)
+        dealt = pa.Table.from_batches(list(linking._deal_task(slots)(iter(batches))))
+        assert max(len(x) for x in dealt.column("pairs").to_pylist()) <= 7 * 16
+        got = set()
+        for slot in range(slots):
+            at = dealt.filter(pa.array([x == slot for x in dealt.column("slot").to_pylist()]))
+            for out in linking._shared_task(iter(at.select(["pairs"]).to_batches())):
+                got |= set(zip(out.column("key").to_pylist(), out.column("id").to_pylist()))
+        assert got == want
+
+
+def test_texts_are_read_once_and_keys_are_not_dealt_row_by_row(spark, monkeypatch):
+    plans, kept = {}, linking.materialize
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+    monkeypatch.setattr(L, "materialize", seen)
+    monkeypatch.setattr(linking, "materialize", seen)
+    text = "the one line that stands in this text twice\n"
+    rows = L.duplicate_lines(spark.createDataFrame([(1, text + text.upper())], "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r.line, r.kept) for r in rows) == [(0, True), (1, False)]
+    assert "ln-bands" not in plans and "Generate" not in plans["ln-shared"]
+
+
+@pytest.mark.parametrize("chars", [1, 3, 8])
+def test_shingle_sets_are_those_of_single_lines(chars):
+    r = random.Random(chars)
+    for _ in range(60):
+        texts = ["".join(r.choice("aB \t\n\x0b\ré日") for _ in range(r.choice([0, 1, 9, 60]))) for _ in range(r.randrange(1, 7))]
+        data, off = L.byte_blocks.__globals__["binary_column"](pa.record_batch([pa.array(texts)], names=["text"]), "text")
+        norm, s, e, text, number = L.normal_block(data, off)
+        lines = [norm[x:y].tobytes().decode() for x, y in zip(s, e)]
+        assert lines == [normal(x) for t in texts for x in t.split("\n")]
+        assert list(zip(text, number)) == [(i, k) for i, t in enumerate(texts) for k in range(t.count("\n") + 1)]
+        full = np.array([k for k, x in enumerate(lines) if x], np.int64)
+        flat, at = L.shingle_sets(norm, s[full], e[full], chars)
+        for k, i, j in zip(full, at[:-1], at[1:]):
+            assert j - i == len({lines[k][x:x + chars] for x in range(max(1, len(lines[k]) - chars + 1))})
+            alone = np.frombuffer(lines[k].encode(), np.uint8)
+            assert (L.shingle_sets(alone, np.array([0]), np.array([len(alone)]), chars)[0] == flat[i:j]).all()
