@@ -102,6 +102,7 @@ def _deal_task(slots: int):
         for b in batches:
             if not b.num_rows:
                 continue
+            b = b.take(pa.array(np.unique(b.column("id").to_numpy(), return_index=True)[1]))  # one id, one list of keys
             each = pc.binary_length(b.column("keys")).to_numpy() // 8
             key = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
             ids = np.repeat(b.column("id").to_numpy(), each)
@@ -155,7 +156,7 @@ def _shared_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def anchored(signed: DataFrame, bands: int, name: str) -> DataFrame:
     """Members (key, id, low) of every bucket of two or more ids of the stored frame ``signed`` (id, keys).
 
-    ``keys`` holds ``bands`` 64-bit numbers one after another, or null; rows may repeat.  ``low`` is the bucket's
+    ``keys`` holds ``bands`` 64-bit numbers one after another, or null; rows may repeat, an id's keys are the same in all of them.  ``low`` is the bucket's
     most central member: the one that shares the most bucket places with others (ties: the smallest id).  Originals
     score higher than their variants, so variants meet the original first.
     """

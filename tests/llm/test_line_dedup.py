@@ -195,11 +195,11 @@ def test_band_keys_do_not_depend_on_runs(monkeypatch):
 def test_buckets_are_found_in_blocks_of_pairs(monkeypatch):
     """Keys of two or more ids come with all their ids, whatever the order, repeats and folds."""
     r = random.Random(7)
-    rows = [(r.randrange(-40, 40), [r.randrange(-2**63, 2**63) if r.random() < .4 else r.randrange(-30, 30) for _ in range(4)])
-            for _ in range(300)] + [(2**62, [5, 5, 6, 7]), (-2**63, [2**63 - 1, -2**63, 9, 9])]
+    keys = {i: [r.randrange(-2**63, 2**63) if r.random() < .4 else r.randrange(-90, 90) for _ in range(4)] for i in range(-40, 40)}
+    rows = [(i, keys[i]) for i in (r.randrange(-40, 40) for _ in range(300))] + [(2**62, [5, 5, 6, 7]), (-2**63, [2**63 - 1, -2**63, 9, 9])]
     ids = {}
-    for i, keys in rows:
-        for k in keys:
+    for i, own in rows:
+        for k in own:
             ids.setdefault(k, set()).add(i)
     want = {(k, i) for k, x in ids.items() if len(x) > 1 for i in x}
     monkeypatch.setattr(linking, "DEALT", 7)
